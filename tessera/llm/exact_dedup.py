@@ -10,10 +10,9 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from tessera.llm.batches import slices, texts
+from tessera.llm.batches import WHITE, slices, texts
 from tessera.scratch import materialise
 
-WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bits of the filter that tells which texts to read again; its 2 MB do not grow with the data, only its false alarms do.
 FILTER_BITS = 24
 BUCKET = 32768  # bits in one bitmap of Spark's bitmap_construct_agg

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.sstable import token_files
+from tessera.llm.token_counts import token_counts
 from tessera.session import spread, table
 
 
@@ -19,13 +22,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_docs(spark, sf_dir))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_files": op7_token_files,
 }
 
 ORACLES: dict[str, str] = {

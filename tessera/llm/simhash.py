@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -12,7 +11,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame, Window
 
-from tessera.llm.batches import slices, texts
+from tessera.llm.batches import pieces, slices, texts
 from tessera.llm.components import components
 from tessera.scratch import materialise
 
@@ -20,28 +19,14 @@ SEED = 42
 SHINGLE = 3
 #: A-Z to a-z, byte by byte; bytes of longer UTF-8 sequences stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Bytes of a text whose words are in memory at once.
-PIECE = 1 << 20
 #: _SPREAD[b] holds bit k of b in its k-th byte, so that adding up to 255 such words counts eight bits at once.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
-    """Cuts at white space, so that a very long text is never split into words all at once."""
-    at = 0
-    while len(data) - at > PIECE:
-        end = at + PIECE
-        while end < len(data) and data[end] not in b"\x20\x09\x0a\x0b\x0c\x0d":
-            end += 1
-        yield data[at:end]
-        at = end
-    yield data[at:]
-
-
 def shingle_hashes(text: bytes, n: int = SHINGLE) -> np.ndarray:
     """XXH64 (seed 42) of every shingle of n words, repeats included; of the whole word sequence if shorter; none if empty."""
     parts, last, total, digest = [], [], 0, xxhash.xxh64_intdigest
-    for piece in _pieces(text):
+    for piece in pieces(text):
         words = piece.translate(LOWER).split()
         total += len(words)
         words = last + words
