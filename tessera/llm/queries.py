@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontaminate import contamination
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.sstable import token_files
@@ -34,14 +35,46 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.drop("items", "hits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), bw AS (
+            SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+                   lambda i: array_to_string(w[i : i + least(len(w), 10) - 1], ' '))) AS gram FROM b WHERE len(w) > 0
+        ), sizes AS (SELECT DISTINCT n FROM bw), dw AS (
+            SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos,
+                   unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS gram
+            FROM d, sizes WHERE len(w) >= n
+        ), m AS (SELECT doc_id, dw.n, pos, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.gram = bw.gram
+        ), spots AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS spot FROM m
+        ), h AS (SELECT doc_id, count(*) AS n_hit FROM spots GROUP BY doc_id
+        ), i AS (
+            SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS items_sha256
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM m) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+    """,
     "op6_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
