@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import contamination
 from tessera.llm.exact_dedup import exact_duplicates
+from tessera.llm.secrets import secret_digests
+from tessera.llm.sharding import balanced_shards
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.sstable import token_files
 from tessera.llm.token_counts import token_counts
@@ -27,6 +29,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(_docs(spark, sf_dir))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(_docs(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_docs(spark, sf_dir))
 
@@ -43,6 +53,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
+    "op4_secrets": op4_secrets,
+    "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
