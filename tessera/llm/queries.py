@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import contamination
 from tessera.llm.exact_dedup import exact_duplicates
+from tessera.llm.packing import pack
 from tessera.llm.secrets import secret_digests
 from tessera.llm.sharding import balanced_shards
 from tessera.llm.simhash import near_duplicates
@@ -50,6 +51,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "hits")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {
