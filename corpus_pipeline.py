@@ -1,34 +1,64 @@
-"""Stages from raw documents to packed training sequences."""
+"""Stages from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents; the
+last one returns packed pieces. Rows with a null doc_id pass the two deduplication stages, which decide by doc_id.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontaminate import clean
 from tessera.llm.exact_dedup import exact_duplicates
+from tessera.llm.packing import pack
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.toxicity import keep_clean, train
 from tessera.scratch import materialise
+from tessera.session import spread, table
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among `dropped`, a narrow written table: Spark broadcasts it if it is small."""
+    return docs.join(materialise(dropped.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not call toxic."""
+    return keep_clean(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space, one stays."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without(docs, exact_duplicates(docs).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component, the document that names it stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without(docs, near_duplicates(docs).where("doc_id <> component_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the kept documents in training sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
     ("simhash", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,6 @@ enough for a window and loses no match. Every test suffix is binary-searched in
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -275,10 +274,18 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs`, all columns, whose document holds no window; null doc_ids are judged by their own texts."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    parts = [docs.where("doc_id is not null").join(bad, "doc_id", "left_anti")]
-    odd = docs.where("doc_id is null")
-    texts_ = contamination(odd.withColumn("doc_id", F.xxhash64("text")), benchmark, window).where("contaminated").select(F.col("doc_id").alias("_h"))
-    parts.append(odd.join(texts_.distinct(), F.xxhash64("text") == F.col("_h"), "left_anti"))
-    return reduce(DataFrame.unionByName, [p.select(*docs.columns) for p in parts])
+    """The rows of `docs`, all columns, whose text holds no window: judged and filtered in one pass, without a join."""
+    blocks = _blocks(benchmark, window)
+
+    def run(batches):
+        for batch in slices(batches, limit=(4 << 20) if len(blocks) < 2 else (32 << 20)):
+            split = [words(t) for t in texts(batch)]
+            bad = np.zeros(len(split), bool)
+            for block in _held(blocks):
+                if len(block.starts):
+                    tokens, starts = _tokens(split, block.vocab)
+                    _, at = Shard(tokens, block.shortest).occurrences(block.words, block.starts, block.lengths)
+                    bad[np.searchsorted(starts, at, side="right") - 1] = True
+            yield batch.filter(pa.array(~bad))
+
+    return docs.mapInArrow(run, docs.schema)

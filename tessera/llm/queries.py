@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.chat import format_chat
 from tessera.llm.decontaminate import contamination
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.packing import pack
@@ -15,6 +16,7 @@ from tessera.llm.sharding import balanced_shards
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.sstable import token_files
 from tessera.llm.token_counts import token_counts
+from tessera.llm.toxicity import toxicity
 from tessera.session import spread, table
 
 
@@ -30,6 +32,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_docs(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_docs(spark, sf_dir))
 
@@ -55,15 +61,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
