@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one slice holds; a single longer text forms a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Bytes of a text whose words are in memory at once.
 PIECE_BYTES = 1 << 20
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"

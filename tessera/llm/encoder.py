@@ -1,25 +1,62 @@
 """Token ids of whole texts by the tokenizers library, called once for each distinct chunk instead of each occurrence.
 
-A chunk ends where white space begins, a place at which the pre-tokenizers of both supported files always cut and no
-normalisation or merge looks across, so joined chunk ids equal the ids of the whole text (tested against the library).
-Texts with white space beyond ASCII, where that argument has exceptions, are encoded whole.
+Texts are cut at spaces, the distinct chunks of a slice are found by Arrow, and their ids are gathered by numpy. A cut at
+a space is a place where the pre-tokenizers of both supported kinds of file cut, and no normalisation or merge looks
+across, so joined chunk ids equal the ids of the whole text (tested against the library). Texts for which that argument
+has exceptions (some runs of white space, white space beyond ASCII) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm.batches import PIECE_BYTES, Recent, pieces
 
 #: Entries of a worker's cache; forgetting changes time only.
-CACHE = 600_000
+CACHE = 900_000
 #: White space outside ASCII, and control characters that only some libraries count as white space, in UTF-8.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_CHUNK = re.compile(rb"[\x20\t-\r]*[^\x20\t-\r]+|[\x20\t-\r]+")
+_ODD_SIGNS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+#: A space between white space, or white space and the end: there a cut would divide a run that is one token.
+_RUN = re.compile(rb"[\x20\t-\r] (?:[\x20\t-\r]|\Z)")
+_RUN_SIGNS = (b"  ", b" \n", b" \t", b" \r", b" \v", b" \f")
+_MARK = b"\x01"
+_TO_SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: The printable character that byte-level vocabularies use for each byte, and the one of a space.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SYMBOLS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_GAP = SYMBOLS[32]
+
+
+def distinct_chunks(data: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct chunks between spaces, the number of each chunk's occurrence in order, and where each text's begin."""
+    split = pc.split_pattern(pa.array(data, pa.binary()), b" ")
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+
+
+def bare_texts(data: list[bytes]) -> list[bytes]:
+    """Texts for a file whose words carry no leading space: ASCII white space as spaces, A-Z lower-cased where that is safe.
+
+    Lower-casing early changes nothing, unless a special string could arise or a letter could meet a combining mark with
+    which it has a composed form in one case only.
+    """
+    out = []
+    for text in data:
+        safe = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+        text = text.translate(_TO_SPACE)
+        out.append(text.translate(_LOWER) if safe else text)
+    return out
 
 
 class Encoder:
@@ -30,32 +67,105 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(source)
-        # A file whose words carry no leading space drops white space, so all occurrences of a word are one chunk.
         self.bare = '"end_of_word_suffix": "</w>"' in source or '"end_of_word_suffix":"</w>"' in source
+        self.library.model._resize_cache(0)  # each word is asked for once
         self.known = Recent(CACHE)
 
-    def _encode(self, strings: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _word(self, chunk: bytes) -> str | None:
+        """The byte symbols of a chunk that is one pre-token for certain: letters, with or without one space before."""
+        word = chunk[1:] if chunk[:1] == b" " else chunk
+        if word.isalpha():  # ASCII letters
+            text = word.lower() if self.bare else word
+            return (_GAP if word is not chunk else "") + text.decode()
+        try:
+            text = word.decode()
+        except UnicodeDecodeError:
+            return None
+        if not text.isalpha() or not is_normalized("NFC", text):
+            return None
+        if self.bare:
+            if "\u03a3" in text or "\u0130" in text:  # letters whose lower case depends on more than themselves
+                return None
+            word = text.lower().encode()
+        return (_GAP if word is not chunk and chunk[:1] == b" " else "") + word.decode("latin-1").translate(SYMBOLS)
+
+    def _encode_words(self, chunks: list[bytes]) -> list[bytes]:
+        """Like _encode, with one call of the library's model where nothing is left to normalise or to cut."""
+        out: list = list(map(self._word, chunks))
+        rest = [i for i, w in enumerate(out) if w is None]
+        tokenize, pack = self.library.model.tokenize, struct.pack
+        for i, word in enumerate(out):
+            if word is not None:
+                ids = [t.id for t in tokenize(word)]
+                out[i] = pack(f"<{len(ids)}I", *ids)
+        for i, ids in zip(rest, self._encode([chunks[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(chunks), 20_000):
+            strings = [c.decode("utf-8", "replace") for c in chunks[lo : lo + 20_000]]
+            ids = [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+            ends = np.cumsum([0, *map(len, ids)]) * 4
+            raw = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+            ends = ends.tolist()
+            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
-    def _chunks(self, text: bytes) -> list[bytes]:
-        return text.split() if self.bare else _CHUNK.findall(text)
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Encode chunks that the cache lacks. A stop or comma after a letter is a token of its own and needs no entry with it."""
+        stops = [c for c in chunks if c[-1:] in (b".", b",") and c[-2:-1].isalpha()]
+        known, old = self.known, self.known.old
+        parts = {p for c in stops for p in (c[:-1], c[-1:])}
+        fresh = chunks.difference(stops).union(p for p in parts if p not in known and p not in old)
+        fresh = list(fresh)
+        known.update(zip(fresh, self._encode_words(fresh)))
+        for c in stops:
+            a, b = c[:-1], c[-1:]
+            known[c] = (known.get(a) or old[a]) + (known.get(b) or old[b])
+
+    def _safe(self, text: bytes) -> bool:
+        if self.bare:
+            return True
+        if _MARK in text or any(s in text for s in _ODD_SIGNS) and _ODD.search(text):
+            return False
+        return not (text[-1:] == b" " or any(s in text for s in _RUN_SIGNS)) or not _RUN.search(text)
 
     def ids(self, data: list[bytes]) -> list[bytes]:
-        if len(data) == 1 and len(data[0]) > PIECE_BYTES and (data[0].isascii() or not _ODD.search(data[0])):
-            return [b"".join(self._some([piece])[0] for piece in pieces(data[0]))]
+        if len(data) == 1 and len(data[0]) > PIECE_BYTES and self._safe(data[0]):
+            parts = list(pieces(data[0]))
+            if not self.bare and any(not self._safe(p) for p in parts):
+                return self._encode(data)
+            return [b"".join(self._some([p])[0] for p in parts)]
         return self._some(data)
 
     def _some(self, data: list[bytes]) -> list[bytes]:
-        odd = {i for i, t in enumerate(data) if _ODD.search(t)}
-        split = [[] if i in odd else self._chunks(t) for i, t in enumerate(data)]
-        fresh = list(self.known.missing(set().union(*split)))
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            self.known.update(zip(part, self._encode([c.decode("utf-8", "replace") for c in part])))
-        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-        for i in sorted(odd):
-            out[i] = self._encode([data[i].decode("utf-8", "replace")])[0]
+        whole = [i for i, t in enumerate(data) if not self._safe(t)]
+        texts = list(data)
+        for i in whole:
+            texts[i] = b""
+        # A line that ends with a stop is cut there too; the mark says that no space precedes what follows.
+        texts = bare_texts(texts) if self.bare else [t.replace(b".\n", b". " + _MARK + b"\n") for t in texts]
+        chunks, index, starts = distinct_chunks(texts)
+        if not self.bare:
+            # Every chunk but the first of a text follows a space, which belongs to it.
+            first = [t.split(b" ", 1)[0] for t in texts]
+            index = index.astype(np.int64)
+            index[starts[:-1]] = len(chunks) + np.arange(len(texts))
+            chunks = [c[1:] if c[:1] == _MARK else b" " + c for c in chunks] + first
+        self._learn(self.known.missing(set(chunks)))
+        found = list(map(self.known.__getitem__, chunks))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        sizes = size[index]
+        ends = np.cumsum(sizes)
+        flat = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[index] - (ends - sizes), sizes)]
+        bounds = np.r_[0, ends][starts] * 4
+        raw = memoryview(flat.tobytes())
+        out = [bytes(raw[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        for i, ids in zip(whole, self._encode([data[i] for i in whole])):
+            out[i] = ids
         return out
 
 

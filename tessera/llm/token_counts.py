@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tessera.llm.batches import PIECE_BYTES, Recent, pieces, slices, texts
+from tessera.llm.encoder import SYMBOLS, bare_texts, distinct_chunks
 
 #: Entries of each cache of a worker; forgetting changes time only.
 CACHE = 500_000
@@ -26,13 +27,6 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 _NONE = np.iinfo(np.int64).max
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that byte-level vocabularies use for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class RaggedMerger:
     """Counts of one tokenizer file (BPE, lower case, byte symbols, a suffix that marks word ends)."""
 
@@ -52,7 +46,7 @@ class RaggedMerger:
         np.minimum.at(first, left, np.arange(len(pairs)))
         np.minimum.at(first, right, np.arange(len(pairs)))
         self.together = first[made] > np.arange(len(pairs))
-        symbols = byte_symbols()
+        symbols = [SYMBOLS.get(b, chr(b)) for b in range(256)]
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.final = np.array([vocab[s + suffix] for s in symbols], np.int64)
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -126,9 +120,10 @@ class RaggedMerger:
         """Token counts of texts that fit in memory together with their words; longer texts go piece by piece."""
         if len(data) == 1 and len(data[0]) > PIECE_BYTES:
             return [sum(self.counts([piece])[0] for piece in pieces(data[0]))]
-        split = [text.split() for text in data]
-        self.learn(self.chunks.missing(set().union(*split)))
-        return [sum(map(self.chunks.__getitem__, chunks)) for chunks in split]
+        chunks, index, starts = distinct_chunks(bare_texts(data))
+        self.learn(self.chunks.missing(set(chunks)))
+        size = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        return np.diff(np.r_[0, np.cumsum(size[index])][starts]).tolist()
 
 
 @lru_cache(maxsize=2)
