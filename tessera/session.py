@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +30,20 @@ def local_session(cores: int | None = None, memory: str = "8g", **conf: str) ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, unless they find it by the driver's own import paths."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    paths = {Path(p or ".").resolve() for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd())}
+    if root in paths or getattr(sc, "_tessera_sent", False) or not root.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="tessera-code-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/tessera", "zip", root, "tessera"))
+    sc._tessera_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, reduced to `columns` when given, so that the scan reads nothing else."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
