@@ -65,7 +65,7 @@ def line_dependencies(line: Column, language: Column) -> Column:
     call = "function_call"
     last = F.transform(_one(line, USE), lambda m: F.element_at(F.split(m, "::"), -1))
     rust = F.concat(_tagged(last, "import"), _tagged(_all(line, PATH_CALL), call), _tagged(_calls(line, "rust"), call))
-    names = F.flatten(F.transform(_one(line, IMPORT_NAMES), lambda m: F.transform(F.split(m, ","), F.trim)))
+    names = F.flatten(F.transform(_one(line, IMPORT_NAMES), lambda m: F.transform(F.split(m, ","), lambda n: F.trim(n))))
     script = F.concat(
         _tagged(names, "import"),
         _tagged(_one(line, IMPORT_ALL), "import"),
