@@ -23,8 +23,11 @@ HINTS = {"assign": r"(?i)passw|secret|token|api_?key", "access": "AKIA", "hex":
 #: What the models judge: maximal runs of these characters of at least so many.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Words that count as ordinary: letters, perhaps a short number at the end. Secrets in the sampled texts have another form.
+ORDINARY = r"\b[A-Za-z][A-Za-z_-]{1,23}[0-9]{0,3}\b"
 #: A candidate is a secret when the evidence outweighs these prior odds against it.
 PRIOR_ODDS = 10_000.0
+SMOOTHING = 0.1
 #: Bounds of the labelled samples: generated random strings, and documents (in the mean) whose words are the ordinary class.
 RANDOM_STRINGS, SAMPLE_DOCS = 3000, 2000
 _SPAN = "struct<start: bigint, rank: int, end: bigint>"
@@ -58,10 +61,10 @@ def _matches(text: str, pattern: str, group: int, least: int, rank: int) -> str:
 
 
 def _train(docs: DataFrame) -> list[float]:
-    """Log-likelihood ratios of all character transitions, random against ordinary, add-one smoothed.
+    """Log-likelihood ratios of all character transitions, random against ordinary, with SMOOTHING added to every count.
 
     Labelled random: base64, hex and alphanumeric forms of SHA-256 digests. Labelled ordinary: the distinct words of a
-    sample of documents of bounded mean size, chosen by a hash of doc_id, alone and joined by underscores. The driver gets
+    sample of documents of bounded mean size, chosen by a hash of doc_id, alone, joined by underscores, and with numbers. The driver gets
     at most one count for each pair of characters of the alphabet and class.
     """
     spark = docs.sparkSession
@@ -74,15 +77,17 @@ def _train(docs: DataFrame) -> list[float]:
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share >= 1))
-    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]{2,24}"), F.lit(0))).alias("word")
-    plain = chosen.select(word).distinct().where("not word rlike '[0-9a-f]{16}'")
-    plain = plain.select(F.explode(F.array("word", F.concat("word", F.lit("_"), F.lower("word")))).alias("word"), F.lit(0).alias("label"))
+    word = F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("word")
+    plain = chosen.select(word).distinct()
+    number = F.pmod(F.xxhash64("word"), F.lit(1000)).cast("string")
+    forms = F.array("word", F.concat("word", F.lit("_"), F.lower("word")), F.concat("word", number))
+    plain = plain.select(F.explode(forms).alias("word"), F.lit(0).alias("label"))
     pairs = random.unionByName(plain).select(
         "label", F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substr(word, i, 2))")).alias("pair")
     )
     n = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
-    counts = [[[1.0] * n for _ in range(n)] for _ in range(2)]
+    counts = [[[SMOOTHING] * n for _ in range(n)] for _ in range(2)]
     for label, pair, k in pairs.groupBy("label", "pair").agg(F.count(F.lit(1))).collect():
         if pair[0] in place and pair[1] in place:
             counts[label][place[pair[0]]][place[pair[1]]] += k
