@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import text as tx
 from tessera.operators import budget, catalog, compress, dependencies, graph, history, relevance, resolve, search
-from tessera.plans import adapters
+from tessera.plans import adapters, context
 from tessera.session import spread, table
 from tessera.sources import documents, walk
 from tessera.streaming import changes
@@ -715,5 +715,90 @@ def compress_skeleton(spark, sf):
     return pages.select("page_id", F.octet_length("html").alias("original_bytes"), F.octet_length(out).alias("compressed_bytes"))
 
 
+@query(
+    "token_estimates",
+    """SELECT doc_id, CAST(ceil(strlen(text) / 4) AS BIGINT) AS counted, strlen(text) // 4 AS base, CAST(floor((strlen(text) // 4) * 0.70::DOUBLE) AS BIGINT) AS compact,
+       CAST(floor((strlen(text) // 4) * 0.25::DOUBLE) AS BIGINT) AS skeleton FROM documents""",
+)
+def token_estimates(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    base = tx.base_tokens(F.octet_length("text").cast("long"), F.lit(0))
+    return docs.select("doc_id", tx.count_tokens(F.col("text")).alias("counted"), base.alias("base"), tx.level_tokens(base, 1).alias("compact"), tx.level_tokens(base, 2).alias("skeleton"))
+
+
+@query(
+    "savings_and_cost",
+    """SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '0%' ELSE CAST(CAST(floor((p_size % 10 * 100 - p_size) * 100.0 / (p_size % 10 * 100) + 0.5) AS INT) AS VARCHAR) || '%' END AS saved,
+       CASE WHEN p_partkey % 4 = 0 THEN '0%' ELSE (p_size * 100 // (p_partkey % 4 + p_size)) || '%' END AS efficiency FROM part""",
+)
+def savings_and_cost(spark, sf):
+    part = table(spark, sf, "part", "p_partkey", "p_size")
+    full = F.col("p_size") % 10 * 100
+    even = F.when(F.col("p_partkey") % 4 == 0, F.lit(0)).otherwise(F.col("p_size"))
+    return part.select("p_partkey", tx.savings_percent(full, F.col("p_size")).alias("saved"), tx.efficiency(even, F.col("p_partkey") % 4).alias("efficiency"))
+
+
+@query("extension_histogram", "SELECT p_type AS ext, count(*) AS n FROM part GROUP BY ALL")
+def extension_histogram(spark, sf):
+    part = table(spark, sf, "part", "p_type", "p_name")
+    return part.groupBy(tx.extension(F.concat("p_name", F.lit("."), "p_type")).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("exact_lookup", f"SELECT symbol_id, path FROM {_SYMBOLS} WHERE name = (SELECT min(p_name) FROM part)")
+def exact_lookup(spark, sf):
+    name = table(spark, sf, "part", "p_name").agg(F.min("p_name")).first()[0]
+    return adapters.part_symbols(spark, sf).where(F.col("name") == name).select("symbol_id", "path")
+
+
+@query("prefix_match", "SELECT p_partkey, starts_with(lower(p_name), 're') AS found FROM part")
+def prefix_match(spark, sf):
+    return table(spark, sf, "part", "p_partkey", "p_name").select("p_partkey", tx.starts_with(F.col("p_name"), "RE").alias("found"))
+
+
+@query(
+    "repo_removal",
+    f"""WITH {_GRAPH}, left_ AS (SELECT symbol_id FROM sym WHERE NOT starts_with(path, 'customer/'))
+        SELECT from_id, to_id, kind FROM edge WHERE from_id IN (FROM left_) AND to_id IN (FROM left_)""",
+)
+def repo_removal(spark, sf):
+    symbols, edges = adapters.order_graph(spark, sf)
+    gone = symbols.where(tx.alias_of(F.col("path")) == "customer").select("symbol_id")
+    kept = edges.join(gone.withColumnRenamed("symbol_id", "from_id"), "from_id", "left_anti")
+    return kept.join(gone.withColumnRenamed("symbol_id", "to_id"), "to_id", "left_anti").select("from_id", "to_id", "kind")
+
+
+@query("same_file_edges", """SELECT count(*) AS n FROM (SELECT DISTINCT a.id AS f, b.id AS t FROM
+    (SELECT p_partkey AS id, p_name, p_brand FROM part WHERE p_partkey % 3 = 0) a JOIN (SELECT min(p_partkey) AS id, p_name, p_brand FROM part GROUP BY ALL) b USING (p_brand, p_name) WHERE a.id <> b.id)""")
+def same_file_edges(spark, sf):
+    part = table(spark, sf, "part", "p_partkey", "p_name", "p_brand")
+    line = F.col("p_partkey").cast("int")
+    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), line.alias("line"), F.lit(1).alias("col"))
+    deps = part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("path"), F.col("p_name").alias("to_name"), F.lit("function_call").alias("kind"), line.alias("line"))
+    return resolve.resolve_same_file(deps, symbols).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("session_pairs", f"WITH {_PAIRS} SELECT conv_id AS session, turn, query, outcome FROM p")
+def session_pairs(spark, sf):
+    return history.session_pairs(adapters.turns(spark, sf))
+
+
+@query("compression_rate", """SELECT page_id AS path, strlen(html) AS original_bytes FROM pages""")
+def compression_rate(spark, sf):
+    pages = spread(table(spark, sf, "pages", "page_id", "html"))
+    files = pages.select(F.col("page_id").alias("path"), F.col("html").alias("text"), F.lit("html").alias("language"))
+    return compress.compression_stats(files, 1).select("path", F.col("original_bytes").cast("long").alias("original_bytes"))
+
+
+@query("ranked_context")
+def ranked_context(spark, sf):
+    """The whole request over parts as code and documents as docs (rows only: it is several steps with written tables)."""
+    parts = adapters.part_files(spark, sf).withColumn("text", F.lit(None).cast("string"))
+    docs = adapters.doc_files(spark, sf).select("path", "language", "char_count", "text")
+    symbols = adapters.part_symbols(spark, sf)
+    edges = table(spark, sf, "lineitem", "l_partkey", "l_suppkey").select(F.col("l_partkey").alias("from_id"), F.col("l_suppkey").alias("to_id"), F.lit("function_call").alias("kind"))
+    index = context.Index(parts.unionByName(docs), symbols, graph.edge_set(edges))
+    return context.run_pipeline(index, "update the small ring handling in thing").pivots.select("position", "path", _r("score"), "level", "tokens", "truncated")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return bm25_topk(spark, sf)
