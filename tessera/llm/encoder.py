@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 from functools import lru_cache
 from itertools import chain
 from unicodedata import is_normalized
@@ -22,29 +21,54 @@ import pyarrow.compute as pc
 from tessera.llm.batches import PIECE_BYTES, Recent, pieces
 
 #: Entries of a worker's cache; forgetting changes time only.
-CACHE = 900_000
-#: White space outside ASCII, and control characters that only some libraries count as white space, in UTF-8.
-_ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_ODD_SIGNS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+CACHE = 1_200_000
+#: Bytes of texts that are worth encoding together: the longer a slice, the fewer of its chunks are distinct.
+SLICE_BYTES = 12 << 20
+#: White space outside ASCII, control characters that only some libraries count as white space, and the mark below.
+_ODD = re.compile(rb"[\x01\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_ODD_SIGNS = (b"\x01", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 #: A space between white space, or white space and the end: there a cut would divide a run that is one token.
 _RUN = re.compile(rb"[\x20\t-\r] (?:[\x20\t-\r]|\Z)")
 _RUN_SIGNS = (b"  ", b" \n", b" \t", b" \r", b" \v", b" \f")
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_IS_STOP, _IS_WHITE, _IS_LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,", b" \t\n\r\v\f", bytes(range(65, 91)) + bytes(range(97, 123))))
 _MARK = b"\x01"
 _TO_SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The printable character that byte-level vocabularies use for each byte, and the one of a space.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SYMBOLS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-_GAP = SYMBOLS[32]
+_SYMBOLS_BUT_NEWLINE = {b: s for b, s in SYMBOLS.items() if b != 10}
 
 
-def distinct_chunks(data: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct_chunks(data: list[bytes] | pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct chunks between spaces, the number of each chunk's occurrence in order, and where each text's begin."""
-    split = pc.split_pattern(pa.array(data, pa.binary()), b" ")
+    split = pc.split_pattern(data if isinstance(data, pa.Array) else pa.array(data, pa.binary()), b" ")
     coded = split.flatten().dictionary_encode()
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
 
 
+def with_cuts(data: list[bytes], cut: bytes, lines: bool) -> pa.Array:
+    """The texts with `cut` put before a stop or comma between a letter and white space, and, if asked for, before a line
+    break that follows other than white space. Pre-tokenizers cut at these places too, so fewer chunks are distinct.
+
+    All texts are looked at as one array of bytes. That a text's first byte may be judged by the end of the text before
+    does no harm: a cut before the first byte only puts an empty chunk there.
+    """
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    ends = np.cumsum([0, *map(len, data)])
+    before = np.r_[np.uint8(32), flat[:-1]]
+    at = np.flatnonzero(_IS_STOP[flat] & _IS_WHITE[np.r_[flat[1:], np.uint8(32)]])
+    last, second = before[at], before[np.maximum(at - 1, 0)]
+    at = at[_IS_LETTER[last] | (last >= 0x80) & (second == 0xC3) & (last != 0x97) & (last != 0xB7)]
+    if lines:
+        at = np.sort(np.r_[at, np.flatnonzero((flat == 10) & ~_IS_WHITE[before])])
+    new = np.insert(flat, np.repeat(at, len(cut)), np.tile(np.frombuffer(cut, np.uint8), len(at)))
+    ends = (ends + len(cut) * np.searchsorted(at, ends)).astype(np.int32)
+    ends[-1] = len(new)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(new)])
+
+
 def bare_texts(data: list[bytes]) -> list[bytes]:
     """Texts for a file whose words carry no leading space: ASCII white space as spaces, A-Z lower-cased where that is safe.
 
@@ -59,6 +83,14 @@ def bare_texts(data: list[bytes]) -> list[bytes]:
     return out
 
 
+def _packed(ids: list[list[int]]) -> list[bytes]:
+    """Lists of ids as little-endian unsigned 32-bit integers."""
+    ends = np.cumsum([0, *map(len, ids)]) * 4
+    raw = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+    ends = ends.tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class Encoder:
     """ids(texts): for each text the bytes of its ids as little-endian unsigned 32-bit integers, no special tokens added."""
 
@@ -71,33 +103,29 @@ class Encoder:
         self.library.model._resize_cache(0)  # each word is asked for once
         self.known = Recent(CACHE)
 
-    def _word(self, chunk: bytes) -> str | None:
-        """The byte symbols of a chunk that is one pre-token for certain: letters, with or without one space before."""
-        word = chunk[1:] if chunk[:1] == b" " else chunk
-        if word.isalpha():  # ASCII letters
-            text = word.lower() if self.bare else word
-            return (_GAP if word is not chunk else "") + text.decode()
+    def _letters(self, chunk: bytes) -> bool:
+        """Whether a chunk beyond ASCII is one pre-token for certain: letters that no normalisation changes."""
         try:
-            text = word.decode()
+            text = (chunk[1:] if chunk[:1] == b" " else chunk).decode()
         except UnicodeDecodeError:
-            return None
-        if not text.isalpha() or not is_normalized("NFC", text):
-            return None
-        if self.bare:
-            if "\u03a3" in text or "\u0130" in text:  # letters whose lower case depends on more than themselves
-                return None
-            word = text.lower().encode()
-        return (_GAP if word is not chunk and chunk[:1] == b" " else "") + word.decode("latin-1").translate(SYMBOLS)
+            return False
+        # Of the sigma and the dotted I the lower case depends on more than the letter.
+        return text.isalpha() and is_normalized("NFC", text) and not (self.bare and ("\u03a3" in text or "\u0130" in text))
 
     def _encode_words(self, chunks: list[bytes]) -> list[bytes]:
         """Like _encode, with one call of the library's model where nothing is left to normalise or to cut."""
-        out: list = list(map(self._word, chunks))
-        rest = [i for i, w in enumerate(out) if w is None]
-        tokenize, pack = self.library.model.tokenize, struct.pack
-        for i, word in enumerate(out):
-            if word is not None:
-                ids = [t.id for t in tokenize(word)]
-                out[i] = pack(f"<{len(ids)}I", *ids)
+        word, rest = [], []
+        for i, c in enumerate(chunks):
+            plain = (c[1:] if c[:1] == b" " else c).isalpha() or not c.isascii() and self._letters(c)
+            (word if plain else rest).append(i)
+        joined = b"\n".join([chunks[i] for i in word])
+        if self.bare:
+            joined = joined.decode().lower().encode()
+        symbols = joined.decode("latin-1").translate(_SYMBOLS_BUT_NEWLINE).split("\n") if word else []
+        tokenize = self.library.model.tokenize
+        out: list = [None] * len(chunks)
+        for i, ids in zip(word, _packed([[t.id for t in tokenize(w)] for w in symbols])):
+            out[i] = ids
         for i, ids in zip(rest, self._encode([chunks[i] for i in rest])):
             out[i] = ids
         return out
@@ -106,62 +134,66 @@ class Encoder:
         out = []
         for lo in range(0, len(chunks), 20_000):
             strings = [c.decode("utf-8", "replace") for c in chunks[lo : lo + 20_000]]
-            ids = [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
-            ends = np.cumsum([0, *map(len, ids)]) * 4
-            raw = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
-            ends = ends.tolist()
-            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+            out += _packed([e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)])
         return out
 
     def _learn(self, chunks: set[bytes]) -> None:
-        """Encode chunks that the cache lacks. A stop or comma after a letter is a token of its own and needs no entry with it."""
-        stops = [c for c in chunks if c[-1:] in (b".", b",") and c[-2:-1].isalpha()]
+        """Encode chunks that the cache lacks. Punctuation that ends a chunk after a letter is a pre-token of its own, so a
+        word needs no entry with it."""
         known, old = self.known, self.known.old
-        parts = {p for c in stops for p in (c[:-1], c[-1:])}
-        fresh = chunks.difference(stops).union(p for p in parts if p not in known and p not in old)
-        fresh = list(fresh)
+        cuts = []
+        for c in chunks:
+            at = len(c.rstrip(_PUNCTUATION))
+            if c[:1] == b"\n" and c[1:2] > b" ":  # a line break before a word, likewise
+                cuts.append((c, 1))
+            elif 0 < at < len(c) and (c[at - 1 : at].isalpha() or at > 1 and c[at - 2] == 0xC3 and c[at - 1] not in (0x97, 0xB7)) and b"<|" not in c:
+                cuts.append((c, at))
+        parts = {p for c, at in cuts for p in (c[:at], c[at:])}
+        fresh = list(chunks.difference([c for c, _ in cuts]).union(p for p in parts if p not in known and p not in old))
         known.update(zip(fresh, self._encode_words(fresh)))
-        for c in stops:
-            a, b = c[:-1], c[-1:]
-            known[c] = (known.get(a) or old[a]) + (known.get(b) or old[b])
+        for c, at in cuts:
+            known[c] = (known.get(c[:at]) or old[c[:at]]) + (known.get(c[at:]) or old[c[at:]])
 
-    def _safe(self, text: bytes) -> bool:
+    def _safe(self, texts: list[bytes]) -> list[bool]:
+        """Whether each text may be cut into chunks. Signs that no text of the slice has are looked for only once."""
         if self.bare:
-            return True
-        if _MARK in text or any(s in text for s in _ODD_SIGNS) and _ODD.search(text):
-            return False
-        return not (text[-1:] == b" " or any(s in text for s in _RUN_SIGNS)) or not _RUN.search(text)
+            return [True] * len(texts)
+        whole = b"\n".join(texts)
+        odd, run = ([s for s in signs if s in whole] for signs in (_ODD_SIGNS, _RUN_SIGNS))
+        return [
+            not (odd and any(s in t for s in odd) and _ODD.search(t))
+            and not ((t[-1:] == b" " or any(s in t for s in run)) and _RUN.search(t))
+            for t in texts
+        ]
 
     def ids(self, data: list[bytes]) -> list[bytes]:
-        if len(data) == 1 and len(data[0]) > PIECE_BYTES and self._safe(data[0]):
+        if len(data) == 1 and len(data[0]) > PIECE_BYTES and all(self._safe(data)):
             parts = list(pieces(data[0]))
-            if not self.bare and any(not self._safe(p) for p in parts):
-                return self._encode(data)
-            return [b"".join(self._some([p])[0] for p in parts)]
+            return [b"".join(self._some([p])[0] for p in parts)] if all(self._safe(parts)) else self._encode(data)
         return self._some(data)
 
     def _some(self, data: list[bytes]) -> list[bytes]:
-        whole = [i for i, t in enumerate(data) if not self._safe(t)]
+        whole = [i for i, safe in enumerate(self._safe(data)) if not safe]
         texts = list(data)
         for i in whole:
             texts[i] = b""
-        # A line that ends with a stop is cut there too; the mark says that no space precedes what follows.
-        texts = bare_texts(texts) if self.bare else [t.replace(b".\n", b". " + _MARK + b"\n") for t in texts]
+        # The mark of a cut says that no space precedes what follows.
+        texts = with_cuts(bare_texts(texts), b" ", False) if self.bare else with_cuts(texts, b" " + _MARK, True)
         chunks, index, starts = distinct_chunks(texts)
         if not self.bare:
-            # Every chunk but the first of a text follows a space, which belongs to it.
-            first = [t.split(b" ", 1)[0] for t in texts]
+            # Every other chunk but the first of a text follows a space, which belongs to it.
+            first = [chunks[i].removeprefix(_MARK) for i in index[starts[:-1]].tolist()]
             index = index.astype(np.int64)
             index[starts[:-1]] = len(chunks) + np.arange(len(texts))
             chunks = [c[1:] if c[:1] == _MARK else b" " + c for c in chunks] + first
         self._learn(self.known.missing(set(chunks)))
         found = list(map(self.known.__getitem__, chunks))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        table, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        size = np.fromiter(map(len, found), np.int32, len(found)) // np.int32(4)
+        table, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size, dtype=np.int32) - size
         sizes = size[index]
-        ends = np.cumsum(sizes)
-        flat = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[index] - (ends - sizes), sizes)]
-        bounds = np.r_[0, ends][starts] * 4
+        ends = np.cumsum(sizes, dtype=np.int32)
+        flat = table[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(at[index] - (ends - sizes), sizes)]
+        bounds = np.r_[0, ends][starts].astype(np.int64) * 4
         raw = memoryview(flat.tobytes())
         out = [bytes(raw[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
         for i, ids in zip(whole, self._encode([data[i] for i in whole])):

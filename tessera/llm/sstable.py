@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from tessera.llm.batches import slices, texts
-from tessera.llm.encoder import encoder
+from tessera.llm.encoder import SLICE_BYTES, encoder
 from tessera.scratch import shared_dir
 
 MAGIC = b"TSSTABL1"
@@ -213,7 +213,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
         name = uuid.uuid4().hex
         writer = low = high = None
         with fs.open_output_stream(f"{base}/.{name}") as out:
-            for batch in slices(batches):
+            for batch in slices(batches, limit=SLICE_BYTES):
                 for doc_id, value in zip(batch.column("doc_id").to_pylist(), own.ids(texts(batch))):
                     writer = writer or Writer(out)
                     key = key_of(doc_id)

@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from tessera.llm.batches import PIECE_BYTES, Recent, pieces, slices, texts
-from tessera.llm.encoder import SYMBOLS, bare_texts, distinct_chunks
+from tessera.llm.encoder import SYMBOLS, bare_texts, distinct_chunks, with_cuts
 
 #: Entries of each cache of a worker; forgetting changes time only.
-CACHE = 500_000
+CACHE = 400_000
 #: White space of the tokenizer file's regular expressions (the Unicode property), which those of Python widen.
 SPACE = r"\t-\r \x85\xa0  -     　"
 _NONE = np.iinfo(np.int64).max
@@ -120,7 +120,7 @@ class RaggedMerger:
         """Token counts of texts that fit in memory together with their words; longer texts go piece by piece."""
         if len(data) == 1 and len(data[0]) > PIECE_BYTES:
             return [sum(self.counts([piece])[0] for piece in pieces(data[0]))]
-        chunks, index, starts = distinct_chunks(bare_texts(data))
+        chunks, index, starts = distinct_chunks(with_cuts(bare_texts(data), b" ", False))
         self.learn(self.chunks.missing(set(chunks)))
         size = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
         return np.diff(np.r_[0, np.cumsum(size[index])][starts]).tolist()
