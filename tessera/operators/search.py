@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from tessera.functions.text import camel_tokens, file_stem, keyword_weight, match_quality, plain_tokens
+from tessera.scratch import materialise
 
 K1, B = 1.5, 0.75
 FALLBACK_SCORE = 0.3
@@ -117,7 +118,9 @@ def bm25_query_scores(docs: DataFrame, terms: list[str], key: str = "path", body
     # A filter leaves only the query's words, so that the counts below look at few strings.
     named = F.array(*map(F.lit, wanted))
     kept = tokens.select(key, F.size("tokens").alias("length"), F.filter("tokens", lambda w: F.array_contains(named, w)).alias("found"))
+    # Written once, narrow: the statistics and the scores would otherwise tokenise every text each.
     rows = kept.select(key, "length", *[F.size(F.filter("found", _equals(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    rows = materialise(rows)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
     score = F.lit(0.0)
