@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +13,20 @@ import pyarrow.compute as pc
 SLICE_BYTES = 8 << 20
 #: Bytes of a text whose words are in memory at once.
 PIECE_BYTES = 1 << 20
+try:  # glibc keeps freed blocks otherwise
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def release_memory() -> None:
+    """Give freed memory back: workers live on after a task and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -24,6 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
+        release_memory()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from tessera.llm.batches import PIECE_BYTES, Recent, pieces
 
 #: Entries of a worker's cache; forgetting changes time only.
-CACHE = 1_200_000
+CACHE = 900_000
 #: Bytes of texts that are worth encoding together: the longer a slice, the fewer of its chunks are distinct.
 SLICE_BYTES = 12 << 20
 #: White space outside ASCII, control characters that only some libraries count as white space, and the mark below.
@@ -57,12 +57,15 @@ def with_cuts(data: list[bytes], cut: bytes, lines: bool) -> pa.Array:
     """
     flat = np.frombuffer(b"".join(data), np.uint8)
     ends = np.cumsum([0, *map(len, data)])
-    before = np.r_[np.uint8(32), flat[:-1]]
-    at = np.flatnonzero(_IS_STOP[flat] & _IS_WHITE[np.r_[flat[1:], np.uint8(32)]])
-    last, second = before[at], before[np.maximum(at - 1, 0)]
+    at = np.flatnonzero(_IS_STOP[flat])
+    at = at[(at > 1) & (at < len(flat) - 1)]
+    at = at[_IS_WHITE[flat[at + 1]]]
+    last, second = flat[at - 1], flat[at - 2]
     at = at[_IS_LETTER[last] | (last >= 0x80) & (second == 0xC3) & (last != 0x97) & (last != 0xB7)]
     if lines:
-        at = np.sort(np.r_[at, np.flatnonzero((flat == 10) & ~_IS_WHITE[before])])
+        breaks = np.flatnonzero(flat == 10)
+        breaks = breaks[breaks > 0]
+        at = np.sort(np.r_[at, breaks[~_IS_WHITE[flat[breaks - 1]]]])
     new = np.insert(flat, np.repeat(at, len(cut)), np.tile(np.frombuffer(cut, np.uint8), len(at)))
     ends = (ends + len(cut) * np.searchsorted(at, ends)).astype(np.int32)
     ends[-1] = len(new)
@@ -192,9 +195,11 @@ class Encoder:
         table, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size, dtype=np.int32) - size
         sizes = size[index]
         ends = np.cumsum(sizes, dtype=np.int32)
-        flat = table[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(at[index] - (ends - sizes), sizes)]
+        spots = np.repeat(at[index] - (ends - sizes), sizes)
+        spots += np.arange(len(spots), dtype=np.int32)
         bounds = np.r_[0, ends][starts].astype(np.int64) * 4
-        raw = memoryview(flat.tobytes())
+        del chunks, found, index, sizes, ends
+        raw = memoryview(table[spots]).cast("B")
         out = [bytes(raw[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
         for i, ids in zip(whole, self._encode([data[i] for i in whole])):
             out[i] = ids
