@@ -24,6 +24,8 @@ from tessera.llm.encoder import SYMBOLS, bare_texts, distinct_chunks, with_cuts
 CACHE = 400_000
 #: White space of the tokenizer file's regular expressions (the Unicode property), which those of Python widen.
 SPACE = r"\t-\r \x85\xa0  -     　"
+#: Code points that hold no letters, though the regular expressions here take some of them for letters.
+BEYOND = "\U00032400-\U0010ffff"
 _NONE = np.iinfo(np.int64).max
 
 
@@ -52,7 +54,7 @@ class RaggedMerger:
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.mark = commonprefix(specials).encode()
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?![{BEYOND}])\p{{L}})+|\p{{N}}|(?:[{BEYOND}]|[^{SPACE}\p{{L}}\p{{N}}])+")
         self.chunks, self.tokens = Recent(CACHE), Recent(CACHE)
 
     def merge(self, words: list[bytes]) -> np.ndarray:
