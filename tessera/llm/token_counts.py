@@ -121,7 +121,11 @@ class RaggedMerger:
     def counts(self, data: list[bytes]) -> list[int]:
         """Token counts of texts that fit in memory together with their words; longer texts go piece by piece."""
         if len(data) == 1 and len(data[0]) > PIECE_BYTES:
-            return [sum(self.counts([piece])[0] for piece in pieces(data[0]))]
+            return [sum(self._some([piece])[0] for piece in pieces(data[0]))]
+        return self._some(data)
+
+    def _some(self, data: list[bytes]) -> list[int]:
+        """Counts of texts of any length, all at once."""
         chunks, index, starts = distinct_chunks(with_cuts(bare_texts(data), b" ", False))
         self.learn(self.chunks.missing(set(chunks)))
         size = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))

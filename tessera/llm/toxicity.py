@@ -152,7 +152,11 @@ class Scorer:
     def _sums(self, data: list[bytes]) -> np.ndarray:
         """(sum of word scores, number of words) of each text."""
         if len(data) == 1 and len(data[0]) > PIECE_BYTES:
-            return sum(self._sums([p]) for p in pieces(data[0]))
+            return sum(self._some([p]) for p in pieces(data[0]))
+        return self._some(data)
+
+    def _some(self, data: list[bytes]) -> np.ndarray:
+        """The same of texts of any length, all at once."""
         found, index, starts = bags(data)
         missing = list(self.known.missing(set(found)))
         self.known.update(zip(missing, self.model.words(missing).tolist()))

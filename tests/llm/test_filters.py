@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 
 from tessera.llm import decontaminate
+from tessera.llm.batches import PIECE_BYTES
 from tessera.llm.chat import INSERT, MERGE, RELABEL, UNKNOWN, format_chat, role_number
 from tessera.llm.decontaminate import clean, contamination, longest_matches, suffix_array
 from tessera.llm.secrets import secret_digests, secret_spans
 from tessera.llm.sharding import Cells, balanced_shards
-from tessera.llm.toxicity import fit, held_out, keep_clean, score, train
+from tessera.llm.toxicity import BUCKETS, Model, Scorer, fit, held_out, keep_clean, score, train
 
 # ---- decontamination -----------------------------------------------------------------------------------------------
 
@@ -216,6 +217,14 @@ def test_toxicity_learns(spark, docs, nothing):
     assert np.allclose(again.weight, model.weight)
 
 
+@pytest.mark.parametrize("text", [b"some words " * 100_000 + b"tail", b"x" * 1_100_000, b"ab-cd" * 220_000])
+def test_long_texts_score_like_short_ones(text):
+    model = Model(np.random.default_rng(1).normal(size=BUCKETS), -1.0)
+    assert len(text) > PIECE_BYTES
+    together = Scorer(model).scores([text, b""])  # two texts are never cut
+    assert Scorer(model).scores([text]) == pytest.approx(together[:1], rel=1e-9)
+
+
 def test_no_labels_give_the_prior(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert len({r.score for r in score(docs, train(docs, labels)).collect()}) == 1

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tessera.llm.batches import PIECE_BYTES
 from tessera.llm.encoder import Encoder
 from tessera.llm.packing import fill, pack
 from tessera.llm.sstable import Reader, Writer, id_of, key_of, open_shard, read_shards, token_files, write_shards
@@ -44,6 +45,12 @@ def test_long_texts_in_pieces():
     assert MERGER.counts([run]) == [len(ids(WORD, run.decode()))]
 
 
+@pytest.mark.parametrize("text", ["seven77 " * 140_001 + "tail", "ab-" * 400_000, "日本" * 180_000])
+def test_long_texts_whose_words_do_not_end_at_the_limit(text):
+    assert len(text.encode()) > PIECE_BYTES
+    assert MERGER.counts([text.encode()]) == [len(ids(WORD, text))]
+
+
 def test_token_counts(spark, docs, nothing):
     got = Counter(tuple(r) for r in token_counts(docs, WORD, 100).collect())
     want = Counter((d, len((t or "").encode()), n := len(ids(WORD, t)), n > 100) for d, t, *_ in docs.collect())
