@@ -164,6 +164,43 @@ def _statements(code: str, start: int, end: int):
             return
 
 
+_MARKUP = re.compile(
+    r"(?P<comment><!--.*?(?:-->|\Z))|(?P<doctype><!.*?(?:>|\Z))|<(?P<raw>script|style)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*?(?P<empty>/)?>",
+    re.S | re.I,
+)
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+def _html_nodes(text: str) -> list[tuple[int, None, int]]:
+    """Top-level elements, declarations and runs of text; comments between them are none. An open element ends with the text."""
+    out: list[tuple[int, None, int]] = []
+    open_: list[str] = []
+    at = 0  # where the element or text that is not yet in `out` begins
+    for m in _MARKUP.finditer(text):
+        name = (m["name"] or "").lower()
+        if open_:
+            if m["end"] and name in open_:
+                while open_.pop() != name:
+                    pass
+                if not open_:
+                    out.append((at, None, m.end()))
+                    at = m.end()
+            elif name and not (m["end"] or m["empty"] or name in _VOID):
+                open_.append(name)
+            continue
+        out.append((at, None, m.start()))
+        at = m.start()
+        if name and not (m["end"] or m["empty"] or name in _VOID):
+            open_.append(name)
+        else:
+            if not m["comment"]:
+                out.append((at, None, m.end()))
+            at = m.end()
+    out.append((at, None, len(text)))
+    return [(a, b, c) for a, b, c in ((a + len(text[a:c]) - len(text[a:c].lstrip()), b, c) for a, b, c in out) if a < c]
+
+
 def declarations(text: str, language: str) -> list[tuple[int, int | None, int]]:
     """Top-level (start, body, end): body is where a container's or function's block begins, None for other text."""
     if language == "python":
@@ -182,6 +219,8 @@ def declarations(text: str, language: str) -> list[tuple[int, int | None, int]]:
                 body = text.rfind(":", starts[first - 1], starts[line - 1] + node.body[0].col_offset) + 1
             out.append((starts[first - 1], body, end))
         return out
+    if language == "html":
+        return _html_nodes(text)
     code = Scan(text, language).code
     out = []
     for start, body, end in _statements(code, 0, len(code)):

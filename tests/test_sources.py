@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tessera.operators.compress import collapse_blanks, compact, compress, skeleton
+from tessera.plans import queries as plans
 from tessera.sources import documents, walk
 from tessera.sources.code import code_symbols
 from tessera.sources.store import Store
@@ -81,6 +82,25 @@ def test_compression():
     assert collapse_blanks("a\n\n\n\nb\n\n") == "a\n\nb"
 
 
+def test_html_skeleton():
+    page = "<!DOCTYPE html>\n<!-- gone --><html><p>a; #b {c}, <br>d<!-- kept --></p><script>'</html>'</script></html> <!-- gone -->tail; x\n"
+    want = "<!DOCTYPE html>\n<html><p>a; #b {c}, <br>d<!-- kept --></p><script>'</html>'</script></html>\ntail; x"
+    assert skeleton(page, "html") == want and skeleton("<!-- all -->", "html") == "" and skeleton("<div>open", "html") == "<div>open"
+
+
+def test_compression_queries(spark, tmp_path):
+    pages = ["<!DOCTYPE html><!-- c --><p>é</p>\n", "<p>a; b</p>\n\n\n\n<p>{c}</p>", "plain", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    size = lambda t: None if t is None else len(t.encode())
+    got = {tuple(r) for r in plans.compress_skeleton(spark, str(tmp_path)).select("page_id", "original_bytes", "compressed_bytes").collect()}
+    skeletons = ["<!DOCTYPE html>\n<p>é</p>", "<p>a; b</p>\n<p>{c}</p>", "plain", "", None]
+    assert got == {(i, size(p), size(s)) for i, (p, s) in enumerate(zip(pages, skeletons))}
+    compacts = ["<!DOCTYPE html><p>é</p>", "<p>a; b</p>\n\n<p>{c}</p>", "plain", "", None]
+    rates = ["31%", "8%", "0%", "0%", "0%"]
+    got = {tuple(r) for r in plans.compression_stats(spark, str(tmp_path)).select("path", "original_bytes", "compressed_bytes", "rate").collect()}
+    assert got == {(i, size(p), size(c), r) for i, (p, c, r) in enumerate(zip(pages, compacts, rates))}
+
+
 @pytest.fixture
 def tree(tmp_path):
     files = {
