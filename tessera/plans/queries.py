@@ -468,6 +468,16 @@ def resolve_unambiguous(spark, sf):
     return resolve.resolve(deps, symbols)
 
 
+@query("resolve_unambiguous_whole")
+def resolve_unambiguous_whole(spark, sf):
+    """`resolve_unambiguous` with every part as a dependency, where its SQL takes a third of them (rows only)."""
+    part = table(spark, sf, "part", "p_partkey", "p_name", "p_brand")
+    line = F.col("p_partkey").cast("int")
+    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), line.alias("line"), F.lit(1).alias("col"), (F.col("p_partkey") % 29 == 0).alias("is_exported"))
+    deps = part.select(F.col("p_brand").alias("path"), F.col("p_name").alias("to_name"), F.lit("function_call").alias("kind"), line.alias("line"))
+    return resolve.resolve(deps, symbols)
+
+
 @query(
     "dep_calls_regex",
     r"""WITH l AS (SELECT p_partkey % 7 AS k, p_name AS name FROM part), src AS (SELECT k, replace(name, ' ', '_') || '(' || replace(name, ' ', '(') || ') if (x)' AS line FROM l)
@@ -777,6 +787,16 @@ def same_file_edges(spark, sf):
     return resolve.resolve_same_file(deps, symbols).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("same_file_edges_whole")
+def same_file_edges_whole(spark, sf):
+    """`same_file_edges` with every part as a dependency, where its SQL takes a third of them (rows only)."""
+    part = table(spark, sf, "part", "p_partkey", "p_name", "p_brand")
+    line = F.col("p_partkey").cast("int")
+    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), line.alias("line"), F.lit(1).alias("col"))
+    deps = part.select(F.col("p_brand").alias("path"), F.col("p_name").alias("to_name"), F.lit("function_call").alias("kind"), line.alias("line"))
+    return resolve.resolve_same_file(deps, symbols).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("session_pairs", f"WITH {_PAIRS} SELECT conv_id AS session, turn, query, outcome FROM p")
 def session_pairs(spark, sf):
     return history.session_pairs(adapters.turns(spark, sf))

@@ -1,7 +1,10 @@
+import random
+
 import pyspark.sql.functions as F
 
 from tessera.operators import budget, graph, relevance, resolve
 from tessera.operators.dependencies import extract_dependencies
+from tessera.plans import queries as plans
 
 ROW = "path string, sym_best double, keywords array<string>, filename_hit boolean, tfidf double, bm25 double"
 
@@ -89,3 +92,19 @@ def test_dependencies(spark):
     assert got["r"] == {("C", "import", 1), ("new", call, 2), ("y", call, 3)}
     assert got["t"] == {("A", "import", 1), ("B", "import", 1), ("Foo", "type_reference", 2), ("Foo", call, 2), ("b", call, 2)}
     assert "j" not in got
+
+
+def test_every_part_is_resolved(spark, tmp_path):
+    rng = random.Random(8)
+    parts = [(i, rng.choice("abcdefgh") * rng.randint(1, 4), rng.choice("xyz")) for i in range(1, 120)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    edges, near = set(), set()
+    for key, name, brand in parts:  # a part's line is its key, so it is its own caller
+        same = [k for k, n, b in parts if (n, b) == (name, brand)]
+        other = [k for k, n, b in parts if n == name and b != brand]
+        exported = [k for k in other if k % 29 == 0]
+        found = [k for k in same if k != key][:1] or (exported if len(exported) == 1 else other if not exported and len(other) == 1 else [])
+        edges.update((key, k, "function_call") for k in found)
+        near.update((key, k) for k in same[:1] if k != key)
+    assert {tuple(r) for r in plans.resolve_unambiguous_whole(spark, str(tmp_path)).select("from_id", "to_id", "kind").collect()} == edges
+    assert any(k % 3 for k, *_ in edges) and plans.same_file_edges_whole(spark, str(tmp_path)).first().n == len(near)
