@@ -34,11 +34,16 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
 def write(df: DataFrame, codec: str = "zstd") -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    made(spark, path)
     df.write.option("compression", codec).parquet(path)
     return path
 
 
+def made(spark: SparkSession, path: str) -> None:
+    """Have a folder removed at the end of the process."""
+    _made.append((spark, path))
+
+
 def reread(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 

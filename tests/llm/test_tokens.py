@@ -139,3 +139,18 @@ def test_neighbours_come_together():
     tails = [np.array(x, "<u2") for x in ([1, 2, 3, 4] * 3, [9, 8, 7] * 3, [1, 2, 3, 5] * 3, [9, 8, 6] * 3)]
     index = Index(tails, np.ones(10), 10.0)
     assert np.argsort(-index.scores(0))[:2].tolist() == [0, 2] and np.argsort(-index.scores(1))[:2].tolist() == [1, 3]
+
+
+def test_neighbours_of_the_whole_corpus(spark):
+    """Each text has one partner, half the corpus away: they share a window whatever the blocks of the index."""
+    rng, half = np.random.default_rng(4), 900
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("nd", "lk", "rt", "mp", "st", "ck", "gh", "ff")]
+    topics = [" ".join(rng.choice(words, 12)) for _ in range(half)]
+    rows = [(i, f"{topics[i % half]} " * 8) for i in range(2 * half)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    packed = [{tuple(r) for r in pack(docs, BYTE, block_docs=n).collect()} for n in (100_000, 250)]
+    assert packed[0] == packed[1]
+    windows = defaultdict(set)
+    for doc_id, *_, sequence, _ in packed[0]:
+        windows[doc_id].add(sequence)
+    assert sum(bool(windows[i] & windows[i + half]) for i in range(half)) > 0.98 * half
