@@ -8,6 +8,7 @@ together from the labelled sample by full-batch gradient descent with momentum,
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -31,24 +32,43 @@ BLANKS = 20
 STEPS, RATE, SOFT_RATE, MOMENTUM, RIDGE, SEED = 200, 0.05, 0.01, 0.9, 1e-9, 7
 THRESHOLD = 0.3
 CACHE = 300_000
+#: Bytes of a word whose n-grams are in memory at once.
+LONG = 1 << 14
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def features(word: bytes) -> list[int]:
     """Buckets of a word: itself and its character n-grams with marked ends (by byte; multi-byte characters stay together
     often enough for the purpose)."""
-    marked = b"<" + word[:40] + b">"
+    marked = b"<" + word + b">"
     grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
     return [zlib.crc32(g) % BUCKETS for g in (b"\x00" + word, *grams)]
 
 
+def _long_features(word: bytes) -> Iterator[np.ndarray]:
+    """The same of a long word, part by part."""
+    yield np.array([zlib.crc32(b"\x00" + word) % BUCKETS], np.int64)
+    marked = b"<" + word + b">"
+    for lo in range(0, len(marked), LONG):
+        part = marked[lo : lo + LONG + max(NGRAMS) - 1]
+        grams = [part[i : i + n] for n in NGRAMS for i in range(min(LONG, len(part) - n + 1))]
+        yield np.fromiter((zlib.crc32(g) % BUCKETS for g in grams), np.int64, len(grams))
+
+
 def _bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of many words one after another, and how many each has."""
     parts, sizes = [np.zeros(0, np.int64)], []
     for lo in range(0, len(words), 20_000):
-        bag = list(map(features, words[lo : lo + 20_000]))
-        sizes += map(len, bag)
-        parts.append(np.fromiter(chain.from_iterable(bag), np.int64))
+        some = words[lo : lo + 20_000]
+        if max(map(len, some)) <= LONG and sum(map(len, some)) <= PIECE_BYTES:
+            bag = list(map(features, some))
+            sizes += map(len, bag)
+            parts.append(np.fromiter(chain.from_iterable(bag), np.int64))
+            continue
+        for word in some:
+            bag = [*_long_features(word)]
+            sizes.append(sum(map(len, bag)))
+            parts += bag
     return np.concatenate(parts), np.array(sizes, np.int64)
 
 
@@ -66,8 +86,18 @@ class Model:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """Class score of each word; the empty string is no word and scores 0."""
-        flat, sizes = _bags(words)
-        means = np.add.reduceat(self.weight[flat], np.cumsum(sizes) - sizes) / sizes if words else np.zeros(0)
+        means, short = np.zeros(len(words)), []
+        for i, word in enumerate(words):
+            if len(word) <= LONG:
+                short.append(i)
+                continue
+            total = n = 0
+            for part in _long_features(word):
+                total, n = total + float(self.weight[part].sum(dtype=np.float64)), n + len(part)
+            means[i] = total / n
+        if short:
+            flat, sizes = _bags([words[i] for i in short])
+            means[short] = np.add.reduceat(self.weight[flat], np.cumsum(sizes) - sizes) / sizes
         return np.where(np.fromiter(map(bool, words), bool, len(words)), means, 0.0)
 
 

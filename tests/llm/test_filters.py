@@ -13,7 +13,7 @@ from tessera.llm.chat import INSERT, MERGE, RELABEL, UNKNOWN, format_chat, role_
 from tessera.llm.decontaminate import clean, contamination, longest_matches, suffix_array
 from tessera.llm.secrets import secret_digests, secret_spans
 from tessera.llm.sharding import Cells, balanced_shards
-from tessera.llm.toxicity import BUCKETS, Model, Scorer, fit, held_out, keep_clean, score, train
+from tessera.llm.toxicity import BUCKETS, LONG, Model, Scorer, _long_features, features, fit, held_out, keep_clean, score, train
 
 # ---- decontamination -----------------------------------------------------------------------------------------------
 
@@ -225,6 +225,21 @@ def test_long_texts_score_like_short_ones(text):
     assert Scorer(model).scores([text]) == pytest.approx(together[:1], rel=1e-9)
 
 
+def test_all_of_a_word_counts():
+    word = b"a" * 40 + b"bcd"
+    assert {zlib.crc32(b"bcd") % BUCKETS, zlib.crc32(b"cd>") % BUCKETS} <= set(features(word))
+    rng = np.random.default_rng(3)
+    model = Model(rng.normal(size=BUCKETS), 0.0)
+    for n in (3, LONG - 1, LONG, LONG + 1, 2 * LONG - 2, 2 * LONG - 1, 3 * LONG):
+        word = bytes(rng.integers(97, 123, n, dtype=np.uint8))
+        assert sorted(np.concatenate([*_long_features(word)]).tolist()) == sorted(features(word))
+        assert model.words([b"x", word, b""]) == pytest.approx([model.weight[features(b"x")].mean(), model.weight[features(word)].mean(), 0], abs=1e-9)
+    rows = [("日本" * 10 + tail, y) for tail, y in (("悪い言葉", 1), ("良い言葉", 0)) for _ in range(20)]
+    learned = Scorer(fit([(t.encode(), y) for t, y in rows]))
+    bad, good = learned.scores([("語彙" * 9 + "日本悪い言葉").encode(), ("語彙" * 9 + "日本良い言葉").encode()])
+    assert bad > good
+
+
 def test_no_labels_give_the_prior(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert len({r.score for r in score(docs, train(docs, labels)).collect()}) == 1
