@@ -2,7 +2,7 @@
 
 A written table cuts lineage like a checkpoint and survives the loss of executors; it is columnar, so later passes
 read only the columns they name. The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, a
-laptop) a temporary folder of this machine is chosen and set.
+laptop) and the master is local, a temporary folder of this machine is chosen and set.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import ship
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -33,6 +37,7 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def write(df: DataFrame, codec: str = "zstd") -> str:
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     made(spark, path)
     df.write.option("compression", codec).parquet(path)
