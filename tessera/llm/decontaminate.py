@@ -16,6 +16,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from tessera.llm.batches import slices, texts
+from tessera.session import ship
 
 WINDOW = 10
 #: Text bytes of the benchmark that are broadcast in one block; more items go in further blocks, one in memory at a time.
@@ -147,6 +148,7 @@ class Shard:
 def _blocks(benchmark: DataFrame, window: int) -> list:
     """Broadcasts of the benchmark, each of BLOCK_BYTES of text or one longer item; rows stream through the driver."""
     spark, block, size, out = benchmark.sparkSession, [], 0, []
+    ship(spark)
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     for name, text in rows.toLocalIterator():
         data = text.encode("utf-8", "replace")

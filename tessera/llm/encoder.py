@@ -8,8 +8,8 @@ has exceptions (some runs of white space, white space beyond ASCII) are encoded
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from functools import lru_cache
 from itertools import chain
 from unicodedata import is_normalized
@@ -24,14 +24,13 @@ from tessera.llm.batches import PIECE_BYTES, Recent, pieces
 CACHE = 900_000
 #: Bytes of texts that are worth encoding together: the longer a slice, the fewer of its chunks are distinct.
 SLICE_BYTES = 12 << 20
-#: White space outside ASCII, control characters that only some libraries count as white space, and the mark below.
-_ODD = re.compile(rb"[\x01\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_ODD_SIGNS = (b"\x01", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
-#: A space between white space, or white space and the end: there a cut would divide a run that is one token.
-_RUN = re.compile(rb"[\x20\t-\r] (?:[\x20\t-\r]|\Z)")
-_RUN_SIGNS = (b"  ", b" \n", b" \t", b" \r", b" \v", b" \f")
+#: White space outside ASCII, control characters that only some libraries count as white space, and the mark below: bytes
+#: that begin them, and the last bytes of those that begin with e2 80.
+_ODD_LEADS, _ODD_ENDS = b"\x01\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3", bytes([*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF])
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_IS_STOP, _IS_WHITE, _IS_LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,", b" \t\n\r\v\f", bytes(range(65, 91)) + bytes(range(97, 123))))
+_IS_STOP, _IS_WHITE, _IS_LETTER, _IS_ODD_LEAD, _IS_ODD_END = (
+    np.isin(np.arange(256), list(x)) for x in (b".,", b" \t\n\r\v\f", bytes(range(65, 91)) + bytes(range(97, 123)), _ODD_LEADS, _ODD_ENDS)
+)
 _MARK = b"\x01"
 _TO_SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -94,16 +93,44 @@ def _packed(ids: list[list[int]]) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
+def _by_concatenation(source: str, library):
+    """A faster merger of the same file (tiktoken), and the id of a line break, or None where equality is not certain.
+
+    It merges neighbours whose concatenation is in the vocabulary, lowest id first; the library merges listed pairs, lowest
+    rank first. Up to the moment a token t arises, nothing merged across its ends, so what lies between them is what merges
+    of lower rank make of t alone. Hence both give the same ids if ids ascend with ranks and every token, alone, becomes
+    itself; tokens that don't never arise and are left out.
+    """
+    model = json.loads(source)["model"]
+    vocab, byte = model["vocab"], {ord(SYMBOLS.get(b, chr(b))): b for b in range(256)}
+    if model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("unk_token"):
+        return None
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [vocab[t] for t in made]
+    if any(a >= b for a, b in zip(ids, ids[1:])) or any(chr(c) not in vocab for c in byte) or max(vocab[chr(c)] for c in byte) > min(ids, default=0):
+        return None
+    tokens = [chr(c) for c in byte] + [t for t in made if [x.id for x in library.model.tokenize(t)] == [vocab[t]]]
+    import tiktoken
+
+    ranks = {bytes(byte[ord(c)] for c in t): vocab[t] for t in tokens}
+    return tiktoken.Encoding("lines", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={}), vocab[SYMBOLS[10]]
+
+
 class Encoder:
     """ids(texts): for each text the bytes of its ids as little-endian unsigned 32-bit integers, no special tokens added."""
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.library = Tokenizer.from_str(source)
-        self.bare = '"end_of_word_suffix": "</w>"' in source or '"end_of_word_suffix":"</w>"' in source
-        self.library.model._resize_cache(0)  # each word is asked for once
+        model = json.loads(source)["model"]
+        self.bare = bool(model.get("end_of_word_suffix"))
+        if self.bare:  # the same model without a cache, as each word is asked for once
+            merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+            others = {k: v for k in ("unk_token", "end_of_word_suffix", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if (v := model.get(k)) is not None}
+            self.library.model = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **others)
+        self.lines = None if self.bare else _by_concatenation(source, self.library)
         self.known = Recent(CACHE)
 
     def _letters(self, chunk: bytes) -> bool:
@@ -122,11 +149,19 @@ class Encoder:
             plain = (c[1:] if c[:1] == b" " else c).isalpha() or not c.isascii() and self._letters(c)
             (word if plain else rest).append(i)
         joined = b"\n".join([chunks[i] for i in word])
+        out: list = [None] * len(chunks)
+        if self.lines and word:
+            fast, line = self.lines
+            ids = fast.encode_to_numpy(joined.decode(), disallowed_special=()).astype("<u4", copy=False)
+            ends = np.flatnonzero(ids == line)
+            raw, ends = ids.tobytes(), [*(ends * 4).tolist(), 4 * len(ids)]
+            for i, a, b in zip(word, [0, *(e + 4 for e in ends)], ends):
+                out[i] = raw[a:b]
+            word = []
         if self.bare:
             joined = joined.decode().lower().encode()
         symbols = joined.decode("latin-1").translate(_SYMBOLS_BUT_NEWLINE).split("\n") if word else []
         tokenize = self.library.model.tokenize
-        out: list = [None] * len(chunks)
         for i, ids in zip(word, _packed([[t.id for t in tokenize(w)] for w in symbols])):
             out[i] = ids
         for i, ids in zip(rest, self._encode([chunks[i] for i in rest])):
@@ -157,26 +192,31 @@ class Encoder:
         for c, at in cuts:
             known[c] = (known.get(c[:at]) or old[c[:at]]) + (known.get(c[at:]) or old[c[at:]])
 
-    def _safe(self, texts: list[bytes]) -> list[bool]:
-        """Whether each text may be cut into chunks. Signs that no text of the slice has are looked for only once."""
+    def _safe(self, texts: list[bytes]) -> np.ndarray:
+        """Whether each text may be cut into chunks: it holds neither odd white space nor a run that a cut would divide."""
         if self.bare:
-            return [True] * len(texts)
-        whole = b"\n".join(texts)
-        odd, run = ([s for s in signs if s in whole] for signs in (_ODD_SIGNS, _RUN_SIGNS))
-        return [
-            not (odd and any(s in t for s in odd) and _ODD.search(t))
-            and not ((t[-1:] == b" " or any(s in t for s in run)) and _RUN.search(t))
-            for t in texts
-        ]
+            return np.ones(len(texts), bool)
+        flat = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n\n", np.uint8)
+        odd = np.flatnonzero(_IS_ODD_LEAD[flat[:-2]])
+        lead, after, third = flat[odd], flat[odd + 1], flat[odd + 2]
+        two = (lead == 0xC2) & ((after == 0x85) | (after == 0xA0))
+        three = (lead == 0xE1) & (after == 0x9A) | (lead == 0xE3) & (after == 0x80) | (lead == 0xE2) & ((after == 0x81) | (after == 0x80) & _IS_ODD_END[third])
+        odd = odd[(lead < 0x20) | two | three]
+        space = np.flatnonzero(flat[1:-1] == 32) + 1  # a space at an end of a text lies beside a line break here
+        run = space[_IS_WHITE[flat[space - 1]] & _IS_WHITE[flat[space + 1]]]
+        starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        out = np.ones(len(texts), bool)
+        out[np.searchsorted(starts, np.r_[odd, run], side="right") - 1] = False
+        return out
 
     def ids(self, data: list[bytes]) -> list[bytes]:
-        if len(data) == 1 and len(data[0]) > PIECE_BYTES and all(self._safe(data)):
+        if len(data) == 1 and len(data[0]) > PIECE_BYTES and self._safe(data).all():
             parts = list(pieces(data[0]))
-            return [b"".join(self._some([p])[0] for p in parts)] if all(self._safe(parts)) else self._encode(data)
+            return [b"".join(self._some([p])[0] for p in parts)] if self._safe(parts).all() else self._encode(data)
         return self._some(data)
 
     def _some(self, data: list[bytes]) -> list[bytes]:
-        whole = [i for i, safe in enumerate(self._safe(data)) if not safe]
+        whole = np.flatnonzero(~self._safe(data)).tolist()
         texts = list(data)
         for i in whole:
             texts[i] = b""

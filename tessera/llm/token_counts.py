@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.batches import PIECE_BYTES, Recent, pieces, slices, texts
 from tessera.llm.encoder import SYMBOLS, bare_texts, distinct_chunks, with_cuts
+from tessera.session import ship
 
 #: Entries of each cache of a worker; forgetting changes time only.
 CACHE = 400_000
@@ -146,6 +147,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     Rows are independent: null doc_ids, repeats and other columns pass or are ignored without effect; an empty table
     gives an empty result. No shuffle: one Arrow pass over whole texts.
     """
+    ship(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 
 from tessera.llm.batches import PIECE_BYTES, Recent, pieces, slices, texts
 from tessera.llm.encoder import distinct_chunks
+from tessera.session import ship
 
 #: Labelled rows that a model is fitted on at most: those whose doc_id has the smallest hashes.
 SAMPLE_ROWS = 8000
@@ -206,6 +207,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     like any row; other columns are not read; an empty table gives an empty result. One Arrow pass over whole texts with
     the bucket weights broadcast (their number is fixed).
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -224,6 +226,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, that score below the threshold: judged and filtered in one pass, without a join."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

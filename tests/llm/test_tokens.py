@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm.batches import PIECE_BYTES
 from tessera.llm.encoder import Encoder
-from tessera.llm.packing import fill, pack
+from tessera.llm.packing import Index, fill, pack
 from tessera.llm.sstable import Reader, Writer, id_of, key_of, open_shard, read_shards, token_files, write_shards
 from tessera.llm.token_counts import RaggedMerger, token_counts
 
@@ -94,7 +94,7 @@ def test_fill_is_exact():
     for _ in range(200):
         lengths = rng.integers(0, 70, rng.integers(0, 30)).tolist()
         order = rng.random(len(lengths))
-        windows = fill(lengths, lambda d: order, 64)
+        windows = fill(lengths, lambda seeds: np.tile(order, (len(seeds), 1)), 64)
         pieces = defaultdict(list)
         for w in windows:
             for d, at, n in w:
@@ -134,23 +134,82 @@ def test_pack(spark, docs, nothing):
 
 
 def test_neighbours_come_together():
-    from tessera.llm.packing import Index
-
     tails = [np.array(x, "<u2") for x in ([1, 2, 3, 4] * 3, [9, 8, 7] * 3, [1, 2, 3, 5] * 3, [9, 8, 6] * 3)]
     index = Index(tails, np.ones(10), 10.0)
     assert np.argsort(-index.scores(0))[:2].tolist() == [0, 2] and np.argsort(-index.scores(1))[:2].tolist() == [1, 3]
 
 
+def test_fill_takes_the_best_unused():
+    """Against the definition: falling score, ties in order, the last one cut and still to be had."""
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        n, window = int(rng.integers(1, 25)), 50
+        lengths, scores = rng.integers(1, window, n).tolist(), rng.integers(0, 4, (n, n)).astype(float)
+        rest, want = list(lengths), []
+        for seed in range(n):
+            while rest[seed] and sum(rest) >= window:
+                room, pieces = window, []
+                for doc in [seed, *sorted((d for d in range(n) if d != seed), key=lambda d: (-scores[seed, d], d))]:
+                    if rest[doc] and room:
+                        took = min(room, rest[doc])
+                        pieces.append((doc, lengths[doc] - rest[doc], took))
+                        rest[doc], room = rest[doc] - took, room - took
+                want.append(pieces)
+        got = fill(lengths, lambda seeds: scores[seeds], window)
+        assert got[: len(want)] == want and sum(n for w in got for *_, n in w) == sum(lengths)
+
+
+def test_scores_are_those_of_bm25():
+    rng, k1, b = np.random.default_rng(5), 1.2, 0.75
+    docs = [rng.integers(0, 40, rng.integers(1, 60)).astype("<u2") for _ in range(30)]
+    idf, mean = rng.random(40) + 0.1, 25.0
+    got = Index(docs, idf, mean).rows(list(range(30)))
+    for q in range(30):
+        for d in range(30):
+            want = 0.0
+            for term in set(docs[q].tolist()):
+                tf = docs[d].tolist().count(term)
+                want += idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(docs[d]) / mean)) if tf else 0
+            assert abs(got[q, d] - want) < 1e-9
+
+
+def _shared(rows, half):
+    windows = defaultdict(set)
+    for doc_id, *_, sequence, _ in rows:
+        windows[doc_id].add(sequence)
+    return sum(bool(windows[i] & windows[i + half]) for i in range(half)) / half
+
+
 def test_neighbours_of_the_whole_corpus(spark):
-    """Each text has one partner, half the corpus away: they share a window whatever the blocks of the index."""
+    """Each text has one partner, half the corpus away: copies share a window, and most of those that share their words do."""
     rng, half = np.random.default_rng(4), 900
     words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("nd", "lk", "rt", "mp", "st", "ck", "gh", "ff")]
-    topics = [" ".join(rng.choice(words, 12)) for _ in range(half)]
-    rows = [(i, f"{topics[i % half]} " * 8) for i in range(2 * half)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
-    packed = [{tuple(r) for r in pack(docs, BYTE, block_docs=n).collect()} for n in (100_000, 250)]
-    assert packed[0] == packed[1]
-    windows = defaultdict(set)
-    for doc_id, *_, sequence, _ in packed[0]:
-        windows[doc_id].add(sequence)
-    assert sum(bool(windows[i] & windows[i + half]) for i in range(half)) > 0.98 * half
+    topics = [rng.choice(words, 12) for _ in range(half)]
+    copies = [(i, " ".join(topics[i % half]) * 8) for i in range(2 * half)]
+    others = [(i, " ".join(rng.choice(topics[i % half], 96))) for i in range(2 * half)]
+    parts = defaultdict(list)
+    for rows, least in ((copies, 0.98), (others, 0.8)):
+        for n in (2, 5):
+            docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+            packed = pack(docs, BYTE).collect()
+            assert _shared(packed, half) > least
+            groups = defaultdict(list)
+            for r in packed:
+                groups[r.sequence_id].append((r.doc_id, r.start, r.length, r.offset))
+            parts[least].append(sorted(sorted(g) for g in groups.values()))
+    for first, second in parts.values():  # however the rows lie, the same pieces share a sequence
+        assert first == second
+
+
+def test_hot_cells_are_split(spark, monkeypatch):
+    """A third of all rows are copies of one text: shards stay small, and nothing is lost."""
+    from tessera.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    rows = [(i, "one and the same text" if i % 3 else f"another text {i} {i * i}") for i in range(600)]
+    seen = []
+    real = packing._sharded
+    monkeypatch.setattr(packing, "_sharded", lambda *a: seen.append(real(*a)) or seen[-1])
+    packed = pack(spark.createDataFrame(rows, "doc_id long, text string"), BYTE).collect()
+    assert sum(r.length for r in packed) == sum(len(ids(BYTE, t)) + 1 for _, t in rows)
+    assert max(r["count"] for r in seen[0].groupBy("shard").count().collect()) < 60
