@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import ship
@@ -59,6 +60,25 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def row_keys(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`df` with two columns that tell every row from all others, repeated rows too, and their names.
+
+    They are a row's file and place in it, so a lost task finds them again; what is not a plain scan is written first.
+    Their names clash with no column of `df`.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if not (plan.children().isEmpty() and df.inputFiles()):
+        df = materialise(df)
+    names = [f"_row_{part}_{len(''.join(df.columns))}" for part in ("file", "place")]
+    own = [F.xxhash64(F.col("_metadata.file_path")).alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
+    return df.select("*", *own), names
+
+
+def without_rows(df: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `df`, less its `keys`, whose keys are not among `dropped`, a narrow table: Spark broadcasts it if it is small."""
+    return df.join(materialise(dropped.select(*keys)), keys, "left_anti").drop(*keys)
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a table that `materialise` returned and that nothing reads any more."""
     if df is not None:
