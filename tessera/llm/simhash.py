@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -9,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
 from tessera.llm.batches import pieces, slices, texts
 from tessera.llm.components import components
-from tessera.scratch import materialise
+from tessera.scratch import materialise, row_keys, without_rows
 
 SEED = 42
 SHINGLE = 3
@@ -54,18 +55,21 @@ def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _fingerprint_rows(n: int):
+def _fingerprint_rows(n: int, names: list[str]):
     def run(batches):
         for batch in slices(batches):
             prints = fingerprints([shingle_hashes(t, n) for t in texts(batch)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(prints.view(np.int64))], names=[*names, "fp"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = SHINGLE, keys: list[str] | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
+    `keys` name long columns that tell rows apart (`scratch.row_keys`); they are returned too, with `first`: true for
+    exactly one row of each component, that of the smallest doc_id (null last), then keys.
+
     Fingerprints at `radius` (even) or fewer differing bits are linked; component_id is the smallest doc_id reachable.
     A null or empty text has fingerprint zero and is linked like any other. Null doc_ids take part but never name a
     component unless it has no other id. Repeated rows and ties are copies: they share a component. Columns other than
@@ -79,13 +83,16 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = SHINGLE) ->
     """
     if radius % 2:
         raise ValueError("the radius is met in the middle, so it must be even")
-    rows = materialise(docs.select("doc_id", "text").mapInArrow(_fingerprint_rows(shingle), "doc_id long, fp long"))
-    return component_rows(rows, radius)
+    names = ["doc_id", *(keys or [])]
+    schema = ", ".join(f"{c} long" for c in (*names, "fp"))
+    rows = materialise(docs.select(*names, "text").mapInArrow(_fingerprint_rows(shingle, names), schema))
+    return component_rows(rows, radius, keys)
 
 
-def component_rows(rows: DataFrame, radius: int = 2) -> DataFrame:
-    """The same from ready (doc_id, fp long) rows."""
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+def component_rows(rows: DataFrame, radius: int = 2, keys: list[str] | None = None) -> DataFrame:
+    """The same from ready (doc_id, keys, fp long) rows."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys) if keys else F.col("doc_id")
+    prints = rows.groupBy("fp").agg(F.min(first).alias("first_id"))
     masks = [sum(1 << b for b in bits) for k in range(radius // 2 + 1) for bits in combinations(range(64), k)]
     assert len(masks) == sum(comb(64, k) for k in range(radius // 2 + 1))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -97,4 +104,14 @@ def component_rows(rows: DataFrame, radius: int = 2) -> DataFrame:
     whole = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     names = whole.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialise(whole.join(names, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    if not keys:
+        return rows.join(named, "fp").select("doc_id", text, "component_id")
+    mine = [F.col(k) == F.col(f"component_id.{k}") for k in keys]
+    return rows.join(named, "fp").select("doc_id", *keys, text, F.col("component_id.doc_id").alias("component_id"), reduce(Column.__and__, mine).alias("first"))
+
+
+def drop_near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """The rows of `docs`, all columns, but of each component only the first one, whatever their doc_ids."""
+    docs, keys = row_keys(docs)
+    return without_rows(docs, near_duplicates(docs, radius, keys=keys).where("not first"), keys)
