@@ -1,7 +1,8 @@
 """Stages from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents; the
-last one returns packed pieces. Rows with a null doc_id pass the two deduplication stages, which decide by doc_id.
+last one returns packed pieces with their ids. Stages judge rows: those with null or repeated doc_ids like any other, and
+extra columns pass. Null texts count as empty. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,33 +10,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import exact_dedup, simhash
 from tessera.llm.decontaminate import clean
-from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.packing import pack
-from tessera.llm.simhash import near_duplicates
 from tessera.llm.toxicity import keep_clean, train
 from tessera.scratch import materialise
 from tessera.session import spread, table
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among `dropped`, a narrow written table: Spark broadcasts it if it is small."""
-    return docs.join(materialise(dropped.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, does not call toxic."""
     return keep_clean(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for white space, one stays."""
-    return _without(docs, exact_duplicates(docs).where("not kept"))
+    """Of documents that are equal but for white space, one row stays; null and repeated doc_ids change nothing in that."""
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, the document that names it stays."""
-    return _without(docs, near_duplicates(docs).where("doc_id <> component_id"))
+    """Of each SimHash component, one row stays: that of the smallest doc_id."""
+    return simhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in training sequences."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of the kept documents, with their ids, in training sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
