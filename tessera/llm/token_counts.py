@@ -1,7 +1,8 @@
 """Token counts by rank-synchronous array merging of byte-pair encodings with word ends.
 
 Pre-tokens are held as ragged numpy arrays of symbols. In each round every sequence applies its own lowest-rank pair, all
-sequences at once; a sequence without a known pair is finished and its surviving symbols are counted. The tokenizer file
+sequences at once; a sequence without a known pair is finished and its surviving symbols are counted. Long sequences
+merge one rank a round at all its places. The tokenizer file
 supplies the vocabulary, merges and special strings; nothing is trained and the tokenizer library is not called.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import lru_cache
+from heapq import heappop, heappush
 from os.path import commonprefix
 
 import numpy as np
@@ -27,6 +29,8 @@ CACHE = 400_000
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Code points that hold no letters, though the regular expressions here take some of them for letters.
 BEYOND = "\U00032400-\U0010ffff"
+#: Bytes of a pre-token beyond which only the places of a rank are looked at in its round. Changes time only.
+LONG = 512
 _NONE = np.iinfo(np.int64).max
 
 
@@ -60,6 +64,77 @@ class RaggedMerger:
 
     def merge(self, words: list[bytes]) -> np.ndarray:
         """Surviving symbols of each non-empty pre-token."""
+        out = np.ones(len(words), np.int64)
+        for few, run in ((True, self._merge_short), (False, self._merge_long)):
+            some = [i for i, w in enumerate(words) if (len(w) <= LONG) is few]
+            if some:
+                out[some] = run([words[i] for i in some])
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * self.width + right
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return np.where(self.key[at] == pair, self.rank[at], _NONE)
+
+    def _merge_long(self, words: list[bytes]) -> np.ndarray:
+        """The same for long pre-tokens, whose many ranks would each cost a round over all symbols.
+
+        A round takes the least rank that is left and merges all its occurrences, wherever they are; symbols are chained, and
+        places are kept by rank, so a round costs as much as it merges. Words share rounds as nothing crosses their ends.
+        """
+        lengths = np.array([len(w) for w in words], np.int64)
+        n, ends = int(lengths.sum()), np.cumsum(lengths)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        sym = np.r_[self.inner[flat], 0]
+        sym[ends - 1] = self.final[flat[ends - 1]]
+        owner = np.repeat(np.arange(len(words)), lengths)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n stands for none
+        after[ends - 1], before[ends - lengths] = n, n
+        rank = np.full(n + 1, _NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            """File places under the rank of the pair that begins there."""
+            right = after[places]
+            rank[places] = found = np.where(right < n, self._ranks(sym[places], sym[right]), _NONE)
+            places, found = places[found != _NONE], found[found != _NONE]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            edges = np.flatnonzero(np.diff(found, prepend=-1))
+            for r, part in zip(found[edges].tolist(), np.split(places, edges[1:])):
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(queue, r)
+                waiting[r].append(part)
+
+        look(np.arange(n))
+        while queue:
+            r = heappop(queue)
+            spots = np.unique(np.concatenate(waiting.pop(r)))
+            spots = spots[rank[spots] == r]
+            if not len(spots):
+                continue
+            if self.together[r]:  # of overlapping occurrences every second one, from the left
+                run = np.r_[True, after[spots[:-1]] != spots[1:]]
+                start = np.maximum.accumulate(np.where(run, np.arange(len(spots)), 0))
+                spots = spots[(np.arange(len(spots)) - start) % 2 == 0]
+            else:  # order matters, so only the first of each word, and the others again
+                first = np.r_[True, np.diff(owner[spots]) != 0]
+                if not first.all():
+                    waiting[r] = [spots[~first]]
+                    heappush(queue, r)
+                spots = spots[first]
+            gone = after[spots]
+            sym[spots], rank[gone] = self.made[r], _NONE
+            after[spots] = after[gone]
+            before[after[spots]] = spots
+            lengths -= np.bincount(owner[spots], minlength=len(words))
+            near = before[spots]
+            look(np.unique(np.r_[spots, near[near < n]]))
+        return lengths
+
+    def _merge_short(self, words: list[bytes]) -> np.ndarray:
         lengths = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         sym = self.inner[flat]
@@ -69,9 +144,7 @@ class RaggedMerger:
         out = np.ones(len(words), np.int64)
         while len(sym):
             inside = seq[:-1] == seq[1:]
-            pair = sym[:-1] * self.width + sym[1:]
-            at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
-            rank = np.where(inside & (self.key[at] == pair), self.rank[at], _NONE)
+            rank = np.where(inside, self._ranks(sym[:-1], sym[1:]), _NONE)
             starts = np.flatnonzero(np.r_[True, ~inside])
             size = np.diff(np.r_[starts, len(sym)])
             least = np.minimum.reduceat(np.r_[rank, _NONE], starts)
