@@ -19,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 
 from tessera.llm.batches import PIECE_BYTES, Recent, pieces, slices, texts
 from tessera.llm.encoder import distinct_chunks
+from tessera.scratch import materialise
 from tessera.session import ship
 
 #: Labelled rows that a model is fitted on at most: those whose doc_id has the smallest hashes.
 SAMPLE_ROWS = 8000
+#: Numbers of their vectors that the driver holds at most (8 bytes each); typical texts of 8,000 rows take a half.
+SAMPLE_NUMBERS = 1 << 24
 BUCKETS, DIM = 1 << 17, 8
 NGRAMS = (3, 4)
 #: Features of fewer labelled documents say nothing about others and keep zero vectors.
@@ -102,39 +105,69 @@ class Model:
         return np.where(np.fromiter(map(bool, words), bool, len(words)), means, 0.0)
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """Embeddings and softmax fitted together on (text, label) rows; the same rows in any order give the same model."""
-    rows = sorted(rows)
-    label = np.array([y for _, y in rows], np.float64)
-    names: dict[bytes, int] = {}
-    found, sizes = [], []
-    while rows:  # texts are let go as they are counted
-        text, _ = rows.pop()
-        ids, n = np.unique(np.fromiter((names.setdefault(w, len(names)) for w in text.translate(_WORDS).split()), np.int32), return_counts=True)
-        found.append((ids, (n / (n.sum() + BLANKS)).astype(np.float32)))
-        sizes.append(len(ids))
-    label, n_docs = label[::-1], len(label)
+def vectors(data: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Feature buckets of each text and what each weighs in it: a text is a mean over its words, with BLANKS empty ones, and
+    a word a mean over its features. So a text has at most BUCKETS numbers, whatever its length."""
+    if len(data) == 1 and len(data[0]) > PIECE_BYTES:
+        total, weight = 0, np.zeros(BUCKETS)
+        for piece in pieces(data[0]):
+            (n,), _, bag, part = _weights([piece])
+            total += n
+            weight[bag] += part
+        found = np.flatnonzero(weight)
+        return [(found.astype(np.int32), (weight[found] / (total + BLANKS)).astype(np.float32))]
+    n, doc, bag, part = _weights(data)
+    part = (part / (n + BLANKS)[doc]).astype(np.float32)
+    at = np.searchsorted(doc, np.arange(1, len(data)))
+    return list(zip(np.split(bag.astype(np.int32), at), np.split(part, at)))
+
+
+def _weights(data: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The number of words of each text, and (text, bucket, weight) with words counted and features averaged in each."""
+    words, index, starts = bags(data)
+    real = np.fromiter(map(bool, words), bool, len(words))
+    doc, keep = np.repeat(np.arange(len(data)), np.diff(starts)), real[index]
+    total = np.bincount(doc[keep], minlength=len(data))
+    key, n = np.unique(doc[keep] * len(words) + index[keep], return_counts=True)
+    doc, word = key // max(1, len(words)), key % max(1, len(words))
+    flat, size = np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    if real.any():
+        flat, size[real] = _bags([w for w in words if w])
+    first, size_of = (np.cumsum(size) - size)[word], size[word]
+    spot = np.repeat(first - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())
+    key, inverse = np.unique(np.repeat(doc, size_of) * BUCKETS + flat[spot], return_inverse=True)
+    return total, key // BUCKETS, key % BUCKETS, np.bincount(inverse, np.repeat(n / np.maximum(1, size_of), size_of), len(key))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
+    """Embeddings and softmax fitted together on (buckets, weights, label) rows, in the order given."""
+    label = np.array([y for *_, y in rows], np.float64)
+    n_docs = len(rows)
     prior = (label.sum() + 0.5) / (n_docs + 10)  # without labels nothing is called toxic
     bias0 = float(np.log(prior / (1 - prior)))
-    if not names or not 0 < label.sum() < n_docs:
+    flat = np.concatenate([np.zeros(0, np.int32), *(r[0] for r in rows)])
+    if not len(flat) or not 0 < label.sum() < n_docs:
         return Model(np.zeros(BUCKETS, np.float32), bias0)
-    doc, word = np.repeat(np.arange(n_docs), sizes), np.concatenate([f[0] for f in found]).astype(np.int64)
-    share = np.concatenate([f[1] for f in found]).astype(np.float64)
-    del found
-    flat, sizes = _bags(list(names))
-    n_words = len(names)
-    del names
-    owner = np.repeat(np.arange(n_words), sizes)
-    # Features of too few documents stay zero, and so out of the sums; they still count in the mean.
-    seen = np.bincount(flat, np.bincount(word, minlength=n_words)[owner], BUCKETS)
-    use = seen[flat] >= LEAST_DOCS
-    flat, owner = flat[use], owner[use]
-    ids, flat = np.unique(flat, return_inverse=True)
-    part = (1.0 / sizes)[owner]
-
-    part = part.astype(np.float32)
-    mass = np.bincount(flat, part * np.bincount(word, share * share, n_words)[owner] * part, len(ids))
-    scale = 1.0 / (0.25 * mass / n_docs + RIDGE)
+    # Features of too few documents stay zero, and so out of the sums; they still count in the means.
+    use = np.bincount(flat, minlength=BUCKETS)[flat] >= LEAST_DOCS
+    doc = np.repeat(np.arange(n_docs), [len(r[0]) for r in rows])[use]
+    share = np.concatenate([r[1] for r in rows])[use]
+    ids, flat = np.unique(flat[use], return_inverse=True)
+    if not len(ids):
+        return Model(np.zeros(BUCKETS, np.float32), bias0)
+    # The same numbers once by document and once by feature, so that both passes add up neighbours.
+    by = np.argsort(flat, kind="stable")
+    doc_of, share_of = doc[by], share[by]
+    first = np.searchsorted(flat[by], np.arange(len(ids)))
+    some, at = np.unique(doc, return_index=True)
+    scale = 1.0 / (0.25 * np.add.reduceat(share_of * share_of, first) / n_docs + RIDGE)
+
+    held = np.empty(len(flat), np.float32)
+
+    def sums(values: np.ndarray, at: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        np.take(values.astype(np.float32), at, out=held, mode="clip")
+        np.multiply(held, weight, out=held)
+        return np.add.reduceat(held, starts).astype(np.float64)
 
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.01, (len(ids), DIM))
@@ -142,15 +175,14 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     bias = np.array([0.0, bias0])
     speed, pace, force = np.zeros_like(table), np.zeros((DIM + 1, 2)), np.zeros((DIM + 1, 2))
     for step in range(1, STEPS + 1):
-        # Forward: a document's class scores are means over its words, a word's are means over its features. Of the two
-        # classes only the difference is averaged, which is all that the softmax sees.
+        # Forward: a document's class scores are weighted sums over its features. Of the two classes only the difference
+        # is averaged, which is all that the softmax sees.
         toward = soft[:, 1] - soft[:, 0]
-        by_word = np.bincount(owner, part * (table @ toward)[flat], n_words)
-        odds = np.bincount(doc, share * by_word[word], n_docs) + bias[1] - bias[0]
+        odds = np.full(n_docs, bias[1] - bias[0])
+        odds[some] += sums(table @ toward, flat, share, at)
         gap = (1 / (1 + np.exp(-odds)) - label) / n_docs  # of class 1; class 0 has the opposite
-        # Backward through the same two averages.
-        to_word = np.bincount(word, share * gap[doc], n_words)
-        to_table = np.bincount(flat, part * to_word[owner], len(ids))
+        # Backward through the same sums.
+        to_table = sums(gap, doc_of, share_of, first)
         speed = MOMENTUM * speed - RATE * scale[:, None] * (np.outer(to_table, toward) + RIDGE * table)
         pull = np.r_[table.T @ to_table, gap.sum()][:, None] * [-1.0, 1.0]
         pace, force = 0.9 * pace + 0.1 * pull, 0.99 * force + 0.01 * pull * pull
@@ -166,14 +198,39 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most `rows` labelled documents outside the held-out fold; null labels don't count, of several labels
-    of a document the largest does. The sampled texts stream through the driver one partition at a time."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, numbers: int = SAMPLE_NUMBERS) -> Model:
+    """A model from at most `rows` labelled documents outside the held-out fold, those whose doc_id has the smallest hashes.
+
+    Null labels don't count; of several labels of a document the largest does, of several texts of a doc_id the smallest. The
+    driver gets vectors, never texts: at most `numbers` of their numbers, of so many documents in the same order.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most `rows` rows
-    return fit([((t or "").encode("utf-8", "replace"), int(y > 0)) for t, y in sample.toLocalIterator()])
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # a broadcast of at most `rows` narrow rows
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def run(batches):
+        for batch in slices(batches, limit=2 << 20):
+            found = vectors(texts(batch))
+            bag, weight = (pa.array([f[i].tolist() for f in found], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.float32()))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), bag, weight], names=["doc_id", "toxic", "bag", "weight"])
+
+    ship(docs.sparkSession)
+    toxic = f"toxic {known.schema['toxic'].dataType.simpleString()}"
+    made = materialise(sample.mapInArrow(run, f"doc_id long, {toxic}, bag array<int>, weight array<float>"))
+    order = made.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.size("bag").alias("n")).orderBy("h", "doc_id")
+    total = 0
+    for h, doc_id, n in order.toLocalIterator():
+        total += n
+        if total > numbers:
+            made = made.where((F.xxhash64("doc_id") < h) | (F.xxhash64("doc_id") == h) & (F.col("doc_id") < doc_id))
+            break
+    held: list[tuple] = []
+    for batch in made.orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "bag", "weight").toArrow().to_batches():
+        bag, weight = batch.column("bag"), batch.column("weight")
+        held += [(bag[i].values.to_numpy(), weight[i].values.to_numpy(), int(y > 0)) for i, y in enumerate(batch.column("toxic").to_pylist())]
+    return fit(held)
 
 
 class Scorer:
