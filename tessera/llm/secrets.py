@@ -28,6 +28,8 @@ ORDINARY = r"\b[A-Za-z][A-Za-z_-]{1,23}[0-9]{0,3}\b"
 #: A candidate is a secret when the evidence outweighs these prior odds against it.
 PRIOR_ODDS = 10_000.0
 SMOOTHING = 0.1
+#: All forms of an ordinary word together count as so many words.
+FORMS = 3
 #: Bounds of the labelled samples: generated random strings, and documents (in the mean) whose words are the ordinary class.
 RANDOM_STRINGS, SAMPLE_DOCS = 3000, 2000
 _SPAN = "struct<start: bigint, rank: int, end: bigint>"
@@ -64,8 +66,9 @@ def _train(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios of all character transitions, random against ordinary, with SMOOTHING added to every count.
 
     Labelled random: base64, hex and alphanumeric forms of SHA-256 digests. Labelled ordinary: the distinct words of a
-    sample of documents of bounded mean size, chosen by a hash of doc_id, alone, joined by underscores, and with numbers. The driver gets
-    at most one count for each pair of characters of the alphabet and class.
+    sample of documents of bounded mean size, chosen by a hash of doc_id and text, alone, with numbers, joined by underscores,
+    dashes and slashes, and in camel case. The driver gets at most one count for each pair of characters of the alphabet and
+    class.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -76,12 +79,13 @@ def _train(docs: DataFrame) -> list[float]:
     )
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share >= 1))
+    chosen = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53)) < share)
     word = F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("word")
     plain = chosen.select(word).distinct()
-    number = F.pmod(F.xxhash64("word"), F.lit(1000)).cast("string")
-    forms = F.array("word", F.concat("word", F.lit("_"), F.lower("word")), F.concat("word", number))
-    plain = plain.select(F.explode(forms).alias("word"), F.lit(0).alias("label"))
+    number, low, title = F.pmod(F.xxhash64("word"), F.lit(1000)).cast("string"), F.lower("word"), F.initcap("word")
+    twice = [F.concat(low, F.lit(sign), low) for sign in "_-/"]
+    forms = ["word", F.concat("word", number), *twice, F.concat(title, title), F.concat(low, title)]
+    plain = plain.select(F.explode(F.array(*forms)).alias("word"), F.lit(0).alias("label"))
     pairs = random.unionByName(plain).select(
         "label", F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substr(word, i, 2))")).alias("pair")
     )
@@ -90,7 +94,7 @@ def _train(docs: DataFrame) -> list[float]:
     counts = [[[SMOOTHING] * n for _ in range(n)] for _ in range(2)]
     for label, pair, k in pairs.groupBy("label", "pair").agg(F.count(F.lit(1))).collect():
         if pair[0] in place and pair[1] in place:
-            counts[label][place[pair[0]]][place[pair[1]]] += k
+            counts[label][place[pair[0]]][place[pair[1]]] += k if label else k * FORMS / len(forms)
     shares = [[[log(c / sum(row)) for c in row] for row in table] for table in counts]
     return [shares[1][a][b] - shares[0][a][b] for a in range(n) for b in range(n)]
 

@@ -11,9 +11,9 @@ from tessera.llm import decontaminate
 from tessera.llm.batches import PIECE_BYTES
 from tessera.llm.chat import INSERT, MERGE, RELABEL, UNKNOWN, format_chat, role_number
 from tessera.llm.decontaminate import clean, contamination, longest_matches, suffix_array
-from tessera.llm.secrets import secret_digests, secret_spans
+from tessera.llm.secrets import _train, secret_digests, secret_spans
 from tessera.llm.sharding import Cells, balanced_shards
-from tessera.llm.toxicity import BUCKETS, LONG, Model, Scorer, _long_features, features, fit, held_out, keep_clean, score, train
+from tessera.llm.toxicity import BUCKETS, LONG, Model, Scorer, _long_features, features, fit, held_out, keep_clean, score, train, vectors
 
 # ---- decontamination -----------------------------------------------------------------------------------------------
 
@@ -134,6 +134,31 @@ def test_secrets(spark, docs, nothing):
     assert rows[9].spans == "" and secret_digests(nothing).collect() == [] and secret_digests(docs).count() == docs.count()
 
 
+def test_random_strings_on_held_out_words(spark):
+    """Recall and precision of the added spans: models of half the documents judge strings made of the other half's words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    table = _train(docs.where("doc_id % 2 = 0"))
+    rng = random.Random(8)
+    words = sorted({w for r in docs.where("doc_id % 2 = 1 and lang = 'en'" if "lang" in docs.columns else "doc_id % 2 = 1").collect() for w in re.findall(r"\b[a-z]{3,9}\b", r.text or "")})
+
+    def some():
+        return rng.choices(words, k=5)
+
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = {
+        "random": ["".join(rng.choices(alphabet, k=24)) for _ in range(300)],
+        "base64": ["".join(rng.choices(alphabet + "+/", k=32)) for _ in range(300)],
+        "snake": ["_".join(some()) for _ in range(300)], "slug": ["-".join(some()) for _ in range(300)], "path": ["/".join(some()) for _ in range(300)],
+        "camel": ["".join(w.title() for w in some()) for _ in range(300)], "lower camel": ["".join([(s := some())[0], *(w.title() for w in s[1:])]) for _ in range(300)],
+    }
+    rows = [(i, f"see {t} there", kind) for i, (kind, t) in enumerate((k, t) for k, v in made.items() for t in v)]
+    found = secret_spans(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), table).where("exists(spans, s -> s.rank = 3)")
+    hit = Counter(dict(zip((r[0] for r in rows), (r[2] for r in rows)))[r.doc_id] for r in found.collect())
+    print(hit)
+    assert hit["random"] >= 291 and hit["base64"] >= 297
+    assert all(hit[k] <= 6 for k in made if k not in ("random", "base64"))
+
+
 # ---- sharding ------------------------------------------------------------------------------------------------------
 
 
@@ -213,8 +238,23 @@ def test_toxicity_learns(spark, docs, nothing):
     assert s[1] > s[2] and s[3] == s[4] and all(0 <= x <= 1 for x in s.values())
     assert {r.doc_id for r in keep_clean(table, model).collect()} == {i for i, r in got.items() if not r.predicted}
     assert score(nothing, model).collect() == [] and score(docs, model).count() == docs.count()
-    again = fit([(t.encode(), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2][::-1])
-    assert np.allclose(again.weight, model.weight)
+    kept = [(t.encode(), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    again = fit([(*v, y) for v, (_, y) in zip(vectors([t for t, _ in kept]), kept)])
+    assert np.allclose(again.weight, model.weight, atol=1e-2)
+    repeated = table.unionByName(table.where("doc_id % 5 = 0")).unionByName(table.limit(1).crossJoin(spark.range(500)).drop("id"))
+    assert np.array_equal(train(repeated.drop("toxic"), labels).weight, model.weight)  # rows that repeat change nothing
+    few = train(table.drop("toxic"), labels, rows=60, numbers=10_000)
+    assert np.count_nonzero(few.weight) <= 10_000
+
+
+def test_vectors_by_definition():
+    """Weights add up as means of means, and texts cut into pieces have the same."""
+    data = [b"one two two", b"", b"x", b"Two! two;", b"some words " * 100_000 + b"tail"]
+    model = Model(np.random.default_rng(2).normal(size=BUCKETS), 0.0)
+    want = Scorer(model).scores(data)
+    for got in (vectors(data), [v for t in data for v in vectors([t])]):
+        odds = np.array([float(model.weight[bag] @ part) for bag, part in got])
+        assert 1 / (1 + np.exp(-odds)) == pytest.approx(want, abs=1e-5)
 
 
 @pytest.mark.parametrize("text", [b"some words " * 100_000 + b"tail", b"x" * 1_100_000, b"ab-cd" * 220_000])
@@ -235,7 +275,7 @@ def test_all_of_a_word_counts():
         assert sorted(np.concatenate([*_long_features(word)]).tolist()) == sorted(features(word))
         assert model.words([b"x", word, b""]) == pytest.approx([model.weight[features(b"x")].mean(), model.weight[features(word)].mean(), 0], abs=1e-9)
     rows = [("日本" * 10 + tail, y) for tail, y in (("悪い言葉", 1), ("良い言葉", 0)) for _ in range(20)]
-    learned = Scorer(fit([(t.encode(), y) for t, y in rows]))
+    learned = Scorer(fit([(*v, y) for v, (_, y) in zip(vectors([t.encode() for t, _ in rows]), rows)]))
     bad, good = learned.scores([("語彙" * 9 + "日本悪い言葉").encode(), ("語彙" * 9 + "日本良い言葉").encode()])
     assert bad > good
 

@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import accumulate
@@ -51,6 +52,16 @@ def test_long_texts_whose_words_do_not_end_at_the_limit(text):
     assert MERGER.counts([text.encode()]) == [len(ids(WORD, text))]
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "éèßaz", "日本語a", "-=*/+"])
+def test_long_words(letters):
+    """Rounds by rank against the library, alone and with others; a megabyte takes seconds."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list(letters), n)) for n in (513, 700, 3000, 20_000)]
+    assert MERGER.merge([w.encode() for w in words]).tolist() == [len(ids(WORD, w)) for w in words]
+    began, long = time.perf_counter(), "".join(rng.choice(list(letters), 1 << 20))
+    assert MERGER.counts([long.encode()]) == [len(ids(WORD, long))] and time.perf_counter() - began < 60
+
+
 def test_token_counts(spark, docs, nothing):
     got = Counter(tuple(r) for r in token_counts(docs, WORD, 100).collect())
     want = Counter((d, len((t or "").encode()), n := len(ids(WORD, t)), n > 100) for d, t, *_ in docs.collect())
