@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from tessera.functions.text import severity
+from tessera.functions.text import alias_of, severity
 from tessera.scratch import materialise
 
 
@@ -84,3 +84,11 @@ def dependents_per_symbol(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Exported symbols with the number of edges into them, 0 included."""
     into = edges.groupBy(F.col("to_id").alias("symbol_id")).agg(F.count(F.lit(1)).alias("n"))
     return symbols.where("is_exported").join(into, "symbol_id", "left").select("symbol_id", "path", "name", F.coalesce("n", F.lit(0)).alias("dependents"))
+
+
+def without_repo(symbols: DataFrame, edges: DataFrame, alias: str) -> DataFrame:
+    """The edges between symbols that are not of this repository (ids that are in neither table stay)."""
+    gone = symbols.where(alias_of(F.col("path")) == alias).select("symbol_id")
+    for end in ("from_id", "to_id"):
+        edges = edges.join(gone.withColumnRenamed("symbol_id", end), end, "left_anti")
+    return edges.select("from_id", "to_id", "kind")

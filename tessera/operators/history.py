@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from tessera.functions.text import capped_list, efficiency, minute_text
 
 KEPT_SEARCHES, DEFAULT_SEARCHES, MOST_SEARCHES = 500, 50, 200
-RECALL_LIMIT, LIST_CAP = 20, 5
+RECALL_LIMIT, LIST_CAP, TOP_PIVOTS = 20, 5, 8
 
 CALL_SCHEMA = "query string, request string, outcome string, symbols array<string>, files array<string>, tokens long, stale boolean, timestamp long"
 
@@ -22,6 +22,18 @@ def newest(history: DataFrame, limit: int = DEFAULT_SEARCHES) -> DataFrame:
     return retained(history).orderBy(F.desc("id")).limit(min(limit, MOST_SEARCHES))
 
 
+def top_pivots(pivots: Column, most: int = TOP_PIVOTS) -> Column:
+    """Paths of the best of array<struct<score, path>>: by falling score, then path."""
+    ordered = F.array_sort(F.transform(pivots, lambda p: F.struct((-p["score"]).alias("back"), p["path"].alias("path"))))
+    return F.transform(F.slice(ordered, 1, most), lambda p: p["path"])
+
+
+def recorded(touched: DataFrame) -> DataFrame:
+    """(session, symbols, files) of rows (session, symbol, path): sorted, each once."""
+    each = [F.sort_array(F.collect_set(c)).alias(n) for c, n in (("symbol", "symbols"), ("path", "files"))]
+    return touched.groupBy("session").agg(*each)
+
+
 def _struct_fields() -> str:
     return ", ".join(f.strip().replace(" ", ": ", 1) for f in CALL_SCHEMA.split(", "))
 

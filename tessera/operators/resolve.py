@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
 from tessera.operators.graph import edge_set
 
@@ -23,6 +23,17 @@ def enclosing(deps: DataFrame, symbols: DataFrame, key: str = "path", line: str
     return marks.unionByName(rows).withColumn("from_id", seen).where("_tag = 1 and from_id is not null").select("_dep.*", "from_id")
 
 
+def _two_least(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """(keys, name): an array of the least value of each key and the least one above it, if there is one.
+
+    Two partial aggregates, so a key with very many rows costs a value per task, and no list of them is ever held.
+    """
+    rows = rows.select(*keys, value.alias("_v"))
+    least = rows.groupBy(*keys).agg(F.min("_v").alias("_a"))
+    above = rows.join(least, keys).where("_v > _a").groupBy(*keys).agg(F.min("_v").alias("_b"))
+    return least.join(above, keys, "left").select(*keys, F.when(F.col("_b").isNull(), F.array("_a")).otherwise(F.array("_a", "_b")).alias(name))
+
+
 def resolve(deps: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges (from_id, to_id, kind) of dependencies (path, to_name, kind, line).
 
@@ -30,9 +41,9 @@ def resolve(deps: DataFrame, symbols: DataFrame) -> DataFrame:
     other files, the only exported one, or the only one at all if none is exported; otherwise there is no edge.
     """
     calls = enclosing(deps, symbols)
-    place = F.struct("line", "col", "symbol_id")
     # Two smallest places per file and name: the second serves a caller that is itself the first.
-    local = symbols.groupBy("path", F.col("name").alias("to_name")).agg(F.slice(F.array_sort(F.collect_list(place)), 1, 2).alias("near"))
+    named = symbols.withColumn("to_name", F.col("name"))
+    local = _two_least(named, ["path", "to_name"], F.struct("line", "col", "symbol_id"), "near")
     # Per name, totals and totals per file: what other files have is the difference.
     by_file = symbols.groupBy(F.col("name").alias("to_name"), "path").agg(
         F.count(F.lit(1)).alias("n_own"), F.count_if("is_exported").alias("x_own"), F.min("symbol_id").alias("any_id"), F.min(F.when(F.col("is_exported"), F.col("symbol_id"))).alias("x_id")
@@ -40,10 +51,10 @@ def resolve(deps: DataFrame, symbols: DataFrame) -> DataFrame:
     overall = by_file.groupBy("to_name").agg(
         F.sum("n_own").alias("n_all"),
         F.sum("x_own").alias("x_all"),
-        # At most two files matter: with more, no difference can be one.
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("x_own") == 1, F.struct("path", F.col("x_id").alias("id"))))), 1, 2).alias("x_files"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("n_own") == 1, F.struct("path", F.col("any_id").alias("id"))))), 1, 2).alias("n_files"),
     )
+    # At most two files matter: with more, no difference can be one.
+    for own, one, files in (("x_own", "x_id", "x_files"), ("n_own", "any_id", "n_files")):
+        overall = overall.join(_two_least(by_file.where(F.col(own) == 1), ["to_name"], F.struct("path", F.col(one).alias("id")), files), "to_name", "left")
     joined = calls.join(local, ["path", "to_name"], "left").join(overall, "to_name", "left").join(by_file.drop("any_id", "x_id"), ["to_name", "path"], "left")
     near = F.get(F.filter("near", lambda s: s["symbol_id"] != F.col("from_id")), F.lit(0))["symbol_id"]
     x_else = F.col("x_all") - F.coalesce("x_own", F.lit(0))

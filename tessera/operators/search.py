@@ -179,3 +179,8 @@ def symbol_hits(symbols: DataFrame, keywords: DataFrame, fetch: int = 25, keep:
     order = [(F.lower("name") == F.lower("keyword")).cast("int").desc(), F.length("name"), "path", "line", "name"]
     ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy("keyword").orderBy(*order))).where(F.col("_rank") <= fetch)
     return first_code_hits(ranked, keep, ["_rank"], ["keyword"]).drop("_rank")
+
+
+def exact(symbols: DataFrame, name: str) -> DataFrame:
+    """Symbols of exactly this name, case as written."""
+    return symbols.where(F.col("name") == name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +39,10 @@ class Engine:
         """Index one file; False if it is hidden, skipped or gone."""
         relative = walk.safe_relative(relative)
         root = self.store.table("repos").where(F.col("alias") == alias).first().root_path
-        scanned = walk.scan(self.spark, root, alias).where(F.col("path") == f"{alias}/{relative}")
-        if scanned.isEmpty():
+        listed = walk.list_one(root, relative)
+        if not listed:
             return False
-        self.store.index_file(scanned)
+        self.store.index_file(walk.read_files(self.spark, root, alias, listed))
         return True
 
     def remove_file(self, alias: str, relative: str) -> None:
@@ -62,7 +64,25 @@ class Engine:
         repos = self.store.table("repos").collect()
         changed = [f"{r.alias}/{p}" for r in repos for p in walk.uncommitted(r.root_path)]
         noise = noise_keywords([r.alias for r in repos], list(self.config.noise_keywords))
-        return run_pipeline(self.index(), task, **{"config": self.config, "diff": changed, "noise": noise, **options})
+        answer = run_pipeline(self.index(), task, **{"config": self.config, "diff": changed, "noise": noise, **options})
+        self._record(task, answer)
+        return answer
+
+    def _record(self, task: str, answer: Answer) -> None:
+        """Append the search with its best files, and its tokens, to the store's logs."""
+        now = time.time_ns() // 1000
+        best = answer.pivots.agg(history.top_pivots(F.collect_list(F.struct("score", "path"))).alias("pivots"))  # max_pivots rows
+        sent = answer.summary.select(F.col("total_tokens").cast("long").alias("tokens_sent"), F.greatest(F.col("workspace_tokens") - F.col("total_tokens"), F.lit(0)).cast("long").alias("tokens_saved"))
+        row = best.crossJoin(sent).withColumns({"id": F.lit(now), "task": F.lit(task), "ts": F.current_timestamp(), "tool": F.lit("pipeline")})
+        self.store.append("searches", row)
+        self.store.append("usage", row)
+
+    def searches(self, limit: int = history.DEFAULT_SEARCHES) -> DataFrame:
+        """The newest searches of the log, of which the newest 500 count."""
+        return history.newest(self.store.log("searches"), limit)
+
+    def usage(self) -> DataFrame:
+        return history.token_usage(self.store.log("usage"))
 
     def impact(self, symbol_id: int, max_depth: int = 0) -> tuple[DataFrame, DataFrame]:
         affected = graph.impact(self.store.table("symbols"), self.store.table("edges"), symbol_id, max_depth)

@@ -17,6 +17,7 @@ from tessera.functions.text import (
     meaningful,
     savings_percent,
     task_keywords,
+    truncated,
 )
 from tessera.operators import budget as packing
 from tessera.operators import relevance
@@ -64,7 +65,7 @@ def evidence(index: Index, keywords: list[str], noise: set[str] = frozenset()) -
     """
     spark = index.files.sparkSession
     named = [k for k in dict.fromkeys(keywords) if k.lower() not in noise]
-    code = F.broadcast(index.files.where(F.col("language").isin(*NOT_CODE)).select("path").distinct().withColumn("_other", F.lit(True)))
+    code = index.files.where(F.col("language").isin(*NOT_CODE)).select("path").distinct().withColumn("_other", F.lit(True))
     symbols = index.symbols.select("path", "name", "kind", "line").join(code, "path", "left").withColumn("is_code", F.col("_other").isNull()).drop("_other")
     stats = materialise(keyword_frequency(index.symbols, named)) if named else spark.createDataFrame([], "keyword string, df long, n_symbols long, weight double")
     searched = stats.where(f"n_symbols = 0 or df / n_symbols <= {relevance.COMMON_SHARE}")
@@ -152,6 +153,7 @@ def run_pipeline(
     if include_content:
         bodies = index.files.join(F.broadcast(packed.select("path")), "path").select("path", "text")  # max_pivots paths at most
         packed = packed.join(bodies, "path").withColumn("content", compressed(F.col("text"), F.col("language"), F.col("level"))).drop("text")
+        packed = packed.withColumn("content", F.when(F.col("truncated"), truncated(F.col("content"), F.col("tokens"))).otherwise(F.col("content")))
     whole = index.files.agg(F.coalesce(F.floor(F.sum("char_count") / 4), F.lit(0)).cast("long").alias("workspace_tokens"))
     used = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.count(F.lit(1)).alias("n_pivots"))
     summary = verdict.crossJoin(used).crossJoin(whole).withColumns(

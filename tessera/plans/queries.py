@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import text as tx
 from tessera.operators import budget, catalog, compress, dependencies, graph, history, relevance, resolve, search
-from tessera.plans import adapters, context
+from tessera.plans import adapters, context, source_queries  # noqa: F401  registers more
+from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.session import spread, table
 from tessera.sources import documents, walk
 from tessera.streaming import changes
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
 def _r(column: str, digits: int = 6):
     return F.round(F.col(column), digits).alias(column)
 
@@ -453,7 +438,7 @@ def asof_enclosing(spark, sf):
 @query(
     "resolve_unambiguous",
     """WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand AS path, CAST(p_partkey AS INT) AS line, p_partkey % 29 = 0 AS x FROM part),
-        d AS (SELECT p_brand AS path, p_name AS to_name, CAST(p_partkey AS INT) AS line FROM part WHERE p_partkey % 3 = 0),
+        d AS (SELECT p_brand AS path, p_name AS to_name, CAST(p_partkey AS INT) AS line FROM part),
         c AS (SELECT d.*, s.id AS from_id FROM d ASOF JOIN s ON d.path = s.path AND d.line >= s.line),
         r AS (SELECT from_id, coalesce(
             (SELECT min_by(id, line) FROM s WHERE s.path = c.path AND s.name = c.to_name AND s.id <> c.from_id),
@@ -461,16 +446,6 @@ def asof_enclosing(spark, sf):
        SELECT DISTINCT from_id, to_id, 'function_call' AS kind FROM r WHERE to_id IS NOT NULL AND from_id <> to_id""",
 )
 def resolve_unambiguous(spark, sf):
-    part = table(spark, sf, "part", "p_partkey", "p_name", "p_brand")
-    line = F.col("p_partkey").cast("int")
-    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), line.alias("line"), F.lit(1).alias("col"), (F.col("p_partkey") % 29 == 0).alias("is_exported"))
-    deps = part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("path"), F.col("p_name").alias("to_name"), F.lit("function_call").alias("kind"), line.alias("line"))
-    return resolve.resolve(deps, symbols)
-
-
-@query("resolve_unambiguous_whole")
-def resolve_unambiguous_whole(spark, sf):
-    """`resolve_unambiguous` with every part as a dependency, where its SQL takes a third of them (rows only)."""
     part = table(spark, sf, "part", "p_partkey", "p_name", "p_brand")
     line = F.col("p_partkey").cast("int")
     symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), line.alias("line"), F.lit(1).alias("col"), (F.col("p_partkey") % 29 == 0).alias("is_exported"))
@@ -757,7 +732,7 @@ def extension_histogram(spark, sf):
 @query("exact_lookup", f"SELECT symbol_id, path FROM {_SYMBOLS} WHERE name = (SELECT min(p_name) FROM part)")
 def exact_lookup(spark, sf):
     name = table(spark, sf, "part", "p_name").agg(F.min("p_name")).first()[0]
-    return adapters.part_symbols(spark, sf).where(F.col("name") == name).select("symbol_id", "path")
+    return search.exact(adapters.part_symbols(spark, sf), name).select("symbol_id", "path")
 
 
 @query("prefix_match", "SELECT p_partkey, starts_with(lower(p_name), 're') AS found FROM part")
@@ -772,24 +747,12 @@ def prefix_match(spark, sf):
 )
 def repo_removal(spark, sf):
     symbols, edges = adapters.order_graph(spark, sf)
-    gone = symbols.where(tx.alias_of(F.col("path")) == "customer").select("symbol_id")
-    kept = edges.join(gone.withColumnRenamed("symbol_id", "from_id"), "from_id", "left_anti")
-    return kept.join(gone.withColumnRenamed("symbol_id", "to_id"), "to_id", "left_anti").select("from_id", "to_id", "kind")
+    return graph.without_repo(symbols, edges, "customer")
 
 
 @query("same_file_edges", """SELECT count(*) AS n FROM (SELECT DISTINCT a.id AS f, b.id AS t FROM
-    (SELECT p_partkey AS id, p_name, p_brand FROM part WHERE p_partkey % 3 = 0) a JOIN (SELECT min(p_partkey) AS id, p_name, p_brand FROM part GROUP BY ALL) b USING (p_brand, p_name) WHERE a.id <> b.id)""")
+    (SELECT p_partkey AS id, p_name, p_brand FROM part) a JOIN (SELECT min(p_partkey) AS id, p_name, p_brand FROM part GROUP BY ALL) b USING (p_brand, p_name) WHERE a.id <> b.id)""")
 def same_file_edges(spark, sf):
-    part = table(spark, sf, "part", "p_partkey", "p_name", "p_brand")
-    line = F.col("p_partkey").cast("int")
-    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), line.alias("line"), F.lit(1).alias("col"))
-    deps = part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("path"), F.col("p_name").alias("to_name"), F.lit("function_call").alias("kind"), line.alias("line"))
-    return resolve.resolve_same_file(deps, symbols).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("same_file_edges_whole")
-def same_file_edges_whole(spark, sf):
-    """`same_file_edges` with every part as a dependency, where its SQL takes a third of them (rows only)."""
     part = table(spark, sf, "part", "p_partkey", "p_name", "p_brand")
     line = F.col("p_partkey").cast("int")
     symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), line.alias("line"), F.lit(1).alias("col"))
@@ -802,16 +765,9 @@ def session_pairs(spark, sf):
     return history.session_pairs(adapters.turns(spark, sf))
 
 
-@query("compression_rate", """SELECT page_id AS path, strlen(html) AS original_bytes FROM pages""")
+@query("compression_rate")
 def compression_rate(spark, sf):
-    pages = spread(table(spark, sf, "pages", "page_id", "html"))
-    files = pages.select(F.col("page_id").alias("path"), F.col("html").alias("text"), F.lit("html").alias("language"))
-    return compress.compression_stats(files, 1).select("path", F.col("original_bytes").cast("long").alias("original_bytes"))
-
-
-@query("compression_stats")
-def compression_stats(spark, sf):
-    """What `compression_rate` leaves out, whose SQL has the original bytes only: compressed bytes and rate (rows only)."""
+    """Original and compressed bytes of the pages and the rate, which is Python (rows only; `compress_rust` and others have SQL)."""
     pages = spread(table(spark, sf, "pages", "page_id", "html"))
     files = pages.select(F.col("page_id").alias("path"), F.col("html").alias("text"), F.lit("html").alias("language"))
     return compress.compression_stats(files, 1)

@@ -1,22 +1,27 @@
-"""Index snapshots in plain Parquet: each commit writes a new folder and then moves a pointer to it.
+"""Index snapshots in plain Parquet: each commit writes the tables that changed, then a new pointer to all of them.
 
-Tables: repos, files, symbols, deps, edges, history. Readers follow the pointer, so they see a whole snapshot or the one
-before; writers are serialised by the caller.
+Tables: repos, files, symbols, deps, edges. Readers follow the newest pointer, so they see a whole snapshot; the one before
+stays readable until the next commit. Writers are serialised by the caller; a second one fails. Logs grow beside them.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+import warnings
 
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
+from tessera.functions.text import relative_of
+from tessera.operators.catalog import top_directories
 from tessera.operators.dependencies import extract_dependencies
 from tessera.operators.resolve import resolve
-from tessera.scratch import materialise, remove
+from tessera.scratch import discard, materialise, remove
+from tessera.session import ship
 from tessera.sources.code import code_symbols
-from tessera.sources.documents import document_symbols
+from tessera.sources.documents import document_symbols, document_text
 from tessera.sources.walk import change_set
 
 SCHEMAS = {
@@ -26,6 +31,13 @@ SCHEMAS = {
     "deps": "path string, to_name string, kind string, line int",
     "edges": "from_id long, to_id long, kind string",
 }
+#: Append-only tables.
+LOGS = {
+    "searches": "id long, task string, pivots array<string>, tokens_sent long, tokens_saved long",
+    "usage": "ts timestamp, tool string, tokens_sent long, tokens_saved long",
+}
+#: Languages whose text is inside an archive or a container.
+PACKED = ("docx", "pptx", "xlsx", "pdf")
 MAX_SYMBOLS, WARN_FILES = 200_000, 2000
 
 
@@ -57,37 +69,86 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     return found.withColumn("_n", ordinal).select(F.xxhash64("path", "line", "col", "name", "kind", "_n").alias("symbol_id"), *names)
 
 
+def with_text(files: DataFrame) -> DataFrame:
+    """`files` (language, content, ...) with text: what archives and PDF hold, UTF-8 decoded, else null."""
+    packed = files.where(F.col("language").isin(*PACKED))
+    plain = files.where(~F.col("language").isin(*PACKED) | F.col("language").isNull())
+    raw = F.col("content").cast("string")
+    plain = plain.withColumn("text", F.when(F.is_valid_utf8(raw) & (F.coalesce("language", F.lit("")) != "parquet"), raw))
+
+    def run(batches):
+        for batch in batches:
+            found = [document_text(la, data or b"") for la, data in zip(batch.column("language").to_pylist(), batch.column("content").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "text"])
+
+    return plain.unionByName(packed.mapInArrow(run, packed.withColumn("text", F.lit("")).schema))
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        ship(spark)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _files(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> str:
-        return f"{self.root}/current"
+    def _snapshots(self) -> list[int]:
+        """Numbers of the pointers that are there, in order."""
+        fs, folder = self._files(), self._path("snapshots")
+        if not fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit())
 
-    def _version(self) -> str | None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self._pointer())
-        if not path.getFileSystem(conf).exists(path):
-            return None
-        return self.spark.read.text(self._pointer()).first()[0]
+    def _folders(self, number: int | None = None) -> dict[str, str]:
+        """Folder of each table in a snapshot, by default the newest."""
+        number = number or next(reversed(self._snapshots()), None)
+        if number is None:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.root}/snapshots/{number:012d}").first()[0])
 
     def table(self, name: str) -> DataFrame:
-        version = self._version()
-        if version is None:
+        folder = self._folders().get(name)
+        if folder is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{version}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
 
     def commit(self, **tables: DataFrame) -> None:
-        """Write the given tables, carry the others over, and point to the new snapshot."""
-        before, version = self._version(), uuid.uuid4().hex
-        for name in SCHEMAS:
-            df = tables.get(name)
-            df = self.table(name) if df is None else df
+        """Write the given tables and point to them and to the unchanged others.
+
+        A pointer is a file of its own, written aside and renamed, so a reader sees it whole or not at all. Tables that the
+        newest two snapshots do without are removed: readers of the one before keep theirs.
+        """
+        folders = self._folders()
+        for name, df in tables.items():
+            folders[name] = f"tables/{name}-{uuid.uuid4().hex}"
             columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
-            df.select(*columns).write.parquet(f"{self.root}/{version}/{name}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer())
-        if before:
-            remove(self.spark, f"{self.root}/{before}")
+            df.select(*columns).write.parquet(f"{self.root}/{folders[name]}")
+        fs, old = self._files(), self._snapshots()
+        number, aside = (old[-1] if old else 0) + 1, self._path(f"snapshots/.{uuid.uuid4().hex}")
+        out = fs.create(aside)
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+        if fs.exists(self._path(f"snapshots/{number:012d}")) or not fs.rename(aside, self._path(f"snapshots/{number:012d}")):
+            raise RuntimeError(f"another writer has made snapshot {number}")
+        kept = {f for n in [*old[-1:], number] for f in self._folders(n).values()}
+        for n in old[:-1]:
+            for folder in set(self._folders(n).values()) - kept:
+                remove(self.spark, f"{self.root}/{folder}")
+            remove(self.spark, f"{self.root}/snapshots/{n:012d}")
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Append to a log (searches, usage). Logs are no part of snapshots and only grow; their readers choose what counts."""
+        columns = self.spark.createDataFrame([], LOGS[name]).columns
+        rows.select(*columns).write.mode("append").parquet(f"{self.root}/logs/{name}")
+
+    def log(self, name: str) -> DataFrame:
+        if not self._files().exists(self._path(f"logs/{name}")):
+            return self.spark.createDataFrame([], LOGS[name])
+        return self.spark.read.schema(LOGS[name]).parquet(f"{self.root}/logs/{name}")
 
     def add_repo(self, alias: str, root_path: str) -> None:
         """Insert or move a repository; the alias is the key."""
@@ -98,8 +159,7 @@ class Store:
         """Replace the files of `gone` (path) by those of `scanned`, and rebuild every edge that this can touch."""
         files, symbols, deps = (self.table(n).join(gone, "path", "left_anti") for n in ("files", "symbols", "deps"))
         if scanned is not None:
-            readable = scanned.withColumn("text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")))
-            stored = readable.where(F.col("text").isNotNull() | F.col("language").isin("docx", "pptx", "xlsx", "pdf", "parquet"))
+            stored = with_text(scanned).where(F.col("text").isNotNull() | F.col("language").isin(*PACKED, "parquet"))
             rows = stored.select(
                 "path", F.substring_index("path", "/", 1).alias("repo"), "hash", "language", F.current_timestamp().alias("last_indexed"),
                 F.octet_length("content").cast("long").alias("char_count"), "text",
@@ -108,10 +168,17 @@ class Store:
             symbols = symbols.unionByName(extract_symbols(stored))
             deps = deps.unionByName(extract_dependencies(rows.where("text is not null")).withColumn("line", F.col("line").cast("int")))
         # Names decide which edges exist, so edges are resolved anew from the stored dependencies.
+        symbols, deps = materialise(symbols), materialise(deps)
         self.commit(files=files, symbols=symbols, deps=deps, edges=resolve(deps, symbols))
+        discard(symbols)
+        discard(deps)
+        if self.over_limit():
+            warnings.warn(f"the index holds more than {MAX_SYMBOLS} symbols", stacklevel=3)
 
     def index(self, scanned: DataFrame, repo: str) -> DataFrame:
         """Bring a repository up to date with a scan of it; returns (path, change)."""
+        if scanned.count() > WARN_FILES:
+            warnings.warn(f"{repo} has more than {WARN_FILES} files; the largest folders: {top_directories(scanned.select(relative_of(F.col('path')).alias('path'))).collect()}", stacklevel=2)
         changes = materialise(change_set(self.table("files").where(F.col("repo") == repo), scanned))
         touched = changes.where("change <> 'unchanged'").select("path")
         if not touched.isEmpty():

@@ -11,11 +11,11 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tessera.functions.text import language_of
+from tessera.session import ship
 
 # Fixed values.
 SKIP_NAMES = ("node_modules", "venv", "__pycache__", "coverage", "vendor", "out")
 MAX_FILE_BYTES = 5 * 1024 * 1024
-HISTORY_PREFIX = ".comp/history/"
 IGNORE_FILES = (".gitignore", ".ignore")
 
 
@@ -106,7 +106,29 @@ def list_files(root: str, exclude: tuple[str, ...] = (), ignore_file: str | None
 def scan(spark: SparkSession, root: str, alias: str, **options) -> DataFrame:
     """path (alias/relative), repo, size, modified, content, hash, language. The driver lists, executors read the contents
     (so the root must be a folder that they see)."""
-    listed = list_files(root, **options)
+    return read_files(spark, root, alias, list_files(root, **options))
+
+
+def list_one(root: str, relative: str, max_bytes: int = MAX_FILE_BYTES) -> list[tuple[str, int, int]]:
+    """The same for one file, without a look at the others: empty if it is gone, hidden, skipped, ignored or too large."""
+    where, parts, rules = os.path.join(root, relative), relative.split("/"), []
+    if any(p.startswith(".") or p in SKIP_NAMES for p in parts) or not os.path.isfile(where) or os.path.islink(where):
+        return []
+    for n, part in enumerate(parts):
+        folder = "/".join(parts[:n])
+        for name in IGNORE_FILES:
+            if os.path.isfile(os.path.join(root, folder, name)):
+                with open(os.path.join(root, folder, name), encoding="utf-8", errors="replace") as f:
+                    rules += parse_rules(f.read(), folder)
+        if ignored("/".join(parts[: n + 1]), n + 1 < len(parts), rules):
+            return []
+    info = os.stat(where)
+    return [(relative, info.st_size, int(info.st_mtime))] if info.st_size <= max_bytes else []
+
+
+def read_files(spark: SparkSession, root: str, alias: str, listed: list[tuple[str, int, int]]) -> DataFrame:
+    """Contents of listed files, read by the executors."""
+    ship(spark)
     names = spark.createDataFrame([(alias, p, s, t) for p, s, t in listed], "repo string, relative string, size long, modified long")
     names = names.repartition(max(1, min(len(listed) // 64 + 1, 10_000)))
 
@@ -125,12 +147,14 @@ def scan(spark: SparkSession, root: str, alias: str, **options) -> DataFrame:
     return files.select(path.alias("path"), "repo", "size", "modified", "content", F.sha2("content", 256).alias("hash"), language_of(F.col("relative")).alias("language"))
 
 
-def skipped(path: Column, exclude: tuple[str, ...] = ()) -> Column:
-    """Whether a single relative path is hidden or under a skipped name; the interaction history is not."""
+def skipped(path: Column, exclude: tuple[str, ...] = (), history: str | None = None) -> Column:
+    """Whether a single relative path is hidden or under a skipped name; what begins with `history`, the folder of the
+    interaction log, is not."""
     path = F.regexp_replace(path, r"\\", "/")
     banned = F.array(*map(F.lit, (*SKIP_NAMES, *exclude)))
     parts = F.split(path, "/")
-    return ~path.startswith(HISTORY_PREFIX) & (F.exists(parts, lambda s: s.startswith(".")) | F.arrays_overlap(parts, banned))
+    found = F.exists(parts, lambda s: s.startswith(".")) | F.arrays_overlap(parts, banned)
+    return found & ~path.startswith(history) if history else found
 
 
 def change_set(before: DataFrame, now: DataFrame) -> DataFrame:

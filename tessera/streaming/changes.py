@@ -8,6 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.scratch import discard, materialise
 from tessera.sources.walk import skipped
 
 DEBOUNCE = "500 milliseconds"
@@ -38,20 +39,20 @@ def deletions(events: DataFrame) -> DataFrame:
     return events.where("op = 'delete'").select("path", "ts")
 
 
-def maintain(events: DataFrame, index: Callable[[list[str]], None], remove: Callable[[list[str]], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Run `index` and `remove` on the paths of each micro-batch of a stream of events; the last operation on a path counts.
+def maintain(events: DataFrame, index: Callable[[DataFrame], None], remove: Callable[[DataFrame], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Run `remove` and `index` on the paths (a DataFrame) of each micro-batch of events; the last operation on a path counts.
 
-    One event per path leaves the aggregate; a batch's paths go to the indexer, which works on paths.
+    One row per path leaves the aggregate and is written once; nothing comes to the driver.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        last = df.groupBy("path").agg(F.max_by("op", "ts").alias("op"))
-        rows = last.collect()  # names of files changed within one trigger
-        gone, changed = ([r.path for r in rows if (r.op == "delete") is d] for d in (True, False))
-        if gone:
+        last = materialise(df.groupBy("path").agg(F.max_by("op", "ts").alias("op")))
+        gone, changed = last.where("op = 'delete'").select("path"), last.where("op <> 'delete'").select("path")
+        if not gone.isEmpty():
             remove(gone)
-        if changed:
+        if not changed.isEmpty():
             index(changed)
+        discard(last)
 
     return watched(events).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -34,9 +34,36 @@ def test_engine(spark, tmp_path):
     pivots = engine.pipeline("how does checkout work").pivots.collect()
     reasons = {p.path: p.reasons for p in pivots}
     assert "git_diff" in reasons["shop/src/price.py"] and {r.path for r in engine.files().collect()} == {"shop/src/cart.py", "shop/src/price.py", "shop/src/extra.py", "shop/README.md"}
+    found = engine.searches().first()
+    assert found.task == "how does checkout work" and found.pivots == [p.path for p in pivots][:8] and engine.usage().first().queries == 1
     assert engine.compress_file("shop/src/cart.py", 2).first().compressed_bytes < 75
     engine.reindex_all()
     engine.remove_file("shop", "src/extra.py")
     assert engine.files().count() == 3
     engine.remove_repo("shop")
     assert engine.files().count() == 0
+    assert engine.searches().count() == 1  # the log is no part of the index
+
+
+def test_readers_keep_the_snapshot_before(spark, tmp_path):
+    from tessera.sources.store import SCHEMAS, Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.add_repo("a", "/a")
+    before = store.table("repos")
+    store.add_repo("b", "/b")
+    assert before.count() == 1 and store.table("repos").count() == 2 and store.table("files").count() == 0
+    store.commit(repos=spark.createDataFrame([("c", "/c")], SCHEMAS["repos"]))
+    assert [r.alias for r in store.table("repos").collect()] == ["c"] and len(store._snapshots()) == 2
+
+
+def test_one_file_is_listed_like_all(tmp_path):
+    from tessera.sources import walk
+
+    for name, body in {"a/x.py": "x", "a/b.log": "y", "a/c/d.py": "z", ".gitignore": "*.log\n/a/c/\n", "venv/q.py": "q"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    every = walk.list_files(str(tmp_path))
+    assert [p for p, *_ in every] == ["a/x.py"]
+    for name in ("a/x.py", "a/b.log", "a/c/d.py", "venv/q.py", "gone.py", ".gitignore", "a"):
+        assert walk.list_one(str(tmp_path), name) == [e for e in every if e[0] == name]

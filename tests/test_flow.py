@@ -60,5 +60,6 @@ def test_streaming_debounce_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     assert {(r.path, r.n_events) for r in spark.sql("select * from bursts").collect()} == batch
     seen = []
-    maintain(stream, lambda p: seen.append(("index", p)), lambda p: seen.append(("remove", p)), str(tmp_path / "ck")).awaitTermination(60)
+    keep = lambda what: lambda paths: seen.append((what, [r.path for r in paths.collect()]))
+    maintain(stream, keep("index"), keep("remove"), str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(seen) == [("index", ["a.rs"]), ("remove", ["b.rs"])]

@@ -106,5 +106,5 @@ def test_every_part_is_resolved(spark, tmp_path):
         found = [k for k in same if k != key][:1] or (exported if len(exported) == 1 else other if not exported and len(other) == 1 else [])
         edges.update((key, k, "function_call") for k in found)
         near.update((key, k) for k in same[:1] if k != key)
-    assert {tuple(r) for r in plans.resolve_unambiguous_whole(spark, str(tmp_path)).select("from_id", "to_id", "kind").collect()} == edges
-    assert any(k % 3 for k, *_ in edges) and plans.same_file_edges_whole(spark, str(tmp_path)).first().n == len(near)
+    assert {tuple(r) for r in plans.resolve_unambiguous(spark, str(tmp_path)).select("from_id", "to_id", "kind").collect()} == edges
+    assert any(k % 3 for k, *_ in edges) and plans.same_file_edges(spark, str(tmp_path)).first().n == len(near)

@@ -97,7 +97,7 @@ def test_compression_queries(spark, tmp_path):
     assert got == {(i, size(p), size(s)) for i, (p, s) in enumerate(zip(pages, skeletons))}
     compacts = ["<!DOCTYPE html><p>é</p>", "<p>a; b</p>\n\n<p>{c}</p>", "plain", "", None]
     rates = ["31%", "8%", "0%", "0%", "0%"]
-    got = {tuple(r) for r in plans.compression_stats(spark, str(tmp_path)).select("path", "original_bytes", "compressed_bytes", "rate").collect()}
+    got = {tuple(r) for r in plans.compression_rate(spark, str(tmp_path)).select("path", "original_bytes", "compressed_bytes", "rate").collect()}
     assert got == {(i, size(p), size(c), r) for i, (p, c, r) in enumerate(zip(pages, compacts, rates))}
 
 
