@@ -133,7 +133,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     Built-in functions only. Whole texts are read once into narrow rows. Groups and their sums over key ranges are partial
     aggregates. The cuts become literals of a column expression, so no join assigns shards. Slots come from windows over
-    (shard, hash of doc_id) buckets of bounded mean size and the running sums of their counts.
+    (shard, hash of the row) buckets of bounded mean size and the running sums of their counts.
     """
     text = F.coalesce("text", F.lit(""))
     rows = materialise(
@@ -150,7 +150,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
         if key is not None:
             shard = shard + F.when(F.col("k") >= key, 1).otherwise(0)
     buckets = max(1, rows.count() // (shards * WINDOW_ROWS))
-    placed = rows.withColumn("shard", shard.cast("int")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    placed = rows.withColumn("shard", shard.cast("int")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "k", "size"), F.lit(buckets)))
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
