@@ -27,11 +27,12 @@ import pyarrow.fs as pafs
 import pyspark.sql.functions as F
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 
 from tessera.llm.batches import slices, texts
 from tessera.llm.encoder import SLICE_BYTES, encoder
-from tessera.scratch import shared_dir
+from tessera.scratch import materialise, shared_dir
 
 MAGIC = b"TSSTABL1"
 BLOCK_BYTES = 64 << 10
@@ -39,6 +40,8 @@ BITS_PER_KEY, PROBES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQQ8s")
 #: Text bytes that one shard is planned for.
 SHARD_BYTES = 32 << 20
+#: Shards whose ids are summed up together, and rows that are read back at once.
+GROUP, READ_ROWS = 1024, 8192
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -187,58 +190,85 @@ class Reader:
 
 
 def open_shard(uri: str) -> Reader:
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = _store_of(uri)
     return Reader(fs.open_input_file(path))
 
 
-def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> list[dict]:
-    """Write all documents as shards under `folder` (a URI that all executors reach); returns the manifest in key order.
+def _store_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(uri.replace(f"{scheme}:", "s3:", 1) if scheme in ("s3a", "s3n") else uri)
+
+
+def qualified(spark, folder: str) -> str:
+    """`folder` with the scheme of the session's file system, where it names none: executors and driver mean the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write all documents as shards under `folder` (which all executors reach); returns the manifest: number, uri, docs, ids.
 
     Rows are range-partitioned and sorted by doc_id (null first; repeats in order of their texts' hash), then encoded and
-    streamed to one file per partition. A file is written under the attempt's own name and renamed when whole, so
-    retries and speculative copies leave one complete file. The manifest has one small entry per shard.
+    streamed to one file per partition, named by its number, so numbers are in key order. A file is written under its
+    attempt's name and renamed when whole, so retries and speculative copies leave one complete file of the same bytes; what
+    failed attempts left is removed. The manifest is a written table with one small row per shard.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
+    folder = qualified(spark, folder)
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes), spark.sparkContext.defaultParallelism if total > shard_bytes else 1)
-    ordered = docs.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]  # rows that are equal may part, too
+    ordered = docs.repartitionByRange(shards, *order).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
         own, ending = encoder(source.value), np.array([end_id], "<u4").tobytes()
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = _store_of(folder)
         fs.create_dir(base, recursive=True)
-        name = uuid.uuid4().hex
-        writer = low = high = None
-        with fs.open_output_stream(f"{base}/.{name}") as out:
+        task = TaskContext.get()
+        name, aside = f"part-{task.partitionId():07d}.sst", f".{uuid.uuid4().hex}"
+        writer = None
+        with fs.open_output_stream(f"{base}/{aside}") as out:
             for batch in slices(batches, limit=SLICE_BYTES):
                 for doc_id, value in zip(batch.column("doc_id").to_pylist(), own.ids(texts(batch))):
                     writer = writer or Writer(out)
-                    key = key_of(doc_id)
-                    low, high = key if low is None else low, key
-                    writer.add(key, value + ending)
+                    writer.add(key_of(doc_id), value + ending)
             if writer:
                 writer.close()
         if not writer:
-            fs.delete_file(f"{base}/.{name}")
+            fs.delete_file(f"{base}/{aside}")
             return
-        fs.move(f"{base}/.{name}", f"{base}/{name}.sst")
-        row = [[f"{folder}/{name}.sst"], [low], [high], [writer.docs], [writer.ids]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["uri", "low", "high", "docs", "ids"])
-
-    found = ordered.mapInArrow(run, "uri string, low binary, high binary, docs long, ids long").collect()
-    return sorted((r.asDict() for r in found), key=lambda r: (bytes(r["low"]), bytes(r["high"])))
-
-
-def read_shards(spark, manifest: list[dict]) -> DataFrame:
+        fs.move(f"{base}/{aside}", f"{base}/{name}")
+        row = [[task.partitionId()], [f"{folder}/{name}"], [writer.docs], [writer.ids]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["number", "uri", "docs", "ids"])
+
+    manifest = materialise(ordered.mapInArrow(run, "number long, uri string, docs long, ids long"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop(folder)):
+        for left in fs.globStatus(hadoop(f"{folder}/.*")) or []:
+            fs.delete(left.getPath(), False)
+    return manifest
+
+
+def starts(manifest: DataFrame) -> DataFrame:
+    """(uri, base): the number of ids before each shard. Sums run within GROUP shards, and over the sums of groups."""
+    group = F.floor(F.col("number") / GROUP).alias("g")
+    within = Window.partitionBy("g").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    rows = manifest.select("number", "uri", "ids", group)
+    groups = rows.groupBy("g").agg(F.sum("ids").alias("n")).select("g", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("first"))
+    return rows.withColumn("own", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(groups, "g").select("uri", (F.col("first") + F.col("own")).alias("base"))
+
+
+def read_shards(spark, manifest: DataFrame) -> DataFrame:
     """One row per document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not manifest:
-        return spark.createDataFrame([], schema)
-    bases = np.cumsum([0, *(m["ids"] for m in manifest)]).tolist()
-    jobs = spark.sparkContext.parallelize([(m["uri"], b) for m, b in zip(manifest, bases)], len(manifest))
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
@@ -247,9 +277,14 @@ def read_shards(spark, manifest: list[dict]) -> DataFrame:
                 for key, value in open_shard(uri):
                     rows.append((id_of(key), at, len(value) // 4, zlib.crc32(value)))
                     at += len(value) // 4
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    if len(rows) == READ_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=names)
 
-    return spark.createDataFrame(jobs, "uri string, base long").mapInArrow(run, schema)
+    jobs = materialise(starts(manifest))
+    return jobs.repartition(max(1, jobs.count()), "uri").mapInArrow(run, schema)
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
@@ -262,6 +297,4 @@ def token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str |
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tessera-sst-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = f"file://{folder[5:] if folder.startswith('file:') else folder}"
     return read_shards(spark, write_shards(docs, vocabulary, folder, end_id))
