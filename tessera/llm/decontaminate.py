@@ -12,6 +12,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
@@ -45,10 +46,13 @@ class Items:
         self.suffix_at = np.arange(len(self.suffix_item)) - (ends - [len(s) for s in split])[self.suffix_item] if split else np.zeros(0, np.int64)
         found: dict[bytes, list] = {}
         at = 0
+        self.window_of = np.full(len(self.suffix_item), -1)  # the window that a suffix begins with
         for item, s in enumerate(split):
             length = min(window, len(s))
             for start in range(at, at + len(s) - length + 1) if s else ():
-                found.setdefault(self.words[start : start + length].tobytes(), [start, length, set()])[2].add(item)
+                own = found.setdefault(self.words[start : start + length].tobytes(), [start, length, set(), len(found)])
+                own[2].add(item)
+                self.window_of[start] = own[3]
             at += len(s)
         self.starts = np.array([f[0] for f in found.values()], np.int64)
         self.lengths = np.array([f[1] for f in found.values()], np.int64)
@@ -131,19 +135,35 @@ class Shard:
         spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         return query, self.origin[self.order[spot]]
 
-    def longest(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Length and position (in tokens) of a longest verbatim match of every suffix; the neighbours in order have it."""
+    def longest(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length and first position (in tokens) of the longest verbatim matches of every suffix; 0 below `least` words.
+
+        The neighbours of a suffix's place in the order have its longest match, and those around that share it lie together.
+        """
         best, place = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         if len(self.order):
             spot = self._bound(words, starts, lengths, False)
             for near in (spot - 1, spot):
                 ok = np.flatnonzero((near >= 0) & (near < len(self.order)))
-                at = self.order[near[ok]]
-                _, same = self._compare(at, words, starts[ok], lengths[ok])
-                better = same > best[ok]
-                best[ok[better]], place[ok[better]] = same[better], self.origin[at[better]]
+                _, same = self._compare(self.order[near[ok]], words, starts[ok], lengths[ok])
+                best[ok] = np.maximum(best[ok], same)
+            best[best < least] = 0
+            ok = np.flatnonzero(best)
+            query, at = self.occurrences(words, starts[ok], best[ok])
+            if len(ok):
+                place[ok] = np.minimum.reduceat(at, np.flatnonzero(np.diff(query, prepend=-1)))
         return best, place
 
+    def search(self, block: Items) -> tuple[np.ndarray, ...]:
+        """Every suffix of the block: its longest match and where; then all places of the windows that begin with a match."""
+        if not len(block.starts):
+            return (np.zeros(0, np.int64),) * 4
+        least = np.where(block.window_of >= 0, block.lengths[block.window_of], np.iinfo(np.int64).max)
+        best, place = self.longest(block.words, np.arange(len(least)), block.suffix_len, least)
+        some = np.unique(block.window_of[best > 0])
+        query, at = self.occurrences(block.words, block.starts[some], block.lengths[some])
+        return best, place, some[query], at
+
 
 def _blocks(benchmark: DataFrame, window: int) -> list:
     """Broadcasts of the benchmark, each of BLOCK_BYTES of text or one longer item; rows stream through the driver."""
@@ -176,37 +196,49 @@ def _held(blocks: list):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits, longest.
 
     Words are maximal runs of [0-9a-z] and characters outside ASCII after lower-casing A-Z. A window is `window`
     consecutive words of an item; an item of fewer words, but not none, is one window. A document word inside any
     occurrence of a window is hit. `items` are the distinct item_ids (as strings, sorted) with occurring windows,
-    items_sha256 digests them comma-joined, `hits` lists the hit stretches as (start, end) in words, end exclusive.
+    items_sha256 digests them comma-joined, `hits` lists the hit stretches as (start, end) in words, end exclusive. Of each
+    test suffix `longest` has its longest verbatim match, of a window at least, in the shard where that begins in this
+    document (item_id, item_word, n_words, doc_word; `longest_matches` gives the longest over all shards).
 
     A null or empty text has no words and is clean; so is everything against an empty benchmark. A null item_id counts as
     the empty string, a null item text as no words. Repeated documents, items and windows are each answered in full.
     Only the named columns are read. No shuffle: documents stay where they are read, the benchmark is broadcast in blocks
     of bounded size, and the work of a shard is linear in its words and the occurrences in them.
     """
+    found = _found(docs, benchmark, window)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits", "longest")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     blocks = _blocks(benchmark, window)
 
     def run(batches):
         for batch in slices(batches, limit=(4 << 20) if len(blocks) < 2 else (32 << 20)):
+            ids = batch.column("doc_id")
+            batch = batch.take(pc.sort_indices(ids))  # null last; the first place of a match is that of the smallest doc_id
             split = [words(t) for t in texts(batch)]
             count = np.array([len(s) for s in split], np.int64)
             starts = np.cumsum([0, *(count + 1)])
             change = np.zeros(starts[-1] + 1, np.int32)
             owned: list[set] = [set() for _ in split]
+            longest: list[list] = [[] for _ in split]
             for block in _held(blocks):
-                if not len(block.starts):
-                    continue
                 tokens, _ = _tokens(split, block.vocab)
-                query, at = Shard(tokens, block.shortest).occurrences(block.words, block.starts, block.lengths)
+                best, place, query, at = Shard(tokens, block.shortest).search(block)
                 np.add.at(change, at, 1)
                 np.add.at(change, at + block.lengths[query], -1)
                 doc = np.searchsorted(starts, at, side="right") - 1
                 for d, q in np.unique(np.stack([doc, query], 1), axis=0).tolist():
                     owned[d].update(block.names[i] for i in block.owners[q])
+                some = np.flatnonzero(best)
+                doc = np.searchsorted(starts, place[some], side="right") - 1
+                for d, i, item, n, p in zip(doc.tolist(), block.suffix_at[some].tolist(), block.suffix_item[some].tolist(), best[some].tolist(), (place[some] - starts[doc]).tolist()):
+                    longest[d].append({"item_id": block.names[item], "item_word": i, "n_words": n, "doc_word": p})
             hit = np.cumsum(change[:-1]) > 0
             edge = np.diff(np.r_[0, hit.astype(np.int8), 0])
             first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -218,6 +250,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 [{"start": int(a - starts[i]), "end": int(b - starts[i])} for a, b in zip(first[lo:hi], last[lo:hi])] if hi > lo else []
                 for i, (lo, hi) in enumerate(zip(stretch[:-1], stretch[1:]))
             ]
+            match = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("n_words", pa.int64()), ("doc_word", pa.int64())])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -228,49 +261,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                     pa.array(n_hit > 0),
                     pa.array(names, pa.list_(pa.string())),
                     pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array(longest, pa.list_(match)),
                 ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits"],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits", "longest"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(
         run,
-        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-        "items array<string>, hits array<struct<start: bigint, end: bigint>>",
+        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, "
+        "hits array<struct<start: bigint, end: bigint>>, longest array<struct<item_id: string, item_word: bigint, n_words: bigint, doc_word: bigint>>",
     )
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """For every suffix of every item with a match of at least its window: item_id, item_word, n_words, doc_id, doc_word.
 
-    The longest verbatim match over all shards and one location of it (smallest doc_id, then first word). Items that
-    share an item_id share their rows.
+    The longest verbatim match over all shards and one location of it (smallest doc_id, null last, then first word). Items
+    that share an item_id share their rows. The shards' answers are those of `contamination`.
     """
-    blocks = _blocks(benchmark, window)
-
-    def run(batches):
-        for batch in slices(batches, limit=(4 << 20) if len(blocks) < 2 else (32 << 20)):
-            split = [words(t) for t in texts(batch)]
-            ids = batch.column("doc_id").to_pylist()
-            order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))
-            for block in _held(blocks):
-                tokens, starts = _tokens([split[i] for i in order], block.vocab)
-                suffixes = np.arange(len(block.suffix_item))
-                best, at = Shard(tokens, block.shortest).longest(block.words, suffixes, block.suffix_len)
-                sizes = np.bincount(block.suffix_item, minlength=len(block.names))
-                ok = np.flatnonzero(best >= np.minimum(window, sizes[block.suffix_item])) if len(suffixes) else suffixes
-                doc = np.searchsorted(starts, at[ok], side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block.names[i] for i in block.suffix_item[ok]], pa.string()),
-                        pa.array(block.suffix_at[ok].astype(np.int64)),
-                        pa.array(best[ok]),
-                        pa.array([ids[order[d]] for d in doc.tolist()], pa.int64()),
-                        pa.array((at[ok] - starts[doc]).astype(np.int64)),
-                    ],
-                    names=["item_id", "item_word", "n_words", "doc_id", "doc_word"],
-                )
-
-    found = docs.select("doc_id", "text").mapInArrow(run, "item_id string, item_word long, n_words long, doc_id long, doc_word long")
+    found = _found(docs, benchmark, window).where("contaminated").select("doc_id", F.explode("longest").alias("m")).select("doc_id", "m.*")
     best = F.max_by(F.struct("n_words", "doc_id", "doc_word"), F.struct("n_words", F.expr("~doc_id"), F.expr("~doc_word")))
     return found.groupBy("item_id", "item_word").agg(best.alias("b")).select("item_id", "item_word", "b.*")
 
@@ -286,7 +295,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
             for block in _held(blocks):
                 if len(block.starts):
                     tokens, starts = _tokens(split, block.vocab)
-                    _, at = Shard(tokens, block.shortest).occurrences(block.words, block.starts, block.lengths)
+                    *_, at = Shard(tokens, block.shortest).search(block)
                     bad[np.searchsorted(starts, at, side="right") - 1] = True
             yield batch.filter(pa.array(~bad))
 
