@@ -5,15 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tessera.scratch import materialise
+from tessera.session import ship
 
 ROLES = ("system", "user", "assistant")
 #: Names that stand for a role, lower case; anything else is unknown and costs UNKNOWN to relabel.
 ALIASES = {"human": "user", "bot": "assistant", "ai": "assistant", "model": "assistant"}
 MERGE, INSERT, RELABEL, UNKNOWN = 1, 2, 3, 1
-#: Turns of a conversation whose `turn` numbers fall in one stretch of so many are repaired in one piece.
+#: Consecutive turns of a conversation that are repaired in one piece.
 STRETCH = 256
 OPEN, CLOSE = "<|im_start|>{role}\n", "<|im_end|>\n"
 #: States: nothing yet, after a system turn, after a user turn, after an assistant turn (the only accepting one).
@@ -106,76 +108,125 @@ def repair(roles: list[int], enter: int, leave: int) -> list[tuple[int, tuple[in
     return out[::-1]
 
 
-def _grouped(batches):
-    """(conv, stretch, columns) of each run of rows of one stretch in sorted batches; a run may span batches."""
+_KEYS = ("conv_id", "part", "stretch")
+
+
+def _runs(batches, keys):
+    """(key values, rows) of each run of rows with equal keys in sorted batches; a run may span batches."""
     held, key = [], None
     for batch in batches:
-        conv, stretch = batch.column("conv_id").to_pylist(), batch.column("stretch").to_pylist()
-        edges = [0, *(i for i in range(1, len(conv)) if (conv[i], stretch[i]) != (conv[i - 1], stretch[i - 1])), len(conv)]
+        columns = [batch.column(k).to_pylist() for k in keys]
+        values = list(zip(*columns))
+        edges = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
         for lo, hi in zip(edges, edges[1:]):
             if hi == lo:
                 continue
-            if held and (conv[lo], stretch[lo]) != key:
-                yield *key, pa.Table.from_batches(held)
+            if held and values[lo] != key:
+                yield key, pa.Table.from_batches(held)
                 held = []
-            key = (conv[lo], stretch[lo])
+            key = values[lo]
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield *key, pa.Table.from_batches(held)
+        yield key, pa.Table.from_batches(held)
+
+
+def _stretches(size):
+    """Numbers the rows of a sorted partition through in stretches of `size` rows of a conversation. The last row of a
+    stretch carries its costs, the last row of a conversation in this partition those of all its rows here."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        conv, any_, stretch, inside, own, whole = None, False, 0, 0, None, None
+        start = np.where(np.eye(4, dtype=bool), 0, _INF)
+
+        def costs(matrix):
+            return None if matrix is None else matrix.ravel().tolist()
+
+        pending = None  # one row is held back until it is known whether its stretch goes on
+
+        def rows_of(batch):
+            nonlocal conv, any_, stretch, inside, own, whole, pending
+            ids, roles = batch.column("conv_id").to_pylist(), batch.column("role").to_pylist()
+            numbers, ends, totals = [], [], []
+            for c, role in zip(ids, roles):
+                fresh = not any_ or c != conv
+                cut = fresh or inside == size
+                if cut and any_:
+                    whole = _then(whole, own)
+                ends.append(costs(own) if cut and any_ else None)
+                totals.append(costs(whole) if fresh and any_ else None)
+                if cut:
+                    stretch, inside, own = stretch + 1, 0, start
+                if fresh:
+                    conv, any_, whole = c, True, start
+                step = _STEP[role_number(role)]
+                own, inside = _then(own, step), inside + 1
+                numbers.append(stretch)
+            return numbers, ends, totals
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers, ends, totals = rows_of(batch)
+            # What was found at a row belongs to the row before it.
+            if pending is not None:
+                yield _with(pending[0], part, pending[1], [*pending[2], ends[0]], [*pending[3], totals[0]])
+            pending = (batch, numbers, ends[1:], totals[1:])
+        if pending is not None:
+            yield _with(pending[0], part, pending[1], [*pending[2], costs(own)], [*pending[3], costs(_then(whole, own))])
+
+    return run
+
+
+def _with(batch, part, numbers, ends, totals) -> pa.RecordBatch:
+    kind = pa.list_(pa.int64())
+    more = [pa.array([part] * batch.num_rows, pa.int64()), pa.array(numbers, pa.int64()), pa.array(ends, kind), pa.array(totals, kind)]
+    return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "part", "stretch", "costs", "total"])
+
+
+def _solve(parts, enter=None, leave=None, before=0):
+    """(name, enter, leave, output rows before, last) of consecutive parts (name, costs), from START to the cheapest end, or
+    between given states."""
+    best, back = np.where(np.arange(4) == (START if enter is None else enter), 0, _INF), []
+    matrices = [np.array(costs, np.int64).reshape(4, 4) for _, costs in parts]
+    for matrix in matrices:
+        total = best[:, None] + matrix
+        back.append(total.argmin(0))
+        best = np.minimum(total.min(0), _INF)
+    state = int(np.argmin([best[s] + closing(s)[0] for s in range(4)])) if leave is None else leave
+    out = []
+    for i in range(len(parts) - 1, -1, -1):
+        came = int(back[i][state])
+        out.append((parts[i][0], came, state, int(matrices[i][came, state]) % _UNIT, i == len(parts) - 1))
+        state = came
+    for name, came, state, rows, last in reversed(out):
+        yield name, came, state, before, last
+        before += rows
 
 
-def _costs(batches):
-    for conv, stretch, rows in _grouped(batches):
-        matrix = stretch_costs([role_number(r) for r in rows.column("role").to_pylist()])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([conv], pa.int64()), pa.array([stretch], pa.int64()), pa.array([matrix.ravel().tolist()], pa.list_(pa.int64()))],
-            names=["conv_id", "stretch", "costs"],
-        )
+def _paths(batches):
+    """Entry and exit state of the part of each partition in a conversation, and how many output rows come before it."""
+    names, types = ["conv_id", "part", "enter", "leave", "before", "last"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+    for (conv,), rows in _runs(batches, ["conv_id"]):
+        found = [(conv, *f) for f in _solve(list(zip(rows.column("part").to_pylist(), rows.column("total").to_pylist())))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 
 
-def _paths(batches):
-    """Entry and exit state of every stretch of a conversation, and how many output rows come before it."""
-
-    def solve(conv, parts):
-        best, back = np.where(np.arange(4) == START, 0, _INF), []
-        for _, costs in parts:
-            total = best[:, None] + np.array(costs, np.int64).reshape(4, 4)
-            back.append(total.argmin(0))
-            best = np.minimum(total.min(0), _INF)
-        state = int(np.argmin([best[s] + closing(s)[0] for s in range(4)]))
-        out, last = [], len(parts) - 1
-        for i in range(last, -1, -1):
-            came = int(back[i][state])
-            cost = int(np.array(parts[i][1]).reshape(4, 4)[came, state])
-            out.append([conv, parts[i][0], came, state, cost, i == last])
-            state = came
-        before = 0
-        for row in reversed(out):
-            rows = row[4] % _UNIT
-            yield (*row[:4], before, row[5])
-            before += rows
-
-    def flush(conv, parts):
-        cols = list(zip(*solve(conv, parts)))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["conv_id", "stretch", "enter", "leave", "before", "last"])
-
-    held, conv = [], None
-    for batch in batches:
-        for c, s, m in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "stretch", "costs"))):
-            if held and c != conv:
-                yield flush(conv, held)
-                held = []
-            conv = c
-            held.append((s, m))
-    if held:
-        yield flush(conv, held)
+def _inner(batches):
+    """The same for each stretch inside a partition's part."""
+    names = ["conv_id", "part", "stretch", "enter", "leave", "before", "last"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+    for (conv, part), rows in _runs(batches, ["conv_id", "part"]):
+        enter, leave, before, ends = (rows.column(c)[0].as_py() for c in ("enter", "leave", "before", "last"))
+        parts = list(zip(rows.column("stretch").to_pylist(), rows.column("costs").to_pylist()))
+        found = [(conv, part, s, a, b, n, last and ends) for s, a, b, n, last in _solve(parts, enter, leave, before)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 
 
 def _render(batches):
     names = ["conv_id", "position", "turn", "role", "action", "cost", "rendered"]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-    for conv, _, rows in _grouped(batches):
+    for (conv, *_), rows in _runs(batches, _KEYS):
         roles = [role_number(r) for r in rows.column("role").to_pylist()]
         turns, text = rows.column("turn").to_pylist(), rows.column("text").to_pylist()
         enter, leave, position, last = (rows.column(c)[0].as_py() for c in ("enter", "leave", "before", "last"))
@@ -218,26 +269,33 @@ def format_chat(turns: DataFrame) -> DataFrame:
     first; rows with a null conv_id form a conversation of their own. Repeated rows are turns like any other. Extra columns
     are ignored; an empty table gives an empty result.
 
-    The dynamic program is associative: stretches of a conversation are reduced to (min, +) matrices over the four states,
-    a conversation's few matrices choose entry and exit states, and stretches are then repaired and rendered on their own.
-    So neither a conversation nor a transcript is ever gathered whole; the unit of work is a stretch of turn numbers.
+    The dynamic program is associative. Turns are sorted over all partitions, so a conversation of any size, and turns of
+    any number that repeat, are cut into stretches of STRETCH rows. Stretches, and each partition's part of a conversation,
+    are reduced to (min, +) matrices over the four states; the matrices choose entry and exit states, first of parts, then of
+    stretches; and stretches are repaired and rendered on their own. No task holds a conversation's turns or transcript.
     """
     rows = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
-    ).withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(1 << 40))).cast("long"))
-    order = ["conv_id", "stretch", "turn", "role", "text"]
-    matrices = (
-        rows.repartition("conv_id", "stretch").sortWithinPartitions(*order).select("conv_id", "stretch", "role").mapInArrow(
-            _costs, "conv_id long, stretch long, costs array<bigint>"
-        )
-    )
-    paths = materialise(
-        matrices.repartition("conv_id").sortWithinPartitions("conv_id", "stretch").mapInArrow(
-            _paths, "conv_id long, stretch long, enter int, leave int, before long, last boolean"
-        )
     )
-    same = F.col("r.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("r.stretch") == F.col("p.stretch"))
-    joined = rows.alias("r").join(paths.alias("p"), same).select("r.*", "enter", "leave", "before", "last")
-    return joined.repartition("conv_id", "stretch").sortWithinPartitions(*order).mapInArrow(
+    order = ["conv_id", "turn", "role", "text"]
+    ship(turns.sparkSession)
+    ordered = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    fields = "conv_id long, turn long, role string, text string, part long, stretch long, costs array<bigint>, total array<bigint>"
+    cut = materialise(ordered.mapInArrow(_stretches(STRETCH), fields))
+    parts = cut.where("total is not null").select("conv_id", "part", "total").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    paths = parts.mapInArrow(_paths, "conv_id long, part long, enter int, leave int, before long, last boolean")
+
+    def beside(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        """`left` with what `right` has beside the keys; null is a conversation, too."""
+        same = F.col("l.conv_id").eqNullSafe(F.col("r.conv_id"))
+        for k in keys:
+            same = same & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+        return left.alias("l").join(right.alias("r"), same).select("l.*", "r.enter", "r.leave", "r.before", "r.last")
+
+    inner = beside(cut.where("costs is not null").select("conv_id", "part", "stretch", "costs"), materialise(paths), "part")
+    inner = inner.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "stretch")
+    inner = materialise(inner.mapInArrow(_inner, "conv_id long, part long, stretch long, enter int, leave int, before long, last boolean"))
+    joined = beside(cut.drop("costs", "total"), inner, "part", "stretch")
+    return joined.repartition("conv_id", "part", "stretch").sortWithinPartitions("conv_id", "part", "stretch", *order[1:]).mapInArrow(
         _render, "conv_id long, position long, turn long, role string, action string, cost long, rendered string"
     )

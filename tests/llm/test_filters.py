@@ -74,21 +74,22 @@ def test_contamination(spark, nothing, benchmark_rows, test_texts, block, monkey
 def test_longest_matches(spark, benchmark_rows, test_texts):
     docs = spark.createDataFrame(list(enumerate(test_texts)), "doc_id long, text string").repartition(2)
     rows = benchmark_rows[:6]
+    test_texts = [*test_texts, rows[0][1] + " j", rows[0][1] + " a"]
+    docs = spark.createDataFrame(list(enumerate(test_texts)), "doc_id long, text string").repartition(2)
     got = {(int(r.item_id), r.item_word): (r.n_words, r.doc_id, r.doc_word) for r in longest_matches(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()}
     split = [words(t) for t in test_texts]
     for name, item in rows:
         x = words(item)
         for i in range(len(x)):
-            best = 0
-            for w in split:
+            best = (0, 0, 0)  # of equally long ones the smallest doc_id, then the first word
+            for d, w in enumerate(split):
                 for j in range(len(w)):
                     n = 0
                     while i + n < len(x) and j + n < len(w) and x[i + n] == w[j + n]:
                         n += 1
-                    best = max(best, n)
-            if best >= 10:
-                n, doc, at = got.pop((name, i))
-                assert n == best and split[doc][at : at + n] == x[i : i + n]
+                    best = max(best, (n, -d, -j))
+            if best[0] >= 10:
+                assert got.pop((name, i)) == (best[0], -best[1], -best[2])
     assert not got
 
 
@@ -316,14 +317,14 @@ def cheapest(roles):
 
 @pytest.mark.parametrize("stretch", [256, 3])
 def test_chat(spark, monkeypatch, stretch):
-    """Whole conversations, and ones cut into many stretches."""
+    """Whole conversations, and ones cut into many stretches, with turns that repeat and turns without a number."""
     import tessera.llm.chat as chat
 
     monkeypatch.setattr(chat, "STRETCH", stretch)
     rng = random.Random(stretch)
     rows = []
     for conv in [*range(60), None]:
-        for turn in range(rng.choice([1, 2, 5, 20])):
+        for turn in range(rng.choice([1, 2, 5, 20, 60])):
             rows.append((conv, turn if rng.random() < 0.95 else None, rng.choice(["system", "user", "user", "assistant", "assistant", "tool", "Human", None]), rng.choice(["hi", "", None, f"t{turn}"]), "x"))
     table = spark.createDataFrame(rows + rows[:3], "conv_id long, turn long, role string, text string, position string")
     got = defaultdict(list)

@@ -91,7 +91,7 @@ def test_table_format(tmp_path):
 def test_token_files(spark, docs, nothing, tmp_path):
     source = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     manifest = write_shards(docs, WORD, f"file://{tmp_path}", shard_bytes=20_000)
-    assert len(manifest) > 1
+    assert manifest.count() > 1 and sorted(f.name for f in tmp_path.iterdir()) == sorted(r.uri.rsplit("/", 1)[1] for r in manifest.collect())
     rows = sorted(read_shards(spark, manifest).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [r.doc_id for r in source]
     assert [r.start for r in rows] == [0, *accumulate(r.n_tokens for r in rows)][:-1]
