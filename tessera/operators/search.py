@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 
 from tessera.functions.text import camel_tokens, file_stem, keyword_weight, match_quality, plain_tokens
 from tessera.scratch import materialise
@@ -99,10 +99,18 @@ def tfidf_search(symbols: DataFrame, weights: DataFrame, tokens: list[str], limi
 
 
 def postings(docs: DataFrame, key: str = "path", body: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf) and (key, length), for documents with at least one token; worth storing when queries repeat."""
+    """Written postings (term, key, length, tf) of documents with at least one token, and one row (n, mean) about them.
+
+    Texts are read once: lengths travel with the postings, and the job that writes them counts documents and tokens. Files
+    are sorted by term, so a query's filter skips the row groups of other terms.
+    """
     tokens = docs.select(key, plain_tokens(F.col(body)).alias("tokens")).where(F.size("tokens") > 0)
-    terms = tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return terms, tokens.select(key, F.size("tokens").alias("length"))
+    seen = Observation()
+    counted = tokens.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("total"))
+    terms = counted.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
+    terms = materialise(terms.sortWithinPartitions("term"))
+    n, total = seen.get.get("n") or 0, seen.get.get("total") or 0
+    return terms, docs.sparkSession.createDataFrame([(n, total / n if n else 0.0)], "n long, mean double")
 
 
 def bm25_query_scores(docs: DataFrame, terms: list[str], key: str = "path", body: str = "text") -> DataFrame:
@@ -140,17 +148,17 @@ def bm25_search(docs: DataFrame, terms: list[str], limit: int = 20, key: str = "
     return bm25_query_scores(docs, terms, key, body).orderBy(F.desc("score"), key).limit(limit)
 
 
-def bm25_from_postings(terms: DataFrame, lengths: DataFrame, query: list[str], limit: int = 20, key: str = "path") -> DataFrame:
-    """The same scores from stored postings: only the query's terms are read."""
+def bm25_from_postings(terms: DataFrame, stats: DataFrame, query: list[str], limit: int = 20, key: str = "path") -> DataFrame:
+    """The same scores from stored postings: only the query's terms are read, by a filter that reaches the scan."""
     spark = terms.sparkSession
-    uses = F.broadcast(terms_table(spark, [t.lower() for t in query]))
-    hit = terms.join(uses, "term")
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    lowered = [t.lower() for t in query]
+    uses = F.broadcast(terms_table(spark, lowered))  # a row for each word of the request
+    hit = terms.where(F.col("term").isin(*dict.fromkeys(lowered))).join(uses, "term")
     df = F.broadcast(hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # one row a query term
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     one = F.col("uses") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = hit.join(df, "term").join(lengths, key).crossJoin(F.broadcast(stats)).groupBy(key).agg(F.sum(one).alias("score"))
+    scored = hit.join(df, "term").crossJoin(F.broadcast(stats)).groupBy(key).agg(F.sum(one).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(limit)
 
 

@@ -73,8 +73,8 @@ def bm25_dup_terms(spark, sf):
 
 @query("bm25_postings", _bm25_sql(["thing", "ring", "anat"], 20))
 def bm25_postings(spark, sf):
-    terms, lengths = search.postings(adapters.doc_files(spark, sf))
-    return search.bm25_from_postings(terms, lengths, ["thing", "ring", "anat"], 20).select("path", _r("score"))
+    terms, stats = search.postings(adapters.doc_files(spark, sf))
+    return search.bm25_from_postings(terms, stats, ["thing", "ring", "anat"], 20).select("path", _r("score"))
 
 
 @query("tfidf_weights", f"WITH {_WEIGHTS} SELECT path, term, round(weight, 6) AS weight FROM weights")
