@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from tessera.llm.batches import PIECE_BYTES, Recent, pieces, slices, texts
+from tessera.llm.batches import PIECE_BYTES, Recent, pieces, release_memory, slices, texts
 from tessera.llm.encoder import distinct_chunks
 from tessera.scratch import materialise
 from tessera.session import ship
@@ -139,34 +139,34 @@ def _weights(data: list[bytes]) -> tuple[np.ndarray, ...]:
     return total, key // BUCKETS, key % BUCKETS, np.bincount(inverse, np.repeat(n / np.maximum(1, size_of), size_of), len(key))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """Embeddings and softmax fitted together on (buckets, weights, label) rows, in the order given."""
-    label = np.array([y for *_, y in rows], np.float64)
-    n_docs = len(rows)
+def fit(flat: np.ndarray, share: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> Model:
+    """Embeddings and softmax fitted together on texts given by their buckets and weights one after another, how many each
+    has, and their labels. The driver's memory is some 24 bytes for each number."""
+    n_docs = len(label)
     prior = (label.sum() + 0.5) / (n_docs + 10)  # without labels nothing is called toxic
     bias0 = float(np.log(prior / (1 - prior)))
-    flat = np.concatenate([np.zeros(0, np.int32), *(r[0] for r in rows)])
-    if not len(flat) or not 0 < label.sum() < n_docs:
-        return Model(np.zeros(BUCKETS, np.float32), bias0)
     # Features of too few documents stay zero, and so out of the sums; they still count in the means.
-    use = np.bincount(flat, minlength=BUCKETS)[flat] >= LEAST_DOCS
-    doc = np.repeat(np.arange(n_docs), [len(r[0]) for r in rows])[use]
-    share = np.concatenate([r[1] for r in rows])[use]
-    ids, flat = np.unique(flat[use], return_inverse=True)
-    if not len(ids):
+    kept = np.bincount(flat, minlength=BUCKETS) >= LEAST_DOCS
+    ids, number = np.flatnonzero(kept), (np.cumsum(kept) - 1).astype(np.int32)
+    if not len(ids) or not 0 < label.sum() < n_docs:
         return Model(np.zeros(BUCKETS, np.float32), bias0)
+    use = kept[flat]
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), sizes)[use]
+    flat, share = number[flat[use]], share[use]
+    some, at = np.unique(doc, return_index=True)
     # The same numbers once by document and once by feature, so that both passes add up neighbours.
     by = np.argsort(flat, kind="stable")
     doc_of, share_of = doc[by], share[by]
-    first = np.searchsorted(flat[by], np.arange(len(ids)))
-    some, at = np.unique(doc, return_index=True)
-    scale = 1.0 / (0.25 * np.add.reduceat(share_of * share_of, first) / n_docs + RIDGE)
-
+    del by, doc, use
+    first = np.r_[0, np.cumsum(np.bincount(flat, minlength=len(ids)))[:-1]]
     held = np.empty(len(flat), np.float32)
+    np.multiply(share_of, share_of, out=held)
+    scale = 1.0 / (0.25 * np.add.reduceat(held, first).astype(np.float64) / n_docs + RIDGE)
 
     def sums(values: np.ndarray, at: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        np.take(values.astype(np.float32), at, out=held, mode="clip")
-        np.multiply(held, weight, out=held)
+        values = values.astype(np.float32)
+        for lo in range(0, len(at), 1 << 18):
+            np.multiply(values[at[lo : lo + (1 << 18)]], weight[lo : lo + (1 << 18)], out=held[lo : lo + (1 << 18)])
         return np.add.reduceat(held, starts).astype(np.float64)
 
     rng = np.random.default_rng(SEED)
@@ -226,11 +226,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, numbers:
         if total > numbers:
             made = made.where((F.xxhash64("doc_id") < h) | (F.xxhash64("doc_id") == h) & (F.col("doc_id") < doc_id))
             break
-    held: list[tuple] = []
-    for batch in made.orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "bag", "weight").toArrow().to_batches():
-        bag, weight = batch.column("bag"), batch.column("weight")
-        held += [(bag[i].values.to_numpy(), weight[i].values.to_numpy(), int(y > 0)) for i, y in enumerate(batch.column("toxic").to_pylist())]
-    return fit(held)
+    table = made.orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "bag", "weight").toArrow()
+    label = np.array([int(y > 0) for y in table.column("toxic").to_pylist()], np.float64)
+    sizes = table.column("bag").combine_chunks().value_lengths().to_numpy() if len(label) else np.zeros(0, np.int64)
+    flat, share = (np.concatenate([np.zeros(0, t), *(c.flatten().to_numpy() for c in table.column(n).chunks)]) for n, t in (("bag", np.int32), ("weight", np.float32)))
+    del table
+    release_memory()
+    return fit(flat, share, sizes, label)
 
 
 class Scorer:

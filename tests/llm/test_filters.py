@@ -215,6 +215,11 @@ def test_balanced_shards(spark, docs, nothing):
 # ---- toxicity ------------------------------------------------------------------------------------------------------
 
 
+def fitted(rows):
+    found = vectors([t for t, _ in rows])
+    return fit(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.array([len(f[0]) for f in found]), np.array([y for _, y in rows], float))
+
+
 def test_toxicity_learns(spark, docs, nothing):
     rng = random.Random(9)
     plain = ["".join(rng.choices(["ta", "ri", "mo", "ne", "lu", "ka"], k=3)) for _ in range(150)]
@@ -240,7 +245,7 @@ def test_toxicity_learns(spark, docs, nothing):
     assert {r.doc_id for r in keep_clean(table, model).collect()} == {i for i, r in got.items() if not r.predicted}
     assert score(nothing, model).collect() == [] and score(docs, model).count() == docs.count()
     kept = [(t.encode(), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
-    again = fit([(*v, y) for v, (_, y) in zip(vectors([t for t, _ in kept]), kept)])
+    again = fitted(kept)
     assert np.allclose(again.weight, model.weight, atol=1e-2)
     repeated = table.unionByName(table.where("doc_id % 5 = 0")).unionByName(table.limit(1).crossJoin(spark.range(500)).drop("id"))
     assert np.array_equal(train(repeated.drop("toxic"), labels).weight, model.weight)  # rows that repeat change nothing
@@ -276,7 +281,7 @@ def test_all_of_a_word_counts():
         assert sorted(np.concatenate([*_long_features(word)]).tolist()) == sorted(features(word))
         assert model.words([b"x", word, b""]) == pytest.approx([model.weight[features(b"x")].mean(), model.weight[features(word)].mean(), 0], abs=1e-9)
     rows = [("日本" * 10 + tail, y) for tail, y in (("悪い言葉", 1), ("良い言葉", 0)) for _ in range(20)]
-    learned = Scorer(fit([(*v, y) for v, (_, y) in zip(vectors([t.encode() for t, _ in rows]), rows)]))
+    learned = Scorer(fitted([(t.encode(), y) for t, y in rows]))
     bad, good = learned.scores([("語彙" * 9 + "日本悪い言葉").encode(), ("語彙" * 9 + "日本良い言葉").encode()])
     assert bad > good
 
