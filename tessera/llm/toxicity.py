@@ -35,6 +35,8 @@ BLANKS = 20
 #: RIDGE is the precision that the curvature of an embedding is at least taken to have, and its pull to zero.
 STEPS, RATE, SOFT_RATE, MOMENTUM, RIDGE, SEED = 200, 0.05, 0.01, 0.9, 1e-9, 7
 THRESHOLD = 0.3
+#: Numbers of the fit that are sorted at once.
+AT_ONCE = 1 << 20
 CACHE = 300_000
 #: Bytes of a word whose n-grams are in memory at once.
 LONG = 1 << 14
@@ -151,14 +153,23 @@ def fit(flat: np.ndarray, share: np.ndarray, sizes: np.ndarray, label: np.ndarra
     if not len(ids) or not 0 < label.sum() < n_docs:
         return Model(np.zeros(BUCKETS, np.float32), bias0)
     use = kept[flat]
-    doc = np.repeat(np.arange(n_docs, dtype=np.int32), sizes)[use]
-    flat, share = number[flat[use]], share[use]
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), sizes)
+    if not use.all():
+        doc, flat, share = doc[use], flat[use], share[use]
+    flat = number[flat]
+    del use
     some, at = np.unique(doc, return_index=True)
-    # The same numbers once by document and once by feature, so that both passes add up neighbours.
-    by = np.argsort(flat, kind="stable")
-    doc_of, share_of = doc[by], share[by]
-    del by, doc, use
-    first = np.r_[0, np.cumsum(np.bincount(flat, minlength=len(ids)))[:-1]]
+    # The same numbers once by document and once by feature, so that both passes add up neighbours; sorted in parts.
+    size = np.bincount(flat, minlength=len(ids))
+    first = np.cumsum(size) - size
+    doc_of, share_of = np.empty_like(doc), np.empty_like(share)
+    edges = np.unique(np.r_[np.searchsorted(first, np.arange(0, len(flat), AT_ONCE)), len(ids)])
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        spot = np.flatnonzero((flat >= lo) & (flat < hi))
+        spot = spot[np.argsort(flat[spot], kind="stable")]
+        part = slice(first[lo], first[lo] + len(spot))
+        doc_of[part], share_of[part] = doc[spot], share[spot]
+    del doc
     held = np.empty(len(flat), np.float32)
     np.multiply(share_of, share_of, out=held)
     scale = 1.0 / (0.25 * np.add.reduceat(held, first).astype(np.float64) / n_docs + RIDGE)
@@ -213,26 +224,34 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, numbers:
     def run(batches):
         for batch in slices(batches, limit=2 << 20):
             found = vectors(texts(batch))
-            bag, weight = (pa.array([f[i].tolist() for f in found], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.float32()))))
+            bag, weight = (pa.array([f[i].astype(t).tobytes() for f in found], pa.binary()) for i, t in enumerate(("<i4", "<f4")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), bag, weight], names=["doc_id", "toxic", "bag", "weight"])
 
     ship(docs.sparkSession)
     toxic = f"toxic {known.schema['toxic'].dataType.simpleString()}"
-    made = materialise(sample.mapInArrow(run, f"doc_id long, {toxic}, bag array<int>, weight array<float>"))
-    order = made.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.size("bag").alias("n")).orderBy("h", "doc_id")
-    total = 0
+    made = materialise(sample.mapInArrow(run, f"doc_id long, {toxic}, bag binary, weight binary"))
+    order = made.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.octet_length("bag") / 4).cast("long").alias("n")).orderBy("h", "doc_id")
+    total, count = 0, 0
     for h, doc_id, n in order.toLocalIterator():
-        total += n
-        if total > numbers:
+        if total + n > numbers:
             made = made.where((F.xxhash64("doc_id") < h) | (F.xxhash64("doc_id") == h) & (F.col("doc_id") < doc_id))
             break
-    table = made.orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "bag", "weight").toArrow()
-    label = np.array([int(y > 0) for y in table.column("toxic").to_pylist()], np.float64)
-    sizes = table.column("bag").combine_chunks().value_lengths().to_numpy() if len(label) else np.zeros(0, np.int64)
-    flat, share = (np.concatenate([np.zeros(0, t), *(c.flatten().to_numpy() for c in table.column(n).chunks)]) for n, t in (("bag", np.int32), ("weight", np.float32)))
-    del table
+        total, count = total + n, count + 1
+    return fit(*_gathered(made, total, count))
+
+
+def _gathered(made: DataFrame, total: int, count: int) -> tuple[np.ndarray, ...]:
+    """The arguments of `fit`. Vectors come partition by partition into arrays of known size, so neither the JVM nor Python
+    holds them twice, and only `fit` keeps them."""
+    flat, share = np.empty(total, np.int32), np.empty(total, np.float32)
+    sizes, label, at = np.zeros(count, np.int64), np.zeros(count), 0
+    for i, (toxic, bag, weight) in enumerate(made.orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "bag", "weight").toLocalIterator()):
+        n = len(bag) // 4
+        sizes[i], label[i] = n, int(toxic > 0)
+        flat[at : at + n], share[at : at + n] = np.frombuffer(bag, "<i4"), np.frombuffer(weight, "<f4")
+        at += n
     release_memory()
-    return fit(flat, share, sizes, label)
+    return flat, share, sizes, label
 
 
 class Scorer:
