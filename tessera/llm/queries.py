@@ -14,6 +14,7 @@ from tessera.llm.packing import pack
 from tessera.llm.secrets import secret_digests
 from tessera.llm.sharding import balanced_shards
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.spelling import spelling_variants
 from tessera.llm.sstable import token_files
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
@@ -65,6 +66,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chat(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLES: dict[str, str] = {
