@@ -63,14 +63,17 @@ def remove(spark: SparkSession, path: str) -> None:
 def row_keys(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """`df` with two columns that tell every row from all others, repeated rows too, and their names.
 
-    They are a row's file and place in it, so a lost task finds them again; what is not a plain scan is written first.
-    Their names clash with no column of `df`.
+    They are a row's file and place in it, so a lost task finds them again; what is not a plain scan, or some columns of
+    one, is written first. Their names clash with no column of `df`, and a column named `_metadata` does not hide them.
     """
     plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter") and plan.children().size() == 1:
+        plan = plan.children().head()
     if not (plan.children().isEmpty() and df.inputFiles()):
         df = materialise(df)
     names = [f"_row_{part}_{len(''.join(df.columns))}" for part in ("file", "place")]
-    own = [F.xxhash64(F.col("_metadata.file_path")).alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
+    place = df.metadataColumn("_metadata")
+    own = [F.xxhash64(place.getField("file_path")).alias(names[0]), place.getField("row_index").alias(names[1])]
     return df.select("*", *own), names
 
 
