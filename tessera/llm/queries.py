@@ -18,6 +18,7 @@ from tessera.llm.spelling import spelling_variants
 from tessera.llm.sstable import token_files
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
+from tessera.llm.warc import archived_pages
 from tessera.session import spread, table
 
 
@@ -70,6 +71,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_docs(spark, sf_dir))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
     "op11_spelling": op11_spelling,
+    "op12_warc": op12_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -125,4 +131,15 @@ ORACLES: dict[str, str] = {
         SELECT t.doc_id, k.keep_id, g.group_size, t.doc_id = k.keep_id AS kept, t.text_sha256
         FROM t JOIN g USING (text_sha256) JOIN k USING (text_sha256)
     """,
+    "op12_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+        ), d AS (SELECT page_id, strlen(html) AS payload_bytes, first_id, sha1(html) AS hex FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM d
+    """,
 }
