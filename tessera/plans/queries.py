@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import text as tx
 from tessera.operators import budget, catalog, compress, dependencies, graph, history, relevance, resolve, search
-from tessera.plans import adapters, context, source_queries  # noqa: F401  registers more
+from tessera.plans import adapters, context, maintenance_queries, source_queries  # noqa: F401  registers more
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.session import spread, table
 from tessera.sources import documents, walk
