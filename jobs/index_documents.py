@@ -25,7 +25,7 @@ from pathlib import Path
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions.text import count_tokens, plain_tokens
+from tessera.functions.text import count_tokens, counted, plain_tokens
 from tessera.scratch import discard, materialise
 from tessera.session import spread
 
@@ -44,17 +44,11 @@ def forward(files: DataFrame, buckets: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     sha = F.sha2(text, 256)
     rows = files.select("doc_id", "lang", "source", "version", text.alias("text"), sha.alias("sha256"), F.sort_array(plain_tokens(text)).alias("words"))
-    # Equal words stand together, so a word's count is the distance from its start to the next one's.
-    place = F.sequence(F.lit(0), F.size("words") - 1)
-    starts = F.filter(place, lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
-    rows = rows.withColumn("starts", F.when(F.size("words") > 0, starts).otherwise(F.array().cast("array<int>")))
-    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("words")))
-    terms = F.zip_with("starts", F.slice(ends, 1, F.size("starts")), lambda i, j: F.struct(F.get("words", i).alias("term"), (j - i).cast("int").alias("tf")))
     return rows.select(
         F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("sha256:"), "sha256")).alias("key"), "doc_id",
         F.concat_ws("/", "source", "lang", F.coalesce(F.col("doc_id").cast("string"), "sha256")).alias("path"), F.col("lang").alias("language"), "sha256",
         F.octet_length("text").cast("long").alias("n_bytes"), count_tokens(F.col("text")).cast("long").alias("tokens"), F.size("words").alias("length"),
-        terms.alias("terms"), "version", F.lit(buckets).alias("buckets"),
+        counted(F.col("words")).alias("terms"), "version", F.lit(buckets).alias("buckets"),
         F.pmod(F.coalesce("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(buckets)).cast("int").alias("bucket"),
     )
 

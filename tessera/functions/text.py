@@ -59,6 +59,15 @@ def plain_tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, _SPLIT), lambda w: F.octet_length(w) >= 2), F.lower)
 
 
+def counted(words: Column) -> Column:
+    """array<struct<term, tf>> of the distinct words of a sorted array, each with its number: the way from a word's first
+    place to the next one's. Within the row, so nothing is shuffled for it."""
+    starts = F.array_compact(F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(words)))
+    pairs = F.zip_with(starts, ends, lambda i, j: F.struct(F.get(words, i).alias("term"), (j - i).cast("int").alias("tf")))
+    return F.when(F.size(words) > 0, pairs).otherwise(F.array().cast("array<struct<term: string, tf: int>>"))
+
+
 def task_keywords(task: str) -> list[str]:
     """Search terms of a task: words of letters, digits and _, three bytes or more, as written, repeats kept."""
     return [w for w in re.split(r"[^\w]+", task) if len(w.encode()) >= 3]

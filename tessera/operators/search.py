@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from tessera.functions.text import camel_tokens, file_stem, keyword_weight, match_quality, plain_tokens
-from tessera.scratch import materialise
+from tessera.scratch import made, materialise, reread, shared_dir
 
 K1, B = 1.5, 0.75
 FALLBACK_SCORE = 0.3
@@ -98,19 +101,40 @@ def tfidf_search(symbols: DataFrame, weights: DataFrame, tokens: list[str], limi
     return hits.unionByName(backup).orderBy(F.desc("score"), "path").limit(limit)
 
 
+#: Partitions that postings are laid out in by term, and parts that the postings of one term are dealt to at most.
+TERM_BUCKETS, TERM_SLICES = 64, 16
+#: What stands for the document itself among its terms; no term is empty.
+WHOLE = ""
+
+
 def postings(docs: DataFrame, key: str = "path", body: str = "text") -> tuple[DataFrame, DataFrame]:
     """Written postings (term, key, length, tf) of documents with at least one token, and one row (n, mean) about them.
 
-    Texts are read once: lengths travel with the postings, and the job that writes them counts documents and tokens. Files
-    are sorted by term, so a query's filter skips the row groups of other terms.
+    Texts are read once. Each document also has one posting of the term WHOLE, so n and the mean are sums over the written
+    table, and a task that runs again changes nothing. Keys tell documents apart. One shuffle counts the words and lays
+    them out in partitions by a hash of the term, sorted by term; a query reads those of its terms alone. A frequent
+    term is dealt to TERM_SLICES tasks.
     """
+    spark = docs.sparkSession
     tokens = docs.select(key, plain_tokens(F.col(body)).alias("tokens")).where(F.size("tokens") > 0)
-    seen = Observation()
-    counted = tokens.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("total"))
-    terms = counted.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
-    terms = materialise(terms.sortWithinPartitions("term"))
-    n, total = seen.get.get("n") or 0, seen.get.get("total") or 0
-    return terms, docs.sparkSession.createDataFrame([(n, total / n if n else 0.0)], "n long, mean double")
+    words = tokens.select(key, F.size("tokens").alias("length"), F.explode(F.concat("tokens", F.array(F.lit(WHOLE)))).alias("term"))
+    words = words.withColumns({"bucket": _bucket(F.col("term")), "slice": F.pmod(F.xxhash64(key), F.lit(TERM_SLICES)).cast("int")})
+    dealt = words.repartition("bucket", "slice").groupBy("bucket", "slice", "term", key, "length").agg(F.count(F.lit(1)).alias("tf")).drop("slice")
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    made(spark, path)
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    terms = reread(spark, path, dealt)
+    stats = terms.where((F.col("bucket") == _bucket_of(WHOLE)) & (F.col("term") == WHOLE))
+    stats = stats.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("tf") * F.col("length")) / F.sum("tf"), F.lit(0.0)).alias("mean"))
+    return terms.where(F.col("term") != WHOLE), stats
+
+
+def _bucket(term: Column) -> Column:
+    return (F.crc32(F.encode(term, "UTF-8")) % TERM_BUCKETS).cast("int")
+
+
+def _bucket_of(term: str) -> int:
+    return zlib.crc32(term.encode()) % TERM_BUCKETS
 
 
 def bm25_query_scores(docs: DataFrame, terms: list[str], key: str = "path", body: str = "text") -> DataFrame:
@@ -149,11 +173,11 @@ def bm25_search(docs: DataFrame, terms: list[str], limit: int = 20, key: str = "
 
 
 def bm25_from_postings(terms: DataFrame, stats: DataFrame, query: list[str], limit: int = 20, key: str = "path") -> DataFrame:
-    """The same scores from stored postings: only the query's terms are read, by a filter that reaches the scan."""
+    """The same scores from stored postings: only the partitions of the query's terms are read, and in them what they sort by term."""
     spark = terms.sparkSession
     lowered = [t.lower() for t in query]
     uses = F.broadcast(terms_table(spark, lowered))  # a row for each word of the request
-    hit = terms.where(F.col("term").isin(*dict.fromkeys(lowered))).join(uses, "term")
+    hit = terms.where(F.col("bucket").isin(*{_bucket_of(t) for t in lowered}) & F.col("term").isin(*dict.fromkeys(lowered))).join(uses, "term")
     df = F.broadcast(hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # one row a query term
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

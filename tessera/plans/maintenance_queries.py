@@ -20,6 +20,7 @@ from tessera.streaming import stateful
 
 #: One file per part: it defines f<key> and g<size>, calls f<key + 1> and imports another g. In the file of the smallest key,
 #: both names then give way to new ones.
+_BUCKETS = 16
 _REPOSITORY = """
     p AS (SELECT p_partkey AS k, p_size AS s, p_partkey = (SELECT min(p_partkey) FROM part) AS ch FROM part),
     sym AS (SELECT k * 10 + 1 AS id, k, 'f' || k AS name, true AS x FROM p WHERE NOT ch UNION ALL SELECT k * 10 + 2, k, 'g' || s, k % 50 = 7 FROM p WHERE NOT ch
@@ -47,11 +48,11 @@ def _updated(spark, sf):
     symbols = part.select(path, F.inline(F.array(symbol(f, 1, 1, F.lit(True)), symbol(g(size), 5, 2, key % 50 == 7))))
     deps = part.select(path, F.inline(F.array(dependency(F.concat(F.lit("f"), (key + 1).cast("string")), 2, "function_call"), dependency(g(size % 50 + 1), 6, "import"))))
     root = f"{shared_dir(spark)}/tessera-delta-{uuid.uuid4().hex}"
-    delta.update(spark, root, part.select(path), symbols, deps)
+    delta.update(spark, root, part.select(path), symbols, deps, _BUCKETS)
     first = materialise(part.orderBy("p_partkey").limit(1))
     symbols = first.select(path, F.inline(F.array(symbol(F.lit("f_new"), 1, 3, F.lit(True)), symbol(F.lit("g1"), 5, 4, F.lit(True)))))
     deps = first.select(path, F.inline(F.array(dependency(F.lit("g2"), 6, "import"))))
-    return root, delta.update(spark, root, first.select(path), symbols, deps)
+    return root, delta.update(spark, root, first.select(path), symbols, deps, _BUCKETS)
 
 
 @query(
@@ -73,10 +74,10 @@ def delta_edges(spark, sf):
         files AS (SELECT k FROM one UNION SELECT k FROM dep WHERE name IN (SELECT name FROM names)),
         b AS (SELECT 'definitions' AS name, name AS key FROM names UNION ALL SELECT 'uses', name FROM used UNION ALL SELECT 'edges', 'p/' || k || '.py' FROM files
               UNION ALL SELECT unnest(['deps', 'symbols']), 'p/' || k || '.py' FROM one)
-        SELECT name, count(DISTINCT CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 64) AS written FROM b GROUP BY name""",
+        SELECT name, count(DISTINCT CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % {_BUCKETS}) AS written FROM b GROUP BY name""",
 )
 def delta_partitions(spark, sf):
-    """Partitions, of 64 a table, that the change of one file had written anew."""
+    """Partitions, of 16 a table, that the change of one file had written anew."""
     return spark.createDataFrame(list(_updated(spark, sf)[1].items()), "name string, written long")
 
 

@@ -64,11 +64,12 @@ def update(spark: SparkSession, root: str, paths: DataFrame, symbols: DataFrame,
     """
     for name, schema in SCHEMAS.items():
         spark.createDataFrame([], f"{schema}, bucket int").write.mode("ignore").partitionBy("bucket").parquet(f"{root}/{name}")
+    before = {name: table(spark, root, name) for name in SCHEMAS}  # listed once; each is read before it is written
     paths = materialise(paths.select("path").distinct())
     own = _buckets(paths, "path", buckets)
 
     def stored(name: str, some: list[int]) -> DataFrame:
-        return table(spark, root, name).where(F.col("bucket").isin(some))
+        return before[name].where(F.col("bucket").isin(some))
 
     new = materialise(symbols.join(paths, "path", "left_semi").select("name", *(c.split()[0] for c in PLACE.split(", "))))
     new_deps = materialise(deps.join(paths, "path", "left_semi").select("path", "to_name", "kind", F.col("line").cast("int").alias("line")))
@@ -105,9 +106,9 @@ def update(spark: SparkSession, root: str, paths: DataFrame, symbols: DataFrame,
         "deps": (kept("deps", own), new_deps, own),
         "symbols": (kept("symbols", own), new, own),
     }
-    for name, (before, rows, some) in writes.items():
+    for name, (old, rows, some) in writes.items():
         rows = rows.withColumn("bucket", bucket_of(KEYS[name], buckets)).where(F.col("bucket").isin(some))
-        _put(before.unionByName(rows), root, name, some)
+        _put(old.unionByName(rows), root, name, some)
     return {name: len(some) for name, (*_, some) in writes.items()}
 
 
