@@ -78,6 +78,24 @@ def meaningful(keywords: list[str]) -> list[str]:
     return [k for k in keywords if k.lower() not in STOPWORDS] or keywords
 
 
+def task_words(task: Column) -> Column:
+    """`task_keywords` of a column of tasks."""
+    return F.filter(F.split(task, r"[^\p{IsAlphabetic}\p{N}_]+"), lambda w: F.octet_length(w) >= 3)
+
+
+def meaningful_words(words: Column) -> Column:
+    """`meaningful` of a column of arrays."""
+    stop = F.array(*map(F.lit, sorted(STOPWORDS)))
+    kept = F.filter(words, lambda w: ~F.array_contains(stop, F.lower(w)))
+    return F.when(F.size(kept) > 0, kept).otherwise(words)
+
+
+def noise_words(alias: Column) -> Column:
+    """The words of `noise_keywords` that a column of aliases gives, with repeats."""
+    parts = F.split(F.regexp_replace(alias, "(?<=[a-z0-9])(?=[A-Z])", " "), "[^A-Za-z0-9]+")
+    return F.transform(F.filter(parts, lambda p: F.length(p) >= 3), F.lower)
+
+
 def noise_keywords(aliases: list[str], configured: list[str] = ()) -> set[str]:
     """Tokens (three characters or more) of the repositories' aliases, and configured words, all lower case."""
     parts = {p.lower() for a in aliases for p in re.split(r"[^A-Za-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", a))}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from tessera.functions.text import alias_of, severity
 from tessera.scratch import materialise
@@ -80,6 +82,18 @@ def dependencies(symbols: DataFrame, edges: DataFrame, name: str, direction: str
     return own.join(links.join(others, "other_id"), "symbol_id", "left").select("symbol_id", "path", "edge_kind", "other_name", "other_path")
 
 
+# Kinds and words of a scope of which dependents are shown.
+SHOWN_KINDS = ("function", "class", "interface", "type", "enum", "struct", "trait", "module")
+SHOWN_SCOPES = ("export", "public", "default")
+
+
+def shown(symbols: DataFrame) -> DataFrame:
+    """Symbols (kind, scope, ...) whose dependents are shown: of a listed kind, in a scope that says they are visible; case aside."""
+    scope = F.lower("scope")
+    visible = reduce(Column.__or__, (scope.contains(w) for w in SHOWN_SCOPES))
+    return symbols.where(F.lower("kind").isin(*SHOWN_KINDS) & visible)
+
+
 def dependents_per_symbol(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Exported symbols with the number of edges into them, 0 included."""
     into = edges.groupBy(F.col("to_id").alias("symbol_id")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,4 @@
-"""Named queries of the tables that are kept up to date: by delta, and as postings with block maxima."""
+"""Named queries of tables that are kept up to date by delta, of streams with state, and of the index of names."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 import pyspark.sql.functions as F
 from pyspark.errors import AnalysisException
 
-from tessera.operators import history
+from tessera.operators import history, trigrams
 from tessera.plans import adapters
 from tessera.plans.registry import query
 from tessera.scratch import materialise, shared_dir
@@ -81,6 +81,27 @@ def delta_partitions(spark, sf):
     return spark.createDataFrame(list(_updated(spark, sf)[1].items()), "name string, written long")
 
 
+# ---- names by trigrams ----------------------------------------------------------------------------------------------
+
+_WANTED = "all_r%ing"
+
+
+@query(
+    "symbol_trigram_search",
+    f"""WITH s AS (SELECT p_partkey AS symbol_id, p_name AS name, p_brand || '/' || p_size AS path, CAST(p_partkey AS INT) AS line FROM part),
+        g AS (SELECT unnest(['all', 'ing']) AS gram), n AS (SELECT DISTINCT lower(name) AS name FROM s),
+        r AS (SELECT count(*) AS grams_read FROM n, g WHERE contains(n.name, gram)),
+        c AS (SELECT count(*) AS candidates FROM n WHERE contains(name, 'all') AND contains(name, 'ing')),
+        m AS (SELECT count(*) AS symbols_read FROM s WHERE lower(name) LIKE '%{_WANTED}%')
+        SELECT * FROM (SELECT symbol_id, name, path FROM s WHERE lower(name) LIKE '%{_WANTED}%' ORDER BY (lower(name) = '{_WANTED}') DESC, length(name), path, line, name LIMIT 25), r, c, m""",
+)
+def symbol_trigram_search(spark, sf):
+    """A name search with wildcards through the index of names, with the rows that it read."""
+    grams, stored = trigrams.name_index(adapters.part_symbols(spark, sf))
+    found, work = trigrams.trigram_search(grams, stored, _WANTED, 25)
+    return found.select("symbol_id", "name", "path").crossJoin(F.broadcast(work))  # one row
+
+
 # ---- streams with state ----------------------------------------------------------------------------------------------
 
 #: Seconds after which a stream that has not handed everything over is taken for broken.

@@ -423,6 +423,28 @@ def dependents_per_symbol(spark, sf):
     return graph.dependents_per_symbol(symbols, edges)
 
 
+_KINDS = ("Function", "variable", "class", "enum", "property", "TRAIT", "module")
+_SCOPES = ("exported", "Public API", "private", None, "default")
+
+
+@query(
+    "dependents_shown",
+    f"""WITH s AS (SELECT p_partkey AS symbol_id, p_name AS name, {list(_KINDS)}[1 + p_partkey % {len(_KINDS)}] AS kind,
+               ['exported', 'Public API', 'private', NULL, 'default'][1 + p_partkey % {len(_SCOPES)}] AS scope FROM part),
+        n AS (SELECT p_size AS symbol_id, count(*) AS n FROM part GROUP BY ALL)
+        SELECT symbol_id, name, coalesce(n, 0) AS dependents FROM s LEFT JOIN n USING (symbol_id)
+        WHERE kind IN ('Function', 'class', 'enum', 'TRAIT', 'module') AND scope IN ('exported', 'Public API', 'default')""",
+)
+def dependents_shown(spark, sf):
+    """Dependents of the symbols that have a listed kind and a visible scope; each part depends on that of its size."""
+    part = table(spark, sf, "part", "p_partkey", "p_name", "p_size")
+    key = F.col("p_partkey")
+    kind, scope = (F.get(F.array(*map(F.lit, x)), (key % len(x)).cast("int")) for x in (_KINDS, _SCOPES))
+    symbols = part.select(key.alias("symbol_id"), F.col("p_name").alias("name"), F.lit("p").alias("path"), kind.alias("kind"), scope.alias("scope"), F.lit(True).alias("is_exported"))
+    edges = part.select(key.alias("from_id"), F.col("p_size").cast("long").alias("to_id"), F.lit("import").alias("kind"))
+    return graph.dependents_per_symbol(graph.shown(symbols), edges).drop("path")
+
+
 @query(
     "asof_enclosing",
     """WITH s AS (SELECT user_id, ts, min(event_id) AS id FROM events WHERE event_type = 'signup' GROUP BY ALL), d AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')

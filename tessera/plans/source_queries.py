@@ -358,9 +358,8 @@ def recorded_calls(spark, sf):
 # ---- functions and listings ----------------------------------------------------------------------------------------
 
 
-def _words(spark, sf) -> list[str]:
-    """The names of the parts, 64 at most, in order."""
-    return [r.p_name for r in table(spark, sf, "part", "p_name").distinct().orderBy("p_name").collect()]
+def _names(spark, sf) -> DataFrame:
+    return table(spark, sf, "part", "p_name").distinct()
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(tx.STOPWORDS))
@@ -369,13 +368,16 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(tx.STOPWORDS))
 @query("task_words", rf"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all('the ' || p_name || ' is_to be_fixed Need', '\w+')) AS word FROM (SELECT DISTINCT p_name FROM part))
     WHERE strlen(word) >= 3 AND lower(word) NOT IN ({_STOP}) GROUP BY ALL""")
 def task_words(spark, sf):
-    words = [w for name in _words(spark, sf) for w in tx.meaningful(tx.task_keywords(f"the {name} is_to be_fixed Need"))]
-    return spark.createDataFrame([(w,) for w in words], "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    task = F.concat(F.lit("the "), "p_name", F.lit(" is_to be_fixed Need"))
+    words = _names(spark, sf).select(F.explode(tx.meaningful_words(tx.task_words(task))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("noise_words", r"SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(regexp_extract_all(p_name || ' Lib my extra', '[A-Za-z0-9]{3,}')) AS word FROM part)")
 def noise_words(spark, sf):
-    return spark.createDataFrame([(w,) for w in tx.noise_keywords([n + "Lib_my" for n in _words(spark, sf)], ["Extra"])], "word string").distinct()
+    words = _names(spark, sf).select(F.explode(tx.noise_words(F.concat("p_name", F.lit("Lib_my")))).alias("word"))
+    configured = spark.createDataFrame([(w,) for w in tx.noise_keywords([], ["Extra"])], "word string")
+    return words.unionByName(configured).distinct()
 
 
 @query("capped_lists", """WITH g AS (SELECT p_brand, list_sort(list(DISTINCT p_size)) AS s FROM part GROUP BY ALL)
@@ -412,15 +414,9 @@ def request_cost(spark, sf):
 
 @query("safe_paths", "SELECT p_partkey, p_partkey % 4 = 0 AS safe FROM part")
 def safe_paths(spark, sf):
-    shapes = ["a/{}", "../{}", "/etc/{}", "C:\\{}"]
-    rows = []
-    for (key,) in table(spark, sf, "part", "p_partkey").collect():
-        try:
-            walk.safe_relative(shapes[key % 4].format(key))
-            rows.append((key, True))
-        except ValueError:
-            rows.append((key, False))
-    return spark.createDataFrame(rows, "p_partkey long, safe boolean")
+    shapes = F.array(*map(F.lit, ("a/", "../", "/etc/", "C:\\")))
+    path = F.concat(F.get(shapes, (F.col("p_partkey") % 4).cast("int")), F.col("p_partkey").cast("string"))
+    return table(spark, sf, "part", "p_partkey").select("p_partkey", walk.safe_path(path).isNotNull().alias("safe"))
 
 
 @query("files_listing", "SELECT p_brand || '/' || p_size AS path, CASE p_size % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'json' ELSE 'rust' END AS language, count(*) AS n_symbols FROM part GROUP BY ALL")

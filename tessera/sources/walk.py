@@ -203,3 +203,10 @@ def safe_relative(path: str) -> str:
     if clean.startswith("/") or re.match(r"[A-Za-z]:", clean) or ".." in clean.split("/") or "\x00" in clean:
         raise ValueError(f"not inside the repository: {path!r}")
     return clean
+
+
+def safe_path(path: Column) -> Column:
+    """`safe_relative` of a column: the path with slashes, or null where it leaves its repository."""
+    clean = F.regexp_replace(path, r"\\", "/")
+    out = clean.startswith("/") | clean.rlike("^[A-Za-z]:") | F.array_contains(F.split(clean, "/"), "..") | clean.contains("\x00")
+    return F.when(~out, clean)

@@ -2,6 +2,8 @@ import pyspark.sql.functions as F
 import pytest
 
 from tessera.functions import text as tx
+from tessera.operators import graph
+from tessera.sources import walk
 
 
 def one(spark, column, **values):
@@ -77,3 +79,32 @@ def test_paths(spark):
     assert one(spark, tx.file_stem(F.col("p")), p="a/.env") == ".env"
     assert [one(spark, tx.language_of(F.col("p")), p=p) for p in ("x.rs", "x.RS", "Makefile", ".md", "a.b/x.tsx")] == ["rust", "unknown", "unknown", "unknown", "typescript"]
     assert tx.derive_aliases(["/a/app", "/b/app", "/c/app/"]) == {"/a/app": "app", "/b/app": "app-2", "/c/app/": "app-3"}
+
+
+def test_words_of_columns(spark):
+    tasks = ["fix the login_bug in API v2, fix it", "the and for", "", "  ..  ", "Über-Straße 日本語x é", None, "if to in"]
+    rows = spark.createDataFrame([(t,) for t in tasks], "task string").select("task", tx.task_words(F.col("task")).alias("words"))
+    for r in rows.withColumn("kept", tx.meaningful_words(F.col("words"))).collect():
+        if r.task is None:
+            assert r.words is None and r.kept is None
+        else:
+            assert r.words == tx.task_keywords(r.task) and r.kept == tx.meaningful(r.words)
+    aliases = ["my-app", "webServer", "a_bc_def2Go", "", "ÜberApp", "x"]
+    got = spark.createDataFrame([(a,) for a in aliases], "alias string").select(F.explode(tx.noise_words(F.col("alias"))).alias("w"))
+    assert {r.w for r in got.collect()} == tx.noise_keywords(aliases)
+
+
+def test_safe_paths_of_a_column(spark):
+    paths = ["a/b", "a\\b", "../a", "a/../b", "/etc", "C:\\x", "c:x", "a..b/c", "", "a\x00b", "\\a", "a/.."]
+    got = {r.path: r.safe for r in spark.createDataFrame([(p,) for p in paths], "path string").select("path", walk.safe_path(F.col("path")).alias("safe")).collect()}
+    for p in paths:
+        try:
+            assert got[p] == walk.safe_relative(p)
+        except ValueError:
+            assert got[p] is None, p
+
+
+def test_shown_symbols(spark):
+    rows = [("function", "export"), ("Class", "PUBLIC static"), ("variable", "export"), ("type", None), (None, "public"), ("trait", "private"), ("module", "default")]
+    got = graph.shown(spark.createDataFrame(rows, "kind string, scope string")).collect()
+    assert sorted(map(tuple, got)) == [("Class", "PUBLIC static"), ("function", "export"), ("module", "default")]
