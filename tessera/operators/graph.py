@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from tessera.functions.text import alias_of, severity
-from tessera.scratch import materialise
+from tessera.scratch import made, materialise, shared_dir
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -16,29 +17,60 @@ def edge_set(edges: DataFrame) -> DataFrame:
     return edges.where("from_id <> to_id").dropDuplicates(["from_id", "to_id", "kind"])
 
 
+#: Buckets that the edges into one symbol are dealt to, so that a symbol everything depends on is no single task's.
+PARTS = 8
+
+
+def reverse_edges(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(symbol_id, part, next_id) of distinct edges as a bucketed table, and its name: a join by symbol_id and part shuffles
+    the other side only. The caller drops the table."""
+    spark = edges.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tessera_edges_{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("from_id"), F.lit(PARTS)).cast("int").alias("part")
+    rows = edges.where("from_id is not null and to_id is not null").select(F.col("to_id").alias("symbol_id"), part, F.col("from_id").alias("next_id"))
+    path = f"{shared_dir(spark)}/{name}"
+    made(spark, path)
+    rows = rows.repartition(n, "symbol_id", "part").dropDuplicates()
+    rows.write.bucketBy(n, "symbol_id", "part").sortBy("symbol_id", "part").option("path", path).saveAsTable(name)
+    return spark.table(name), name
+
+
 def reach(edges: DataFrame, start: DataFrame, max_depth: int = 0) -> DataFrame:
     """(symbol_id, depth) of everything that depends on `start` (symbol_id), by fewest reverse edges; start left out.
 
     max_depth 0 is unlimited. Breadth first: each hop joins the frontier with the edges, keeps what is new, and writes it,
-    so lineage stays short and lost executors cost one hop. Stops when a hop finds nothing.
+    so lineage stays short and lost executors cost one hop. Edges are laid out once, in buckets, unless there is just one
+    hop; from then on a hop shuffles its frontier, never the edges. Stops when a hop finds nothing.
     """
-    reverse = edges.select(F.col("to_id").alias("symbol_id"), F.col("from_id").alias("next_id")).distinct()
+    if max_depth == 1:
+        every, by, name = edges.where("from_id is not null").select(F.col("to_id").alias("symbol_id"), F.col("from_id").alias("next_id")), ["symbol_id"], None
+    else:
+        (every, name), by = reverse_edges(edges), ["symbol_id", "part"]
     frontier = materialise(start.select("symbol_id").distinct())
     seen, found, depth = frontier, [], 0
     while not max_depth or depth < max_depth:
         depth += 1
-        fresh = frontier.join(reverse, "symbol_id").select(F.col("next_id").alias("symbol_id")).distinct()
+        fresh = hop(frontier, every, by)
         frontier = materialise(fresh.join(seen, "symbol_id", "left_anti"))
         if frontier.isEmpty():
             break
         found.append(frontier.withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
+    if name:
+        edges.sparkSession.sql(f"DROP TABLE {name}")  # what was found is written
     out = start.select("symbol_id").limit(0).withColumn("depth", F.lit(0))
     for f in found:
         out = out.unionByName(f)
     return out
 
 
+def hop(frontier: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """The distinct other ends of edges at a frontier, each of whose symbols asks every part."""
+    if "part" in by:
+        frontier = frontier.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return frontier.join(edges, by).select(F.col("next_id").alias("symbol_id")).distinct()
+
+
 def impact(symbols: DataFrame, edges: DataFrame, symbol_id, max_depth: int = 0) -> DataFrame:
     """One row per affected file: path, names (sorted), n_symbols, min_depth; ids without a symbol are not counted."""
     start = symbols.sparkSession.createDataFrame([(symbol_id,)], symbols.select("symbol_id").schema)
