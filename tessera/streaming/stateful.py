@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tessera.operators.history import KEPT_SEARCHES
+from tessera.session import ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BURST = "path string, first timestamp, last timestamp, n_events long"
@@ -83,6 +84,7 @@ def debounced_by_timer(events: DataFrame, gap_ms: int = 500, wait_ms: int | None
     clock without a change of that path, not when a later event moves a watermark. An event that comes after its burst was
     handed over opens another. Deletes, and rows without path or time, are no changes. Needs `state_store`.
     """
+    ship(events.sparkSession)
     changes = events.where("op <> 'delete' and path is not null and ts is not null").select("path", F.unix_micros("ts").alias("micros"))
     processor = _Debounce(gap_ms * 1000, gap_ms if wait_ms is None else wait_ms)
     return changes.groupBy("path").transformWithStateInPandas(processor, outputStructType=BURST, outputMode="Append", timeMode="ProcessingTime")
@@ -116,6 +118,7 @@ def rolling_history(searches: DataFrame, folder: str, checkpoint: str, keep: int
     is written anew as partition slot=N: so no task sees the whole stream, and what stands there is `slots` times `keep`
     rows at most. `read_history` gives the newest of all. Rows without id are left out. Needs `state_store`.
     """
+    ship(searches.sparkSession)
     rows = searches.where("id is not null").select("id", F.to_json(F.struct(*searches.columns)).alias("row"))
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int"))
     newest = rows.groupBy("slot").transformWithStateInPandas(_Newest(keep), outputStructType="slot int, id long, row string", outputMode="Update", timeMode="None")
