@@ -69,11 +69,26 @@ def tfidf_weights(symbols: DataFrame) -> DataFrame:
     )
 
 
+def tfidf_postings(symbols: DataFrame) -> DataFrame:
+    """`tfidf_weights` to be stored: each row also carries its file's norm, and rows are laid out by term, so that a request
+    reads the weights of its own terms and no others. Files whose weights are all 0 score nothing and have no rows."""
+    weights = tfidf_weights(symbols)
+    norms = weights.groupBy("path").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")).where("norm > 0")
+    return weights.join(norms, "path").select("path", "term", "weight", "norm").repartitionByRange("term", "path").sortWithinPartitions("term", "path")
+
+
 def tfidf_scores(weights: DataFrame, tokens: list[str]) -> DataFrame:
-    """(path, score > 0): query counts over their norm (unknown tokens included) times weights over the file's norm."""
+    """(path, score > 0): query counts over their norm (unknown tokens included) times weights over the file's norm.
+
+    Stored weights, which have a column norm, are filtered by the query's terms; others are read whole to find the norms.
+    """
     spark = weights.sparkSession
     uses = terms_table(spark, tokens)
     norm = sum(tokens.count(t) ** 2 for t in set(tokens)) ** 0.5 or 1.0
+    if "norm" in weights.columns:
+        hit = weights.where(F.col("term").isin(*dict.fromkeys(tokens))).join(F.broadcast(uses), "term")  # a row for each word of the request
+        dot = F.sum(F.col("uses") / norm * F.col("weight"))
+        return hit.groupBy("path", "norm").agg(dot.alias("dot")).where("dot > 0").select("path", (F.col("dot") / F.col("norm")).alias("score"))
     known = F.broadcast(uses.select(F.col("term").alias("t"), "uses"))
     dot = F.sum(F.coalesce(F.col("uses"), F.lit(0)) / norm * F.col("weight"))
     scored = weights.join(known, F.col("term") == F.col("t"), "left").groupBy("path").agg(
@@ -207,7 +222,11 @@ def symbol_hits(symbols: DataFrame, keywords: DataFrame, fetch: int = 25, keep:
 
     symbols: path, name, kind, line, is_code. keywords (keyword, weight, ...): a request's own list, broadcast.
     """
-    found = symbols.join(F.broadcast(keywords), F.contains(F.lower("name"), F.lower("keyword")))
+    return best_hits(symbols.join(F.broadcast(keywords), F.contains(F.lower("name"), F.lower("keyword"))), fetch, keep)
+
+
+def best_hits(found: DataFrame, fetch: int = 25, keep: int = 8) -> DataFrame:
+    """`symbol_hits` of pairs of a symbol and a keyword that its name contains."""
     order = [(F.lower("name") == F.lower("keyword")).cast("int").desc(), F.length("name"), "path", "line", "name"]
     ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy("keyword").orderBy(*order))).where(F.col("_rank") <= fetch)
     return first_code_hits(ranked, keep, ["_rank"], ["keyword"]).drop("_rank")

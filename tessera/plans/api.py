@@ -54,7 +54,8 @@ class Engine:
     # ---- requests
 
     def index(self) -> Index:
-        return Index(self.store.table("files"), self.store.table("symbols"), self.store.table("edges"))
+        weights = self.store.table("weights") if self.store.holds("weights") else None
+        return Index(self.store.table("files"), self.store.table("symbols"), self.store.table("edges"), weights)
 
     def context(self, query: str, limit: int = 10, kind: str | None = None) -> DataFrame:
         return search.context(self.store.table("symbols"), query, limit, kind)

@@ -18,6 +18,7 @@ from tessera.functions.text import relative_of
 from tessera.operators.catalog import top_directories
 from tessera.operators.dependencies import extract_dependencies
 from tessera.operators.resolve import resolve
+from tessera.operators.search import tfidf_postings
 from tessera.scratch import discard, materialise, remove
 from tessera.session import ship
 from tessera.sources.code import code_symbols
@@ -30,6 +31,7 @@ SCHEMAS = {
     "symbols": "symbol_id long, path string, name string, kind string, line int, col int, scope string, is_exported boolean, signature string",
     "deps": "path string, to_name string, kind string, line int",
     "edges": "from_id long, to_id long, kind string",
+    "weights": "path string, term string, weight double, norm double",
 }
 #: Append-only tables.
 LOGS = {
@@ -116,6 +118,10 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
 
+    def holds(self, name: str) -> bool:
+        """Whether the newest snapshot has this table; one that an earlier version wrote may lack some."""
+        return name in self._folders()
+
     def commit(self, **tables: DataFrame) -> None:
         """Write the given tables and point to them and to the unchanged others.
 
@@ -169,7 +175,7 @@ class Store:
             deps = deps.unionByName(extract_dependencies(rows.where("text is not null")).withColumn("line", F.col("line").cast("int")))
         # Names decide which edges exist, so edges are resolved anew from the stored dependencies.
         symbols, deps = materialise(symbols), materialise(deps)
-        self.commit(files=files, symbols=symbols, deps=deps, edges=resolve(deps, symbols))
+        self.commit(files=files, symbols=symbols, deps=deps, edges=resolve(deps, symbols), weights=tfidf_postings(symbols))
         discard(symbols)
         discard(deps)
         if self.over_limit():
@@ -197,8 +203,8 @@ class Store:
         self.commit(repos=self.table("repos").where(F.col("alias") != alias))
 
     def clear(self) -> None:
-        """Without files, symbols, dependencies and edges; repositories stay."""
-        self.commit(**{n: self.spark.createDataFrame([], SCHEMAS[n]) for n in ("files", "symbols", "deps", "edges")})
+        """Without files and what comes from them; repositories stay."""
+        self.commit(**{n: self.spark.createDataFrame([], SCHEMAS[n]) for n in ("files", "symbols", "deps", "edges", "weights")})
 
     def over_limit(self, limit: int = MAX_SYMBOLS) -> bool:
         return self.table("symbols").count() > limit
