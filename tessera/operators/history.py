@@ -11,6 +11,9 @@ KEPT_SEARCHES, DEFAULT_SEARCHES, MOST_SEARCHES = 500, 50, 200
 RECALL_LIMIT, LIST_CAP, TOP_PIVOTS = 20, 5, 8
 
 CALL_SCHEMA = "query string, request string, outcome string, symbols array<string>, files array<string>, tokens long, stale boolean, timestamp long"
+#: Columns of the logs of searches and of a session's calls, besides their ids.
+SEARCH_COLUMNS = "task string, pivots array<string>, tokens_sent long, tokens_saved long"
+CALL_COLUMNS = "query string, outcome string, symbols array<string>, files array<string>, tokens long, stale boolean, timestamp long"
 
 
 def retained(history: DataFrame) -> DataFrame:
@@ -85,6 +88,29 @@ def mark_stale(calls: DataFrame, changed: list[str]) -> DataFrame:
     return calls.withColumn("stale", F.col("stale") | F.arrays_overlap(listed, paths))
 
 
+def slashes(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def merged(calls: DataFrame, changes: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Calls (id, ...) as changes (path, before) and cuts (keep_from) beside them say.
+
+    Calls with an id below the greatest cut are left out. If calls have files and stale, those with an id below `before` that list
+    the path are stale; a null mark counts as false, a null list as empty, backslashes as slashes. Changes are reduced to the
+    latest of each path and meet calls by path, so they may be many; only ids and paths are shuffled for that.
+    """
+    cut = cuts.agg(F.coalesce(F.max("keep_from"), F.lit(-(2**63))).alias("_from"))
+    alive = calls.crossJoin(F.broadcast(cut)).where("id >= _from").drop("_from")  # one row
+    if "files" not in calls.columns:
+        return alive
+    latest = changes.groupBy("path").agg(F.max("before").alias("before"))
+    listed = alive.select("id", F.explode("files").alias("path")).select("id", slashes(F.col("path")).alias("path"))
+    # Calls may share an id: each is marked only for paths of its own list.
+    hit = listed.join(latest, "path").where("id < before").groupBy("id").agg(F.collect_set("path").alias("_changed"))
+    own = F.coalesce(F.arrays_overlap(F.transform("files", slashes), "_changed"), F.lit(False))
+    return alive.join(hit, "id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)) | own).select(*calls.columns)
+
+
 def token_usage(calls: DataFrame) -> DataFrame:
     """One row over (tokens_sent, tokens_saved): sums, number of queries, efficiency and whole average per query."""
     row = calls.agg(

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.text import noise_keywords
 from tessera.operators import catalog, compress, graph, history, relevance, search
+from tessera.plans.batch import Answers, ranked_contexts
 from tessera.plans.context import Answer, Index, run_pipeline
 from tessera.sources import walk
+from tessera.sources.overlay import Overlay
 from tessera.sources.store import Store
 
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, config: relevance.Config = relevance.Config()):
         self.spark, self.store, self.config = spark, Store(spark, root), config
+        self.search_log = Overlay(spark, f"{root}/logs/search_log", history.SEARCH_COLUMNS)
+        self.calls = Overlay(spark, f"{root}/logs/calls", history.CALL_COLUMNS)
 
     # ---- maintenance
 
@@ -27,7 +31,13 @@ class Engine:
 
     def reindex(self, alias: str, **walk_options) -> DataFrame:
         root = self.store.table("repos").where(F.col("alias") == alias).first().root_path
-        return self.store.index(walk.scan(self.spark, root, alias, **walk_options), alias)
+        changes = self.store.index(walk.scan(self.spark, root, alias, **walk_options), alias)
+        self._outdate(changes.where("change <> 'unchanged'").select("path"))
+        return changes
+
+    def _outdate(self, paths: DataFrame) -> None:
+        """Recorded calls that list one of these files are stale."""
+        self.calls.change(paths, time.time_ns() // 1000)
 
     def reindex_all(self) -> None:
         """Clear the index and build every registered repository anew."""
@@ -43,10 +53,13 @@ class Engine:
         if not listed:
             return False
         self.store.index_file(walk.read_files(self.spark, root, alias, listed))
+        self._outdate(self.spark.createDataFrame([(f"{alias}/{relative}",)], "path string"))
         return True
 
     def remove_file(self, alias: str, relative: str) -> None:
-        self.store.remove_files([f"{alias}/{walk.safe_relative(relative)}"])
+        path = f"{alias}/{walk.safe_relative(relative)}"
+        self.store.remove_files([path])
+        self._outdate(self.spark.createDataFrame([(path,)], "path string"))
 
     def remove_repo(self, alias: str) -> None:
         self.store.remove_repo(alias)
@@ -69,18 +82,39 @@ class Engine:
         self._record(task, answer)
         return answer
 
+    def contexts(self, tasks: DataFrame, **options) -> Answers:
+        """Ranked files for every row of `tasks` (request, task), in one run. Nothing is recorded."""
+        noise = noise_keywords([r.alias for r in self.store.table("repos").collect()], list(self.config.noise_keywords))
+        return ranked_contexts(self.index(), tasks, **{"config": self.config, "noise": noise, **options})
+
     def _record(self, task: str, answer: Answer) -> None:
         """Append the search with its best files, and its tokens, to the store's logs."""
         now = time.time_ns() // 1000
         best = answer.pivots.agg(history.top_pivots(F.collect_list(F.struct("score", "path"))).alias("pivots"))  # max_pivots rows
         sent = answer.summary.select(F.col("total_tokens").cast("long").alias("tokens_sent"), F.greatest(F.col("workspace_tokens") - F.col("total_tokens"), F.lit(0)).cast("long").alias("tokens_saved"))
         row = best.crossJoin(sent).withColumns({"id": F.lit(now), "task": F.lit(task), "ts": F.current_timestamp(), "tool": F.lit("pipeline")})
-        self.store.append("searches", row)
+        self.search_log.append(row)
+        self._tidy(self.search_log, history.KEPT_SEARCHES)
         self.store.append("usage", row)
 
+    def _tidy(self, log: Overlay, keep: int) -> None:
+        """Prune a log that has grown to twice what is kept, and fold it."""
+        if log.stored().first().base > 2 * keep:
+            log.prune(keep)
+            log.compact()
+
+    def session_log(self, query: str, outcome: str, symbols: list[str] = (), files: list[str] = (), tokens: int = 0) -> None:
+        """Record a call of the session; it becomes stale when one of its files changes."""
+        row = [(time.time_ns() // 1000, query, outcome, list(symbols), list(files), tokens, False, time.time_ns() // 1_000_000)]
+        self.calls.append(self.spark.createDataFrame(row, f"id long, {history.CALL_COLUMNS}"))
+
+    def session_calls(self, needle: str | None = None, limit: int = history.RECALL_LIMIT) -> DataFrame:
+        """Newest recorded calls, with their marks."""
+        return history.recall(self.calls.read(), needle, limit)
+
     def searches(self, limit: int = history.DEFAULT_SEARCHES) -> DataFrame:
         """The newest searches of the log, of which the newest 500 count."""
-        return history.newest(self.store.log("searches"), limit)
+        return history.newest(self.search_log.read(), limit)
 
     def usage(self) -> DataFrame:
         return history.token_usage(self.store.log("usage"))

@@ -13,7 +13,7 @@ from tessera.plans import adapters
 from tessera.plans.registry import query
 from tessera.scratch import materialise, shared_dir
 from tessera.session import table
-from tessera.sources import delta
+from tessera.sources import delta, overlay
 from tessera.streaming import stateful
 
 # ---- one changed file of many ---------------------------------------------------------------------------------------
@@ -102,6 +102,48 @@ def symbol_trigram_search(spark, sf):
     return found.select("symbol_id", "name", "path").crossJoin(F.broadcast(work))  # one row
 
 
+# ---- logs merged when they are read ----------------------------------------------------------------------------------
+
+#: Events as calls that list a file of the user; every third purchase changes the file of its user; the newest half counts.
+_LOG = """calls AS (SELECT event_id AS id, event_type AS tool, user_id FROM events),
+    n AS (SELECT count(*) // 2 AS keep FROM events), cut AS (SELECT min(id) AS f FROM (SELECT id, row_number() OVER (ORDER BY id DESC) AS r FROM calls), n WHERE r <= keep),
+    ch AS (SELECT user_id, max(event_id) AS before FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0 GROUP BY user_id)"""
+_LOG_SQL = f"WITH {_LOG} SELECT id, tool, before IS NOT NULL AND id < before AS stale FROM calls LEFT JOIN ch USING (user_id), cut WHERE id >= f"
+
+
+def _log(spark, sf) -> overlay.Overlay:
+    calls = adapters.tool_calls(spark, sf)
+    log = overlay.Overlay(spark, f"{shared_dir(spark)}/tessera-log-{uuid.uuid4().hex}", "tool string, files array<string>, stale boolean")
+    log.append(calls.select("id", "tool", F.array("path").alias("files"), F.lit(None).cast("boolean").alias("stale")))
+    changed = calls.where("tool = 'purchase' AND id % 3 = 0").select(F.replace("path", F.lit("/"), F.lit("\\")).alias("path"), F.col("id").alias("before"))
+    log.changes(changed)
+    log.prune(calls.count() // 2)
+    return log
+
+
+@query("log_overlay", _LOG_SQL)
+def log_overlay(spark, sf):
+    """Calls merged with changes and a cut beside them."""
+    return _log(spark, sf).read().select("id", "tool", "stale")
+
+
+@query("log_compacted", _LOG_SQL)
+def log_compacted(spark, sf):
+    """The same calls after compaction."""
+    log = _log(spark, sf)
+    log.compact()
+    return log.read().select("id", "tool", "stale")
+
+
+@query("log_rows", f"WITH {_LOG} SELECT 'merged' AS state, (SELECT count(*) FROM calls) AS base, (SELECT count(*) FROM ch) AS changes, 1 AS cuts UNION ALL SELECT 'compacted', (SELECT count(*) FROM calls, cut WHERE id >= f), 0, 1")
+def log_rows(spark, sf):
+    """Rows that a reader of the log merges before and after compaction."""
+    log = _log(spark, sf)
+    before = log.stored().withColumn("state", F.lit("merged"))
+    log.compact()
+    return before.unionByName(log.stored().withColumn("state", F.lit("compacted")))
+
+
 # ---- streams with state ----------------------------------------------------------------------------------------------
 
 #: Seconds after which a stream that has not handed everything over is taken for broken.

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import text as tx
 from tessera.operators import budget, catalog, compress, dependencies, graph, history, relevance, resolve, search
-from tessera.plans import adapters, context, maintenance_queries, source_queries  # noqa: F401  registers more
+from tessera.plans import adapters, batch, context, maintenance_queries, source_queries  # noqa: F401  registers more
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.session import spread, table
 from tessera.sources import documents, walk
@@ -806,5 +806,103 @@ def ranked_context(spark, sf):
     return context.run_pipeline(index, "update the small ring handling in thing").pivots.select("position", "path", _r("score"), "level", "tokens", "truncated")
 
 
+# ---- many requests at once -----------------------------------------------------------------------------------------
+
+#: Requests: the first turn of every conversation, with the symbol and the file of the part of its number. Code: a file for each
+#: type, second word and size of parts, a symbol for each part. Documents are files too.
+_REQUESTS = rf"""
+    p AS (SELECT p_partkey AS k, lower(replace(p_name, ' ', '_')) || '_' || (p_partkey % 40) AS name,
+          p_type || '/' || split_part(p_name, ' ', 2) || '_' || p_size || CASE WHEN p_size % 5 = 1 THEN '.json' ELSE '.rs' END AS path, p_size % 5 = 1 AS data, p_retailprice AS price FROM part),
+    files AS (SELECT path, CASE WHEN data THEN 'json' ELSE 'rust' END AS language, CAST(sum(floor(price)) AS BIGINT) AS chars FROM p GROUP BY path, data
+          UNION ALL SELECT concat_ws('/', source, lang, doc_id), 'markdown', strlen(text) FROM documents),
+    asked AS (SELECT conv_id AS request, 'Fix ' || name || ' and the ' || split_part(path, '/', 2) || ' in ' || text AS task FROM conversations JOIN p ON k = conv_id WHERE turn = 0),
+    said AS (SELECT request, list_filter(string_split_regex(task, '[^\p{{L}}\p{{N}}_]+'), lambda w: strlen(w) >= 3) AS ws FROM asked),
+    kept AS (SELECT request, ws, list_filter(ws, lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in sorted(tx.STOPWORDS))}], lower(w))) AS good FROM said),
+    words AS (SELECT request, unnest(CASE WHEN len(good) > 0 THEN good ELSE ws END) AS keyword FROM kept),
+    kw AS (SELECT DISTINCT keyword FROM words),
+    df AS (SELECT keyword, (SELECT count(*) FROM p WHERE p.name LIKE '%' || lower(keyword) || '%') AS df, (SELECT count(*) FROM p) AS n FROM kw),
+    searched AS (SELECT keyword, least(1.0, greatest(0.0, ln(1 + n / (1 + df)) / ln(1 + n))) AS weight FROM df WHERE df / n <= 0.10),
+    h0 AS (SELECT keyword, weight, name, path, NOT data AS is_code, row_number() OVER (PARTITION BY keyword ORDER BY (name = lower(keyword)) DESC, length(name), path, k, name) AS rank
+          FROM searched JOIN p ON contains(name, lower(keyword))),
+    h1 AS (SELECT *, coalesce(sum(CAST(is_code AS INT)) OVER (PARTITION BY keyword ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h0 WHERE rank <= 25),
+    hits AS (SELECT keyword, weight, path, is_code, {_QUALITY.format(n="name", k="lower(keyword)")} AS quality FROM h1 WHERE before < 8),
+    fnames AS (SELECT * FROM (SELECT keyword, weight, path, {_QUALITY.format(n="regexp_extract(path, '([^/.]*)[.][a-z]*$', 1)", k="lower(keyword)")} AS quality FROM searched, (SELECT path FROM files WHERE language <> 'markdown')) WHERE quality >= 0.7),
+    c AS (SELECT path, term, count(*) AS n FROM (SELECT path, unnest(string_split(name, '_')) AS term FROM p) GROUP BY ALL),
+    wt AS (SELECT path, term, n / sum(n) OVER (PARTITION BY path) * ln((SELECT count(DISTINCT path) FROM p) / count(*) OVER (PARTITION BY term)) AS weight FROM c),
+    nm AS (SELECT path, sqrt(sum(weight * weight)) AS norm FROM wt GROUP BY path),
+    tt AS (SELECT request, term, count(*) AS uses FROM (SELECT request, unnest(list_filter(string_split_regex(lower(regexp_replace(keyword, '([^\p{{Lu}}])(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS term FROM words) GROUP BY ALL),
+    qn AS (SELECT request, sqrt(sum(uses * uses)) AS own FROM tt GROUP BY request),
+    t0 AS (SELECT request, path, round(sum(uses / own * weight) / any_value(norm), 9) AS score FROM tt JOIN qn USING (request) JOIN wt USING (term) JOIN nm USING (path) GROUP BY request, path HAVING sum(uses / own * weight) > 0),
+    t1 AS (SELECT *, NOT suffix(path, '.json') AS is_code, row_number() OVER (PARTITION BY request ORDER BY score DESC, path) AS rank FROM t0),
+    t2 AS (SELECT *, coalesce(sum(CAST(is_code AS INT)) OVER (PARTITION BY request ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t1 WHERE rank <= 100),
+    tfidf AS (SELECT * FROM t2 WHERE before < 20),
+    {_DOC_TOKENS.strip()},
+    post AS (SELECT path, any_value(n) AS len, term, count(*) AS tf FROM (SELECT path, n, unnest(w) AS term FROM docs) GROUP BY path, term),
+    bu AS (SELECT request, lower(keyword) AS term, count(*) AS uses FROM words GROUP BY ALL),
+    bs AS (SELECT path, term, ln((total - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean)) AS part
+          FROM post JOIN (SELECT term, count(*) AS df FROM post GROUP BY term) USING (term), (SELECT count(*) AS total, avg(n) AS mean FROM docs)),
+    b0 AS (SELECT request, path, round(sum(uses * part), 9) AS score FROM bu JOIN bs USING (term) GROUP BY ALL),
+    bm25 AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY request ORDER BY score DESC, path) <= 20),
+    rk AS (SELECT DISTINCT request, keyword FROM words),
+    ev AS (SELECT request, path, keyword, weight, quality, NULL::DOUBLE AS t, NULL::DOUBLE AS b FROM rk JOIN hits USING (keyword) WHERE is_code
+          UNION ALL SELECT request, path, keyword, weight, quality, NULL, NULL FROM rk JOIN fnames USING (keyword)
+          UNION ALL SELECT request, path, NULL, NULL, NULL, score, NULL FROM tfidf WHERE is_code UNION ALL SELECT request, path, NULL, NULL, NULL, NULL, score FROM bm25),
+    acc AS (SELECT request, path, coalesce(max(quality * (0.5 + 0.5 * weight)), 0) AS sym, count(DISTINCT keyword) FILTER (weight >= 0.4) AS nk, coalesce(max(t), 0) AS t, coalesce(max(b), 0) AS b FROM ev GROUP BY ALL),
+    fused AS (SELECT request, path, 0.40 * least(1.0, sym + 0.15 * greatest(nk - 1, 0)) + 0.35 * coalesce(t / nullif(max(t) OVER r, 0), 0) + 0.25 * coalesce(b / nullif(max(b) OVER r, 0), 0) AS score FROM acc WINDOW r AS (PARTITION BY request)),
+    cut AS (SELECT * FROM fused QUALIFY score >= greatest(0.05, 0.30 * max(score) OVER (PARTITION BY request))),
+    kq AS (SELECT keyword, any_value(weight) AS weight, max(quality) AS raw, bool_or(quality = 1.0 AND weight >= 0.5) AS exact, coalesce(max(quality) FILTER (code), 0) AS best
+          FROM (SELECT keyword, weight, quality, is_code AS code FROM hits UNION ALL SELECT keyword, weight, quality, true FROM fnames UNION ALL SELECT keyword, weight, NULL, false FROM searched) GROUP BY keyword),
+    sig AS (SELECT request, coalesce(max(raw), 0) AS q, coalesce(bool_or(exact), false) AS x, coalesce(list_sort(list(keyword) FILTER (weight >= 0.5 AND best < 0.4)), []) AS uncovered, count(*) FILTER (weight >= 0.5) AS defining,
+          coalesce(max_by(best < 0.4, (weight, keyword)) FILTER (weight >= 0.5), false) AS rarest FROM rk JOIN kq USING (keyword) GROUP BY request),
+    ver AS (SELECT request, coalesce(q, 0) AS q, coalesce(x, false) AS x, coalesce(uncovered, []) AS uncovered, coalesce(len(uncovered) > 0 AND len(uncovered) = defining, false) AS alone, coalesce(rarest, false) AS rarest,
+          coalesce((SELECT max(score) FROM tfidf WHERE tfidf.request = asked.request), 0) AS t, coalesce((SELECT max(score) FROM bm25 WHERE bm25.request = asked.request), 0) AS b FROM asked LEFT JOIN sig USING (request)),
+    verdict AS (SELECT request, (q < 0.7 AND t < 0.15 AND b < 1.0) OR alone AS weak, uncovered,
+          CASE WHEN (q < 0.7 AND t < 0.15 AND b < 1.0) OR alone THEN 'low' WHEN x OR t >= 0.4 OR b >= 3.0 THEN CASE WHEN rarest THEN 'medium' ELSE 'high' END ELSE 'medium' END AS confidence FROM ver),
+    pv AS (SELECT request, path, score, rank, language, CASE WHEN chars > 0 THEN chars // 4 ELSE 0 END AS base
+          FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, path) AS rank FROM cut) JOIN verdict USING (request) JOIN files USING (path) WHERE rank <= CASE WHEN weak THEN 5 ELSE 20 END),
+    lv AS (SELECT request, CASE WHEN sum(base) <= 8000 THEN 0 WHEN sum(floor(base * 0.70::DOUBLE)) <= 8000 THEN 1 ELSE 2 END AS l FROM pv GROUP BY request),
+    ft AS (SELECT request, path, score, rank, base, cap, CASE WHEN l = 0 AND base <= cap THEN 0 WHEN l <= 1 AND floor(base * 0.70::DOUBLE) <= cap THEN 1 ELSE 2 END AS level
+          FROM (SELECT *, CASE WHEN language = 'rust' THEN 2000 ELSE 1500 END AS cap FROM pv JOIN lv USING (request))),
+    fit AS (SELECT *, CAST(CASE level WHEN 0 THEN base WHEN 1 THEN floor(base * 0.70::DOUBLE) ELSE floor(base * 0.25::DOUBLE) END AS BIGINT) AS estimate FROM ft),
+    step(request, rank, room, taken) AS (SELECT DISTINCT request, CAST(0 AS BIGINT), CAST(8000 AS BIGINT), false FROM fit
+          UNION ALL SELECT s.request, f.rank, CASE WHEN least(estimate, cap) <= s.room THEN s.room - least(estimate, cap) ELSE s.room END, least(estimate, cap) <= s.room FROM step s JOIN fit f ON f.request = s.request AND f.rank = s.rank + 1)"""
+
+
+def _requests(spark, sf) -> batch.Answers:
+    part = table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), (key % 40).cast("string"))
+    file = F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("_"), size.cast("string"), F.when(size % 5 == 1, ".json").otherwise(".rs"))
+    rows = part.select(key.alias("symbol_id"), name.alias("name"), F.concat_ws("/", "p_type", file).alias("path"), F.lit("function").alias("kind"), key.cast("int").alias("line"), file.alias("file"), "p_retailprice")
+    code = rows.groupBy("path").agg(F.sum(F.floor("p_retailprice")).cast("long").alias("char_count")).withColumn("language", F.when(F.endswith("path", F.lit(".json")), "json").otherwise("rust"))
+    docs = adapters.doc_files(spark, sf).select("path", "language", "char_count", "text")
+    index = context.Index(code.withColumn("text", F.lit(None).cast("string")).select(*docs.columns).unionByName(docs), rows, None)
+    first = table(spark, sf, "conversations", "conv_id", "turn", "text").where("turn = 0").join(rows, F.col("conv_id") == F.col("symbol_id"))
+    task = F.concat(F.lit("Fix "), "name", F.lit(" and the "), "file", F.lit(" in "), "text")
+    return batch.ranked_contexts(index, first.select(F.col("conv_id").alias("request"), task.alias("task")))
+
+
+@query(
+    "ranked_contexts",
+    f"""WITH RECURSIVE {_REQUESTS}
+        SELECT request, CAST(row_number() OVER (PARTITION BY request ORDER BY rank) AS INT) AS position, path, round(score, 6) AS score, level, least(estimate, cap) AS tokens, estimate > cap AS truncated
+        FROM step JOIN fit USING (request, rank) WHERE taken""",
+)
+def ranked_contexts(spark, sf):
+    """The pivots of a request for every conversation, all in one run."""
+    return _requests(spark, sf).pivots.select("request", "position", "path", _r("score"), "level", "tokens", "truncated")
+
+
+@query(
+    "request_verdicts",
+    f"""WITH RECURSIVE {_REQUESTS},
+        used AS (SELECT request, count(*) AS n_pivots, sum(least(estimate, cap))::BIGINT AS total_tokens FROM step JOIN fit USING (request, rank) WHERE taken GROUP BY request)
+        SELECT request, confidence, weak, array_to_string(uncovered, '+') AS uncovered, coalesce(n_pivots, 0) AS n_pivots, coalesce(total_tokens, 0) AS total_tokens FROM verdict LEFT JOIN used USING (request)""",
+)
+def request_verdicts(spark, sf):
+    """Confidence, uncovered keywords and tokens of the same requests."""
+    return _requests(spark, sf).verdicts.select("request", "confidence", "weak", F.array_join("uncovered", "+").alias("uncovered"), "n_pivots", "total_tokens")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return bm25_topk(spark, sf)

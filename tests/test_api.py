@@ -1,5 +1,6 @@
 import subprocess
 
+from tessera.operators.search import tfidf_weights
 from tessera.plans.api import Engine
 
 
@@ -28,12 +29,22 @@ def test_engine(spark, tmp_path):
     assert engine.symbol("total").first().source == "def total(items):\n    return sum(items)\n"
     assert {r.path for r in engine.diff_context("shop").collect()} == {"shop/src/extra.py"}
     assert {r.language: r.n_files for r in engine.overview()["languages"].collect()} == {"python": 3, "markdown": 1}
+    engine.session_log("where is total", "in price.py", ["total"], ["shop/src/price.py"], 40)
+    engine.session_log("what is there", "a cart", [], ["shop\\src\\cart.py"])
+    assert {r.query: r.stale for r in engine.session_calls().collect()} == {"where is total": False, "what is there": False}
     (repo / "src/price.py").write_text("def amount(items):\n    return sum(items)\n")
     assert engine.index_file("shop", "src/price.py") and not engine.index_file("shop", ".git/config")
     assert engine.dependencies("checkout").first().other_name is None
     pivots = engine.pipeline("how does checkout work").pivots.collect()
     reasons = {p.path: p.reasons for p in pivots}
     assert "git_diff" in reasons["shop/src/price.py"] and {r.path for r in engine.files().collect()} == {"shop/src/cart.py", "shop/src/price.py", "shop/src/extra.py", "shop/README.md"}
+    assert {r.query: r.stale for r in engine.session_calls().collect()} == {"where is total": True, "what is there": False}
+    assert [r.query for r in engine.session_calls("CART").collect()] == ["what is there"]
+    stored, anew = engine.index().weights, tfidf_weights(engine.store.table("symbols"))
+    assert {(r.path, r.term, round(r.weight, 9)) for r in stored.collect()} == {(r.path, r.term, round(r.weight, 9)) for r in anew.collect()}
+    asked = spark.createDataFrame([(1, "how does checkout work"), (2, "sum the items")], "request int, task string")
+    many = engine.contexts(asked)
+    assert "shop/src/cart.py" in {r.path for r in many.pivots.where("request = 1").collect()} and many.verdicts.count() == 2
     found = engine.searches().first()
     assert found.task == "how does checkout work" and found.pivots == [p.path for p in pivots][:8] and engine.usage().first().queries == 1
     assert engine.compress_file("shop/src/cart.py", 2).first().compressed_bytes < 75
