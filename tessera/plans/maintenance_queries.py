@@ -135,7 +135,7 @@ def log_compacted(spark, sf):
     return log.read().select("id", "tool", "stale")
 
 
-@query("log_rows", f"WITH {_LOG} SELECT 'merged' AS state, (SELECT count(*) FROM calls) AS base, (SELECT count(*) FROM ch) AS changes, 1 AS cuts UNION ALL SELECT 'compacted', (SELECT count(*) FROM calls, cut WHERE id >= f), 0, 1")
+@query("log_rows", f"WITH {_LOG} SELECT 'merged' AS state, (SELECT count(*) FROM calls) AS base, (SELECT count(*) FROM ch) AS changes, CAST(1 AS BIGINT) AS cuts UNION ALL SELECT 'compacted', (SELECT count(*) FROM calls, cut WHERE id >= f), 0, 1")
 def log_rows(spark, sf):
     """Rows that a reader of the log merges before and after compaction."""
     log = _log(spark, sf)

@@ -20,6 +20,33 @@ from tessera.operators.history import merged, slashes
 from tessera.scratch import discard, materialise, remove
 
 
+#: Ranges that ids are counted in at a time.
+RANGES = 1000
+
+
+def greatest(ids: DataFrame, k: int) -> int | None:
+    """The k-th greatest of ids (id), with repeats; the least if there are fewer, one more than the greatest for k = 0, null for none.
+
+    Ids are counted in equal ranges, then in ranges of the one that the k-th falls in, and so on: seven scans of one column
+    at most, none of which sorts or gathers ids, whatever k is.
+    """
+    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    if n == 0:
+        return None
+    if k <= 0 or k >= n:
+        return high + 1 if k <= 0 else low
+    while low < high:
+        width = (high - low) // RANGES + 1
+        part = F.expr(f"(cast(id as decimal(20, 0)) - {low}) div {width}")
+        counts = dict(ids.where(F.col("id").between(low, high)).groupBy(part.alias("part")).count().collect())  # RANGES rows at most
+        for i in sorted(counts, reverse=True):
+            if k <= counts[i]:
+                break
+            k -= counts[i]
+        low, high = low + i * width, min(high, low + (i + 1) * width - 1)
+    return low
+
+
 class Overlay:
     """`columns` are those of a call besides its id. With `files` (array<string>) and `stale` (boolean), calls can become stale."""
 
@@ -59,9 +86,9 @@ class Overlay:
 
     def prune(self, keep: int) -> None:
         """Only the newest `keep` calls count from now on, and those that share an id with the last of them. Writes one number."""
-        ids = self.read().select("id").orderBy(F.desc("id")).limit(keep)
-        last = ids.agg(F.min("id").alias("keep_from"))
-        self._append("cuts", last if keep > 0 else self._tables()[0].agg((F.max("id") + 1).alias("keep_from")))
+        base, changes, cuts = self._tables()
+        last = greatest(merged(base.select("id"), changes, cuts), keep)
+        self._append("cuts", self.spark.createDataFrame([(last,)], "keep_from long"))
 
     def read(self) -> DataFrame:
         """The calls as they stand."""

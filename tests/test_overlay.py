@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessera.sources.overlay import Overlay
+from tessera.sources.overlay import Overlay, greatest
 
 COLUMNS = "task string, files array<string>, stale boolean"
 
@@ -52,3 +52,11 @@ def test_nothing(spark, tmp_path, columns):
     log = Overlay(spark, str(tmp_path / "none"), columns)
     log.prune(3)
     assert log.read().collect() == [] and log.compact() == 1 and log.read().collect() == []
+
+
+def test_greatest(spark):
+    ids = [5, 5, 5, 0, 2**62, 2**62, -(2**63) + 1, 2**63 - 2, 7, 1_700_000_000_000_000, 1_700_000_000_000_001]
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "id long").repartition(3)
+    for k in range(1, len(ids) + 3):
+        assert greatest(df, k) == sorted(ids, reverse=True)[min(k, len(ids)) - 1]
+    assert greatest(df, 0) == 2**63 - 1 and greatest(df.limit(0), 3) is None
