@@ -13,7 +13,7 @@ from tessera.plans import adapters
 from tessera.plans.registry import query
 from tessera.scratch import materialise, shared_dir
 from tessera.session import table
-from tessera.sources import delta, overlay
+from tessera.sources import delta, overlay, repository
 from tessera.streaming import stateful
 
 # ---- one changed file of many ---------------------------------------------------------------------------------------
@@ -144,6 +144,39 @@ def log_rows(spark, sf):
     return before.unionByName(log.stored().withColumn("state", F.lit("compacted")))
 
 
+# ---- a repository as a data source --------------------------------------------------------------------------------
+
+#: Documents of each source, as files that Spark writes: one line of text each, and a line end.
+_SOURCES = "SELECT coalesce(source, 'none') AS folder, count(*) AS n_docs, sum(strlen(replace(text, chr(10), ' ')) + 1)::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY ALL"
+
+
+def _repository(spark, sf) -> str:
+    docs = table(spark, sf, "documents", "text", "source").where("text is not null")
+    root = f"{shared_dir(spark)}/tessera-repository-{uuid.uuid4().hex}"
+    line = F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")
+    docs.select(line, F.coalesce("source", F.lit("none")).alias("folder")).write.option("maxRecordsPerFile", 500).partitionBy("folder").text(root)
+    return root
+
+
+def _folders(files):
+    lines = F.length(F.regexp_replace(F.decode("content", "UTF-8"), "[^\n]", "")).cast("long")
+    folder = F.substring_index(F.element_at(F.split("path", "/"), 2), "=", -1)
+    return files.groupBy(folder.alias("folder")).agg(F.sum(lines).alias("n_docs"), F.sum("size").alias("n_bytes"))
+
+
+@query("repository_source", _SOURCES)
+def repository_source(spark, sf):
+    """Files of a folder for each source of documents, listed and read by the tasks."""
+    return _folders(repository.scan(spark, _repository(spark, sf), "docs", maxBytes=2**40, exclude="_SUCCESS"))
+
+
+@query("repository_folder", f"SELECT * FROM ({_SOURCES}) WHERE starts_with(folder, 'src1')")
+def repository_folder(spark, sf):
+    """The same with a filter on the path, which leaves the other folders unlisted."""
+    files = repository.scan(spark, _repository(spark, sf), "docs", maxBytes=2**40)
+    return _folders(files.where(F.col("path").startswith("docs/folder=src1")))
+
+
 # ---- streams with state ----------------------------------------------------------------------------------------------
 
 #: Seconds after which a stream that has not handed everything over is taken for broken.

@@ -74,27 +74,34 @@ def ignored(path: str, is_dir: bool, rules: list[Rule]) -> bool:
     return out
 
 
-def list_files(root: str, exclude: tuple[str, ...] = (), ignore_file: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> list[tuple[str, int, int]]:
+def list_files(
+    root: str, exclude: tuple[str, ...] = (), ignore_file: str | None = None, max_bytes: int = MAX_FILE_BYTES, under: str = "", levels: int | None = None
+) -> list[tuple[str, int, int]]:
     """(relative path, bytes, modification time) of the files of a folder, in order; subtrees that are ignored, hidden or
-    of a skipped name are not entered."""
+    of a skipped name are not entered. `under` lists one folder of the root, by the same rules; with `levels`, that many
+    folders below it are entered, and those that are not are rows of -1 bytes."""
     out, skip = [], {*SKIP_NAMES, *exclude}
+    start = under.split("/") if under else []
 
     def enter(folder: str, rules: list[Rule]) -> None:
         full = os.path.join(root, folder)
+        depth = folder.count("/") + 1 if folder else 0
         names = sorted(os.listdir(full))
         for name in [*IGNORE_FILES, *([ignore_file] if ignore_file and not folder else [])]:
             if name in names or name == ignore_file and os.path.isfile(os.path.join(full, name)):
                 with open(os.path.join(full, name), encoding="utf-8", errors="replace") as f:
                     rules = [*rules, *parse_rules(f.read(), folder)]
-        for name in names:
+        for name in names if depth >= len(start) else [n for n in names if n == start[depth]]:
             path = f"{folder}/{name}" if folder else name
             where = os.path.join(full, name)
             is_dir = os.path.isdir(where)
             if name.startswith(".") or name in skip or os.path.islink(where) or ignored(path, is_dir, rules):
                 continue
-            if is_dir:
+            if is_dir and levels is not None and depth >= len(start) + levels:
+                out.append((path, -1, 0))
+            elif is_dir:
                 enter(path, rules)
-            else:
+            elif depth >= len(start):
                 info = os.stat(where)
                 if info.st_size <= max_bytes:
                     out.append((path, info.st_size, int(info.st_mtime)))
