@@ -40,7 +40,8 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int = 0) -> DataFrame:
 
     max_depth 0 is unlimited. Breadth first: each hop joins the frontier with the edges, keeps what is new, and writes it,
     so lineage stays short and lost executors cost one hop. Edges are laid out once, in buckets, unless there is just one
-    hop; from then on a hop shuffles its frontier, never the edges. Stops when a hop finds nothing.
+    hop; from then on a hop shuffles its frontier, never the edges. Stops when a hop finds nothing. Tables of ids are small
+    as files however many they are, so joins with them are told to merge: the driver is to broadcast none of them.
     """
     if max_depth == 1:
         every, by, name = edges.where("from_id is not null").select(F.col("to_id").alias("symbol_id"), F.col("from_id").alias("next_id")), ["symbol_id"], None
@@ -51,7 +52,7 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int = 0) -> DataFrame:
     while not max_depth or depth < max_depth:
         depth += 1
         fresh = hop(frontier, every, by)
-        frontier = materialise(fresh.join(seen, "symbol_id", "left_anti"))
+        frontier = materialise(fresh.join(seen.hint("merge"), "symbol_id", "left_anti"))
         if frontier.isEmpty():
             break
         found.append(frontier.withColumn("depth", F.lit(depth)))
@@ -68,13 +69,13 @@ def hop(frontier: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """The distinct other ends of edges at a frontier, each of whose symbols asks every part."""
     if "part" in by:
         frontier = frontier.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return frontier.join(edges, by).select(F.col("next_id").alias("symbol_id")).distinct()
+    return frontier.hint("merge").join(edges, by).select(F.col("next_id").alias("symbol_id")).distinct()
 
 
 def impact(symbols: DataFrame, edges: DataFrame, symbol_id, max_depth: int = 0) -> DataFrame:
     """One row per affected file: path, names (sorted), n_symbols, min_depth; ids without a symbol are not counted."""
     start = symbols.sparkSession.createDataFrame([(symbol_id,)], symbols.select("symbol_id").schema)
-    hit = reach(edges, start, max_depth).join(symbols.select("symbol_id", "path", "name"), "symbol_id")
+    hit = reach(edges, start, max_depth).hint("merge").join(symbols.select("symbol_id", "path", "name"), "symbol_id")
     return hit.groupBy("path").agg(
         F.array_sort(F.collect_list("name")).alias("names"), F.count(F.lit(1)).alias("n_symbols"), F.min("depth").alias("min_depth")
     )

@@ -52,3 +52,14 @@ def test_a_hop_does_not_shuffle_the_edges(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_no_found_symbols_are_broadcast(spark):
+    edges = spark.createDataFrame([(i, i // 2, "x", 1) for i in range(1, 500)], EDGES)
+    symbols = edges.selectExpr("from_id as symbol_id", "'f' as path", "'n' as name")
+    found = graph.impact(symbols, edges, 0)
+    assert [tuple(r) for r in found.select("n_symbols", "min_depth").collect()] == [(499, 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    step = graph.hop(edges.selectExpr("from_id as symbol_id"), edges.selectExpr("to_id as symbol_id", "from_id as next_id"), ["symbol_id"])
+    step.collect()
+    assert "Broadcast" not in step._jdf.queryExecution().executedPlan().toString()
