@@ -20,8 +20,8 @@ from tessera.session import ship
 from tessera.sources.walk import MAX_FILE_BYTES, list_files
 
 SCHEMA = "path string, repo string, size long, modified long, content binary"
-#: Files whose contents a task holds at a time.
-BATCH = 64
+#: Files and bytes of contents that a task holds at a time, at most; a larger file is alone.
+BATCH, BATCH_BYTES = 64, 8 << 20
 
 
 @dataclass
@@ -82,8 +82,7 @@ class RepositoryReader(DataSourceReader):
         prefix = self._relative()
         found = list_files(self.root, under=partition.path, levels=None if partition.whole else 0, **self.walk)
         found = [f for f in found if f[1] >= 0 and (f[0] == prefix if self.one is not None else f[0].startswith(prefix))]
-        for i in range(0, len(found), BATCH):
-            some = found[i : i + BATCH]
+        for some in self._batches(found):
             columns = [
                 pa.array([f"{self.alias}/{p}" for p, *_ in some], pa.string()), pa.array([self.alias] * len(some), pa.string()),
                 pa.array([s for _, s, _ in some], pa.int64()), pa.array([t for *_, t in some], pa.int64()),
@@ -91,6 +90,18 @@ class RepositoryReader(DataSourceReader):
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["path", "repo", "size", "modified", "content"])
 
+    def _batches(self, found: list) -> Iterator[list]:
+        some, held = [], 0
+        for file in found:
+            size = file[1] if self.contents else 0
+            if some and (len(some) == BATCH or held + size > BATCH_BYTES):
+                yield some
+                some, held = [], 0
+            some.append(file)
+            held += size
+        if some:
+            yield some
+
     def _bytes(self, path: str) -> bytes | None:
         if not self.contents:
             return None

@@ -48,3 +48,11 @@ def test_filters_narrow_the_listing(spark, root):
 
 def test_empty_folder(spark, root):
     assert repository.scan(spark, f"{root}/none", "r").agg(F.count("*")).first()[0] == 0
+
+
+def test_contents_held_at_a_time_are_bounded_by_bytes(root, monkeypatch):
+    monkeypatch.setattr(repository, "BATCH_BYTES", 5002)
+    own = reader(root)
+    sizes = [b.column("size").to_pylist() for p in own.partitions() for b in own.read(p)]
+    assert all(sum(s) <= 5002 for s in sizes) and any(len(s) > 1 for s in sizes)
+    assert [3, 5000] not in [sorted(s) for s in sizes] and [5000] in sizes
