@@ -69,16 +69,9 @@ def compress(text: str | None, language: str | None, level: int | None) -> str |
 
 
 def compressed(text: Column, language: Column, level: Column) -> Column:
-    """`compress` as a column: texts travel in Arrow batches."""
-
-    @F.pandas_udf(StringType())
-    def run(text, language, level):  # noqa: ANN001
-        import pandas as pd
-
-        return pd.Series([compress(t, la, lv) for t, la, lv in zip(text, language, level)], dtype=object)
-
-    run_typed = run
-    return run_typed(text, language, level)
+    """`compress` as a column. Rows go to Python some at a time, so that it holds few texts whatever their size: Arrow batches
+    are of so many rows however long these are."""
+    return F.udf(compress, StringType(), useArrow=False)(text, language, level)
 
 
 def compression_stats(files: DataFrame, level: int) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tessera.operators.compress import collapse_blanks, compact, compress, skeleton
+from tessera.operators.compress import collapse_blanks, compact, compress, compression_stats, skeleton
 from tessera.plans import queries as plans
 from tessera.sources import documents, walk
 from tessera.sources.code import code_symbols
@@ -152,3 +152,9 @@ def test_store_round_trip(spark, tree, tmp_path_factory):
     assert store.table("edges").count() == 0 and store.table("repos").count() == 1
     store.remove_repo("app")
     assert store.table("files").count() == store.table("repos").count() == 0
+
+
+def test_compression_sends_no_batches_of_so_many_rows_to_python(spark):
+    texts = spark.range(3).selectExpr("cast(id as string) as path", "'fn a() { 1 }' as text", "'rust' as language")
+    plan = compression_stats(texts, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
