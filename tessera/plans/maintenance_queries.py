@@ -183,11 +183,15 @@ def repository_folder(spark, sf):
 PATIENCE = 600
 
 
-def _streamed(spark, df, files: int):
-    """A stream over a written copy of `df` that takes one of its files at a time."""
+def _streamed(spark, df, batches: int):
+    """A stream over a written copy of `df` that takes it in so many micro-batches, about; tasks write and read parts of each."""
     folder = f"{shared_dir(spark)}/tessera-stream-{uuid.uuid4().hex}"
-    df.repartitionByRange(files, "id").sortWithinPartitions("id").write.parquet(f"{folder}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
+    if batches == 1:
+        df.write.parquet(f"{folder}/in")  # as the input is split; all of it is one micro-batch
+        return spark.readStream.schema(df.schema).parquet(f"{folder}/in"), folder
+    df.repartitionByRange(parts * batches, "id").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(f"{folder}/in"), folder
 
 
 @query(

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.operators import history
+from tessera.plans import maintenance_queries
 from tessera.streaming import changes, stateful
 
 EVENTS = "path string, op string, ts timestamp, n_events long"
@@ -66,3 +67,12 @@ def test_history_after_every_batch(spark, tmp_path):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
         assert [r.id for r in got] == [r[0] for r in want]
     assert spark.read.parquet(str(tmp_path / "out")).count() <= 30
+
+
+def test_one_micro_batch_is_written_and_read_by_several_tasks(spark):
+    rows = spark.range(0, 100, 1, 4)
+    stream, folder = maintenance_queries._streamed(spark, rows, 1)
+    assert len(spark.read.parquet(f"{folder}/in").inputFiles()) == 4
+    seen = []
+    stream.writeStream.foreachBatch(lambda b, _: seen.append(b.count())).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [100]
