@@ -1,6 +1,8 @@
+import pyspark.sql.functions as F
 import pytest
 
-from tessera.operators.search import tfidf_postings
+from tessera.operators.search import postings, tfidf_postings
+from tessera.plans import batch
 from tessera.plans.batch import name_grams, names_matching, ranked_contexts
 from tessera.plans.context import Index, run_pipeline
 
@@ -76,3 +78,12 @@ def test_names_matching(spark):
         return any(all(c in ("_", d) for c, d in zip(w, n[i:])) for i in range(len(n) - len(w) + 1))
 
     assert found == {(w, n) for w in words for n in names if like(w, n)}
+
+
+def test_bm25_of_texts_equals_stored_postings_whatever_terms_collide(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", "alpha " * (i % 3) + f"beta tree{i % 7}") for i in range(60)] + [("none", "."), ("null", None)], "path string, text string")
+    uses = spark.createDataFrame([("r", "Alpha", 2), ("r", "tree3", 1), ("s", "tree4", 1), ("t", "nowhere", 1)], "request string, keyword string, uses long")
+    want = {(r.request, r.path, r.score) for r in batch._bm25(uses, *postings(docs)).collect()}
+    salted = lambda term, salt: F.xxhash64(F.lit(salt), term) if salt else F.length(term).cast("long")
+    monkeypatch.setattr(batch, "_term_id", salted)
+    assert {(r.request, r.path, r.score) for r in batch._bm25_texts(uses, docs).collect()} == want and len(want) > 25

@@ -4,7 +4,7 @@ from collections import Counter
 import pyspark.sql.functions as F
 import pytest
 
-from tessera.functions.text import counted
+from tessera.functions.text import counted, with_counts
 from tessera.operators import search
 
 SCHEMA = "path string, text string, term string, bucket string"
@@ -44,3 +44,5 @@ def test_nothing(spark):
 def test_counted(spark, words):
     df = spark.createDataFrame([(sorted(words),)], "words array<string>").select(F.inline(counted(F.col("words"))))
     assert {r.term: r.tf for r in df.collect()} == Counter(words)
+    got = with_counts(spark.createDataFrame([(sorted(words),)], "words array<string>"), "words").first()
+    assert {t.term: t.tf for t in got.terms} == Counter(words) and got.length == len(words)
