@@ -131,15 +131,17 @@ def postings(docs: DataFrame, key: str = "path", body: str = "text") -> tuple[Da
     """Written postings (term, key, length, tf) of documents with at least one token, and one row (n, mean) about them.
 
     Texts are read once. Each document also has one posting of the term WHOLE, so n and the mean are sums over the written
-    table, and a task that runs again changes nothing. Keys tell documents apart. One shuffle counts the words and lays
-    them out in partitions by a hash of the term, sorted by term; a query reads those of its terms alone. A frequent
-    term is dealt to TERM_SLICES tasks.
+    table, and a task that runs again changes nothing. Keys tell documents apart. Words are counted within their row, so the
+    one shuffle has a row for each posting and not for each word; it lays them out in partitions by a hash of the term, sorted
+    by term, and a query reads those of its terms alone. A frequent term is dealt to TERM_SLICES tasks.
     """
     spark = docs.sparkSession
-    tokens = docs.select(key, plain_tokens(F.col(body)).alias("tokens")).where(F.size("tokens") > 0)
-    words = tokens.select(key, F.size("tokens").alias("length"), F.explode(F.concat("tokens", F.array(F.lit(WHOLE)))).alias("term"))
+    rows = word_counts(docs, key, body)
+    whole = F.array(F.struct(F.lit(WHOLE).alias("term"), F.lit(1).alias("tf")))
+    # Outer: for `inline` Spark would infer a filter on the size of the array, and count the words a second time for it.
+    words = rows.select(key, "length", F.inline_outer(F.when(F.col("length") > 0, F.concat("terms", whole)))).where("term is not null")
     words = words.withColumns({"bucket": _bucket(F.col("term")), "slice": F.pmod(F.xxhash64(key), F.lit(TERM_SLICES)).cast("int")})
-    dealt = words.repartition("bucket", "slice").groupBy("bucket", "slice", "term", key, "length").agg(F.count(F.lit(1)).alias("tf")).drop("slice")
+    dealt = words.repartition("bucket", "slice").select("term", key, "length", F.col("tf").cast("long").alias("tf"), "bucket")
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     made(spark, path)
     dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)

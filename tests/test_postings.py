@@ -46,3 +46,17 @@ def test_counted(spark, words):
     assert {r.term: r.tf for r in df.collect()} == Counter(words)
     got = with_counts(spark.createDataFrame([(sorted(words),)], "words array<string>"), "words").first()
     assert {t.term: t.tf for t in got.terms} == Counter(words) and got.length == len(words)
+
+
+def test_a_word_is_shuffled_once_a_document(spark):
+    docs = spark.createDataFrame([(f"d{i}", "alpha beta " * 200, "", "") for i in range(20)], SCHEMA)
+    rows = []
+    original = search.reread
+    try:
+        search.reread = lambda spark, path, dealt: rows.append(dealt) or original(spark, path, dealt)
+        terms, stats = search.postings(docs)
+    finally:
+        search.reread = original
+    plan = rows[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # counted within their rows, before the shuffle
+    assert terms.count() == 40 and tuple(stats.first()) == (20, 400.0)
