@@ -29,8 +29,8 @@ SHARD_DOCS = 1536
 RUN = 64
 #: Rounds before the last. A neighbour is close if its score is at least this share of the seed's score of itself.
 ROUNDS, CLOSE = 1, 0.5
-#: Features are hashed to so many; their weights come from about SAMPLE documents of at most SAMPLE_BYTES.
-FEATURES, SAMPLE, SAMPLE_BYTES = 1 << 20, 1024, 1 << 16
+#: Features are hashed to so many, and tasks that first add up their counts, which are a vector of that length for each task.
+FEATURES, ADDING = 1 << 20, 32
 #: Terms of a shard, those of the longest postings, whose weights are a dense matrix, and seeds scored at once. Both change
 #: time only.
 DENSE, AT_ONCE = 512, 32
@@ -166,32 +166,25 @@ def join_close(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
 
 
 class Features:
-    """Random orders of hashed features in which rare ones tend to come first: `first` gives each document's first one."""
-
-    def __init__(self, sample: list[np.ndarray], begins: np.ndarray, orders: int):
-        self.begins, seen = begins, np.zeros(FEATURES, np.int32)
-        for ids in sample:
-            alone, pair, inside = self._of(ids)
-            seen[np.unique(np.r_[alone, pair[inside]])] += 1
-        weight = np.log1p(max(1, len(sample)) / (seen + 0.5)) ** 3
+    """Random orders of hashed features in which rare ones tend to come first: `first` gives each text's first one.
+
+    `seen` has, for each feature, the number of texts with it, of n texts.
+    """
+
+    def __init__(self, seen: np.ndarray, n: int, begins: np.ndarray, orders: int):
+        self.begins = begins
+        weight = np.log1p(max(1, n) / (seen + 0.5)) ** 3
         rng = np.random.default_rng(7)
         # The first arrival of exponential clocks, each as fast as its feature's weight.
         self.ranks = [np.argsort(np.argsort(rng.exponential(size=FEATURES) / weight)).astype(np.int32) for _ in range(orders)]
 
-    def _of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features by a multiplicative hash: those of ids, those of pairs, and which pairs count: not if the second begins a word."""
-        wide = ids.astype(np.uint64) + np.uint64(1)
-        hashed = [(x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32) for x in (wide, wide[:-1] * np.uint64(1 << 32) + wide[1:])]
-        return *hashed, ~self.begins[ids[1:]]
-
     def first(self, flat: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         """First features, in each order, of texts of some ids one after another; an empty text has 0."""
         out = [np.zeros(len(lengths), np.int32) for _ in self.ranks]
         if len(flat):
-            alone, pair, inside = self._of(flat)
+            alone, pair, inside = _features(flat, lengths, self.begins)
             some = np.flatnonzero(lengths)
             starts = (np.cumsum(lengths) - lengths)[some]
-            inside[starts[1:] - 1] = False  # a pair across two texts
             for found, rank in zip(out, self.ranks):
                 least = rank[alone]
                 np.minimum(least[1:], np.where(inside, rank[pair], np.int32(FEATURES)), out=least[1:])
@@ -199,12 +192,39 @@ class Features:
         return out
 
 
-def _sample(docs: DataFrame, coder) -> list[np.ndarray]:
-    """Token ids of about SAMPLE documents, chosen by a hash of doc_id and text."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
-    some = docs.where((F.octet_length("text") <= SAMPLE_BYTES) & (chance < share)).select("text").limit(2 * SAMPLE).toArrow()
-    return [np.frombuffer(ids, "<u4") for b in some.to_batches() for ids in coder.ids(texts(b))]
+def _features(flat: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, by a multiplicative hash, of texts one after another: those of ids, those of pairs, and which pairs count:
+    not if the second begins a word or another text."""
+    wide = flat.astype(np.uint64) + np.uint64(1)
+    hashed = [(x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32) for x in (wide, wide[:-1] * np.uint64(1 << 32) + wide[1:])]
+    inside = ~begins[flat[1:]]
+    inside[(np.cumsum(lengths) - lengths)[np.flatnonzero(lengths)][1:] - 1] = False
+    return *hashed, inside
+
+
+def _ownwith(flat: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each feature, how many of the texts have it."""
+    if not len(flat):
+        return np.zeros(FEATURES, np.int64)
+    alone, pair, inside = _features(flat, lengths, begins)
+    text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) * FEATURES
+    own = np.sort(np.concatenate([text + alone, (text[1:] + pair)[inside]]))
+    return np.bincount(own[np.flatnonzero(np.diff(own, prepend=-1))] & (FEATURES - 1), minlength=FEATURES)
+
+
+def _added(batches):
+    """One row with the sum of the vectors in column seen, a row at a time."""
+    total = np.zeros(FEATURES, np.int64)
+    for batch in batches:
+        for row in batch.column("seen"):
+            total += np.frombuffer(row.as_buffer(), "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()])], names=["seen"])
+
+
+def _feature_counts(coded: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counts: a vector of FEATURES numbers, by two steps of which the second adds ADDING vectors."""
+    some = coded.where("seen is not null").select("seen").coalesce(ADDING).mapInArrow(_added, "seen binary")
+    return np.frombuffer(some.repartition(1).mapInArrow(_added, "seen binary").first().seen, "<i8")
 
 
 def _sharded(items: DataFrame, first: str, then: str) -> DataFrame:
@@ -288,10 +308,10 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1
     number, and so by partitions, as are the numbers that name sequences. A null or empty text is the end id alone. Rows with null or repeated doc_ids are packed as documents
     of their own, ties in order of doc_id, then text. Other columns are not read; an empty table gives an empty result.
 
-    Plan: one Arrow pass encodes whole texts, keeps tails and checksums, finds first features, and counts document
-    frequencies of all tails, a vector as long as the vocabulary for each task; that table is written once. The summed
-    vector (bounded by the vocabulary) is broadcast, as are the feature orders (FEATURES entries each, from a bounded
-    sample). Each round shuffles the tails once, to shards of bounded size: hot cells are split, so a group of copies with a
+    Plan: one Arrow pass encodes whole texts, keeps tails and checksums, and counts document frequencies of the ids and of the
+    features of all tails, a vector as long as the vocabulary and one of FEATURES for each task; that table is written once. The
+    summed vectors (bounded by the vocabulary and by FEATURES) are broadcast, the second as feature orders, and a pass over the
+    tails finds their first features. Each round shuffles the tails once, to shards of bounded size: hot cells are split, so a group of copies with a
     third of all rows makes many shards. All work is linear in the number of tails; the driver holds nothing by document.
     """
     spark = docs.sparkSession
@@ -306,13 +326,13 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1
     begins = np.ones(width, bool)  # ids that begin a word: with a space, or without any letter
     for token, i in spec["model"]["vocab"].items():
         begins[i] = token[0] == SYMBOLS[32] or not token.isalpha()
-    shared = spark.sparkContext.broadcast(Features(_sample(docs, encoder(text)), begins, 2 * (rounds + 1)))
+    shared = spark.sparkContext.broadcast(begins)
     firsts = [f"f{i}" for i in range(2 * (rounds + 1))]
     release_memory()
 
     def encode(batches):
-        own, order, ending = encoder(source.value), shared.value, np.array([end_id], "<u4").tobytes()
-        df, number = np.zeros(width, np.int64), TaskContext.get().partitionId() << 40
+        own, begins, ending = encoder(source.value), shared.value, np.array([end_id], "<u4").tobytes()
+        df, features, number = np.zeros(width, np.int64), np.zeros(FEATURES, np.int64), TaskContext.get().partitionId() << 40
         for batch in slices(batches, limit=SLICE_BYTES):
             raws = own.ids(texts(batch))
             flat = np.frombuffer(b"".join([x for raw in raws for x in (raw, ending)]), "<u4")
@@ -333,25 +353,36 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1
             ends = pa.py_buffer((np.r_[0, at + rest] * each).astype(np.int32))
             columns = [pa.array(size), pa.array(checks, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.binary()))]
             columns.append(pa.Array.from_buffers(pa.binary(), len(size), [None, ends, pa.py_buffer(tails.astype(kind))]))
-            columns += [pa.array(number + end - size), *map(pa.array, order.first(tails, rest))]
+            columns.append(pa.array(number + end - size))
+            features += _ownwith(tails, rest, begins)
             number += int(end[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.nulls(len(size), pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.nulls(len(size), pa.list_(pa.int64())), pa.nulls(len(size), pa.binary())], names=names)
         if df.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.nulls(1, t) for t in types), pa.array([df.tolist()], pa.list_(pa.int64()))], names=names)
+            counts = [pa.array([df.tolist()], pa.list_(pa.int64())), pa.array([features.astype("<i8").tobytes()])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.nulls(1, t) for t in types), *counts], names=names)
 
-    names = ["doc_id", "n_tokens", "crcs", "whole", "tail", "number", *firsts, "df"]
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.int64(), *[pa.int32()] * len(firsts)]
+    def ordered(batches):
+        order = features.value
+        for batch in batches:
+            own = [np.frombuffer(t.as_buffer(), kind) for t in batch.column("tail")]
+            found = order.first(np.concatenate(own) if own else np.zeros(0, kind), np.array([len(t) for t in own], np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], names=[*batch.schema.names, *firsts])
+
+    names = ["doc_id", "n_tokens", "crcs", "whole", "tail", "number", "df", "seen"]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.int64()]
     fields = ", ".join(f"{f} int" for f in firsts)
     coded = materialise(
-        docs.mapInArrow(encode, f"doc_id long, n_tokens long, crcs array<bigint>, whole array<binary>, tail binary, number long, {fields}, df array<bigint>")
+        docs.mapInArrow(encode, "doc_id long, n_tokens long, crcs array<bigint>, whole array<binary>, tail binary, number long, df array<bigint>, seen binary")
     )
-    rows = coded.where("df is null").drop("df")
+    rows = coded.where("df is null").drop("df", "seen")
     tails = rows.where("octet_length(tail) > 0")
     n_docs, tail_bytes = tails.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("tail")), F.lit(0))).first()
     counted = coded.where("df is not null").select(F.posexplode("df").alias("term", "n")).where("n > 0")
     df = np.zeros(width)
     for term, n in counted.groupBy("term").agg(F.sum("n")).collect():
         df[term] = n
+    features = spark.sparkContext.broadcast(Features(_feature_counts(coded), n_docs, begins, len(firsts)))
+    release_memory()
     idf = spark.sparkContext.broadcast(np.log(1 + (n_docs - df + 0.5) / (df + 0.5)))
     mean = tail_bytes / each / max(1, n_docs)
 
@@ -406,7 +437,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1
 
     length = (F.octet_length("tail") / each).cast("long")
     lists = [F.array(c).alias(n) for n, c in zip(_LISTS, ("doc_id", "number", F.col("n_tokens") - length, length, "n_tokens"))]
-    items = tails.select(*lists, "tail", *firsts)
+    items = materialise(tails.select(*lists, "tail").mapInArrow(ordered, f"{ITEM}, {fields}"))
     packed = rows.where(F.size("crcs") > 0).select("doc_id", "n_tokens", "crcs", "whole", "number").mapInArrow(whole_windows, PIECE)
     keys = [F.col(c)[0].alias(n) for c, n in (("doc_ids", "doc_id"), ("totals", "total"), ("starts", "start"), ("numbers", "number"))]
     for i in range(rounds):

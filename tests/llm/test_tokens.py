@@ -224,3 +224,21 @@ def test_hot_cells_are_split(spark, monkeypatch):
     packed = pack(spark.createDataFrame(rows, "doc_id long, text string"), BYTE).collect()
     assert sum(r.length for r in packed) == sum(len(ids(BYTE, t)) + 1 for _, t in rows)
     assert max(r["count"] for r in seen[0].groupBy("shard").count().collect()) < 60
+
+
+def test_packing_weighs_features_by_all_documents(spark, monkeypatch):
+    from tessera.llm import packing
+
+    made, real = [], packing.Features.__init__
+    monkeypatch.setattr(packing.Features, "__init__", lambda self, *a: made.append(a) or real(self, *a))
+    rows = [(i, "common " * 3 + ("rarity" if i % 1500 == 0 else "plain")) for i in range(3000)]
+    spark_docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert pack(spark_docs, BYTE).agg({"length": "sum"}).first()[0] > 0
+    seen, n, begins, _ = made[0]
+    assert n == 3000  # more than any sample
+    want = Counter()
+    for text, copies in ((rows[0][1], 2), (rows[1][1], 2998)):
+        own = np.array([*ids(BYTE, text), 1])
+        alone, pair, inside = packing._features(own, np.array([len(own)]), begins)
+        want.update(dict.fromkeys({*alone.tolist(), *pair[inside].tolist()}, copies))
+    assert {i: seen[i] for i in np.flatnonzero(seen).tolist()} == want
