@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 
 from tessera.operators.graph import edge_set
 
@@ -23,15 +23,56 @@ def enclosing(deps: DataFrame, symbols: DataFrame, key: str = "path", line: str
     return marks.unionByName(rows).withColumn("from_id", seen).where("_tag = 1 and from_id is not null").select("_dep.*", "from_id")
 
 
-def _two_least(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """(keys, name): an array of the least value of each key and the least one above it, if there is one.
+def _calls(deps: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Dependencies with from_id as of `enclosing`, and what their own file has of the name: _first and _second, the two
+    first symbols by (line, col, symbol_id); n_own and x_own, how many there are and are exported; n_ids and x_ids, the
+    exclusive or of their ids.
 
-    Two partial aggregates, so a key with very many rows costs a value per task, and no list of them is ever held.
+    Symbols and dependencies are shuffled together by file, once, and sorted there by line, then by name with symbols first.
     """
-    rows = rows.select(*keys, value.alias("_v"))
-    least = rows.groupBy(*keys).agg(F.min("_v").alias("_a"))
-    above = rows.join(least, keys).where("_v > _a").groupBy(*keys).agg(F.min("_v").alias("_b"))
-    return least.join(above, keys, "left").select(*keys, F.when(F.col("_b").isNull(), F.array("_a")).otherwise(F.array("_a", "_b")).alias(name))
+    types = {"col": symbols.schema["col"].dataType, "symbol_id": symbols.schema["symbol_id"].dataType, "is_exported": "boolean", "kind": deps.schema["kind"].dataType}
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in types.items()}
+    marks = symbols.select("path", F.col("name").alias("to_name"), "line", F.lit(0).alias("_tag"), "col", "symbol_id", "is_exported", nothing["kind"])
+    rows = deps.where("path is not null").select("path", "to_name", "line", F.lit(1).alias("_tag"), nothing["col"], nothing["symbol_id"], nothing["is_exported"], "kind")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    # Of symbols on one line the first comes last, so that it is the one carried on.
+    lines = Window.partitionBy("path").orderBy("line", "_tag", F.desc("col"), F.desc("symbol_id")).rowsBetween(*so_far)
+    names = Window.partitionBy("path", "to_name").orderBy("_tag", "line", "col", "symbol_id").rowsBetween(*so_far)
+    exported = F.when(F.col("is_exported"), F.col("symbol_id"))
+    both = marks.unionByName(rows).withColumn("from_id", F.last("symbol_id", ignorenulls=True).over(lines))
+    both = both.withColumns({
+        "_first": F.first("symbol_id", ignorenulls=True).over(names),
+        "n_own": F.count("symbol_id").over(names), "x_own": F.count(exported).over(names),
+        "n_ids": F.bit_xor("symbol_id").over(names), "x_ids": F.bit_xor(exported).over(names),
+    })
+    other = F.when(F.col("symbol_id") != F.col("_first"), F.col("symbol_id"))
+    both = both.withColumn("_second", F.first(other, ignorenulls=True).over(names))
+    return both.where("_tag = 1 and from_id is not null").drop("line", "_tag", "col", "symbol_id", "is_exported")
+
+
+def resolved(deps: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Distinct edges (path, to_name, from_id, to_id, kind) of dependencies (path, to_name, kind, line): `resolve` with the
+    caller's file and the name called.
+
+    Per name there is one row of totals. What other files have is the total less the file's own; where that is one symbol,
+    the exclusive or of the two has its id, so no list of files is kept and a name used everywhere costs a row per task.
+    """
+    symbols = symbols.where("path is not null")
+    exported = F.when(F.col("is_exported"), F.col("symbol_id"))
+    overall = symbols.groupBy(F.col("name").alias("to_name")).agg(
+        F.count("symbol_id").alias("n_all"), F.count(exported).alias("x_all"), F.bit_xor("symbol_id").alias("n_all_ids"), F.bit_xor(exported).alias("x_all_ids")
+    )
+    joined = _calls(deps, symbols).where("to_name is not null").join(overall, "to_name", "left")
+    near = F.coalesce(*(F.when(F.col(c) != F.col("from_id"), F.col(c)) for c in ("_first", "_second")))
+    x_else, n_else = F.col("x_all") - F.col("x_own"), F.col("n_all") - F.col("n_own")
+
+    def other(ids: str):
+        own = F.coalesce(ids, F.lit(0).cast(symbols.schema["symbol_id"].dataType))
+        return F.col(f"{ids[0]}_all_ids").bitwiseXOR(own)
+
+    far = F.when(x_else == 1, other("x_ids")).when((x_else == 0) & (n_else == 1), other("n_ids"))
+    edges = joined.select("path", "to_name", "from_id", F.coalesce(near, far).alias("to_id"), "kind")
+    return edges.where("from_id <> to_id").distinct()
 
 
 def resolve(deps: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -40,31 +81,7 @@ def resolve(deps: DataFrame, symbols: DataFrame) -> DataFrame:
     The target is a symbol of that name in the same file other than the caller (first by line, col, symbol_id); else, in
     other files, the only exported one, or the only one at all if none is exported; otherwise there is no edge.
     """
-    calls = enclosing(deps, symbols)
-    # Two smallest places per file and name: the second serves a caller that is itself the first.
-    named = symbols.withColumn("to_name", F.col("name"))
-    local = _two_least(named, ["path", "to_name"], F.struct("line", "col", "symbol_id"), "near")
-    # Per name, totals and totals per file: what other files have is the difference.
-    by_file = symbols.groupBy(F.col("name").alias("to_name"), "path").agg(
-        F.count(F.lit(1)).alias("n_own"), F.count_if("is_exported").alias("x_own"), F.min("symbol_id").alias("any_id"), F.min(F.when(F.col("is_exported"), F.col("symbol_id"))).alias("x_id")
-    )
-    overall = by_file.groupBy("to_name").agg(
-        F.sum("n_own").alias("n_all"),
-        F.sum("x_own").alias("x_all"),
-    )
-    # At most two files matter: with more, no difference can be one.
-    for own, one, files in (("x_own", "x_id", "x_files"), ("n_own", "any_id", "n_files")):
-        overall = overall.join(_two_least(by_file.where(F.col(own) == 1), ["to_name"], F.struct("path", F.col(one).alias("id")), files), "to_name", "left")
-    joined = calls.join(local, ["path", "to_name"], "left").join(overall, "to_name", "left").join(by_file.drop("any_id", "x_id"), ["to_name", "path"], "left")
-    near = F.get(F.filter("near", lambda s: s["symbol_id"] != F.col("from_id")), F.lit(0))["symbol_id"]
-    x_else = F.col("x_all") - F.coalesce("x_own", F.lit(0))
-    n_else = F.col("n_all") - F.coalesce("n_own", F.lit(0))
-
-    def other(files: str):
-        return F.get(F.filter(files, lambda f: f["path"] != F.col("path")), F.lit(0))["id"]
-
-    far = F.when(x_else == 1, other("x_files")).when((x_else == 0) & (n_else == 1), other("n_files"))
-    return edge_set(joined.select("from_id", F.coalesce(near, far).alias("to_id"), "kind").where("to_id is not null"))
+    return edge_set(resolved(deps, symbols).select("from_id", "to_id", "kind"))
 
 
 def resolve_same_file(deps: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tessera.operators import history, trigrams
 from tessera.plans import adapters
 from tessera.plans.registry import query
 from tessera.scratch import materialise, shared_dir
-from tessera.session import table
+from tessera.session import spread, table
 from tessera.sources import delta, overlay, repository
 from tessera.streaming import stateful
 
@@ -31,7 +31,7 @@ _REPOSITORY = """
 
 def _updated(spark, sf):
     """The root of an index of all files, after the update by the one that changed, and what that update wrote."""
-    part = table(spark, sf, "part", "p_partkey", "p_size")
+    part = spread(table(spark, sf, "part", "p_partkey", "p_size"))
     key, size = F.col("p_partkey"), F.col("p_size")
     path = F.concat(F.lit("p/"), key.cast("string"), F.lit(".py")).alias("path")
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from tessera.operators.resolve import resolve
+from tessera.operators.resolve import resolved
 from tessera.scratch import materialise
 
 BUCKETS = 64
@@ -50,7 +50,7 @@ def _put(df: DataFrame, root: str, name: str, touched: list[int]) -> None:
     spark, schema = df.sparkSession, f"{SCHEMAS[name]}, bucket int"
     columns = spark.createDataFrame([], schema).columns
     nulls = spark.createDataFrame([(n,) for n in touched], "bucket int").select(*(F.lit(None).alias(c) for c in columns[:-1]), "bucket")
-    rows = materialise(df.select(*columns).unionByName(nulls))  # the partitions that it reads are those that it replaces
+    rows = df.select(*columns).unionByName(nulls)  # it may read the partitions that it replaces: they go when all tasks are done
     rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{name}")
 
 
@@ -65,33 +65,36 @@ def update(spark: SparkSession, root: str, paths: DataFrame, symbols: DataFrame,
     for name, schema in SCHEMAS.items():
         spark.createDataFrame([], f"{schema}, bucket int").write.mode("ignore").partitionBy("bucket").parquet(f"{root}/{name}")
     before = {name: table(spark, root, name) for name in SCHEMAS}  # listed once; each is read before it is written
-    paths = materialise(paths.select("path").distinct())
+    paths = materialise(paths.select("path"))
     own = _buckets(paths, "path", buckets)
+    new = materialise(symbols.join(paths, "path", "left_semi").select("name", *(c.split()[0] for c in PLACE.split(", "))))
+    new_deps = materialise(deps.join(paths, "path", "left_semi").select("path", "to_name", "kind", F.col("line").cast("int").alias("line")))
+    new_uses = new_deps.select("to_name", "path").distinct()
+    if all(df.isEmpty() for df in before.values()):  # there is nothing to compare with, to keep or to resolve again
+        moved, used = _buckets(new, "name", buckets), _buckets(new_deps, "to_name", buckets)
+        return _write(root, buckets, {
+            "edges": (resolved(new_deps, _once(new)), own), "definitions": (new, moved), "uses": (new_uses, used), "deps": (new_deps, own), "symbols": (new, own),
+        })
 
     def stored(name: str, some: list[int]) -> DataFrame:
-        return before[name].where(F.col("bucket").isin(some))
+        return before[name].where(F.col("bucket").isin(some)).drop("bucket")
 
-    new = materialise(symbols.join(paths, "path", "left_semi").select("name", *(c.split()[0] for c in PLACE.split(", "))))
-    new_deps = materialise(deps.join(paths, "path", "left_semi").select("path", "to_name", "kind", F.col("line").cast("int").alias("line")))
-    old = stored("symbols", own).drop("bucket").join(paths, "path", "left_semi").select(*new.columns)
+    old = stored("symbols", own).join(paths, "path", "left_semi").select(*new.columns)
     old_uses = stored("deps", own).join(paths, "path", "left_semi").select("to_name", "path").distinct()
-    new_uses = new_deps.select("to_name", "path").distinct()
     names = materialise(_differ(old, new).select("name").distinct())
     moved = _buckets(names, "name", buckets)
-    used = _buckets(materialise(_differ(old_uses, new_uses).select("to_name").distinct()), "to_name", buckets)
+    used = _buckets(_differ(old_uses, new_uses), "to_name", buckets)
     users = stored("uses", moved).join(names.withColumnRenamed("name", "to_name"), "to_name", "left_semi").select("path").distinct()
     users = materialise(users.join(paths, "path", "left_anti"))
     theirs = _buckets(users, "path", buckets)
 
     # What is to be resolved, and the symbols that this takes: all of the callers' files, and all with a name that is called.
-    again = stored("deps", theirs).drop("bucket").join(users, "path", "left_semi").join(names.withColumnRenamed("name", "to_name"), "to_name", "left_semi")
+    again = stored("deps", theirs).join(users, "path", "left_semi").join(names.withColumnRenamed("name", "to_name"), "to_name", "left_semi")
     again = materialise(new_deps.unionByName(again))
     called = materialise(again.select(F.col("to_name").alias("name")).distinct())
     elsewhere = stored("definitions", _buckets(called, "name", buckets)).join(called, "name", "left_semi").join(paths, "path", "left_anti")
     callers = stored("symbols", theirs).join(users, "path", "left_semi")
-    known = materialise(new.unionByName(callers.select(*new.columns)).unionByName(elsewhere.select(*new.columns)).dropDuplicates(["symbol_id"]))
-    ends = [known.select(F.col("symbol_id").alias("from_id"), "path"), known.select(F.col("symbol_id").alias("to_id"), F.col("name").alias("to_name"))]
-    fresh = resolve(again, known).join(ends[0], "from_id").join(ends[1], "to_id")
+    known = _once(materialise(new.unionByName(callers.select(*new.columns)).unionByName(elsewhere.select(*new.columns))))
 
     def kept(name: str, some: list[int]) -> DataFrame:
         return stored(name, some).join(paths, "path", "left_anti")
@@ -99,17 +102,26 @@ def update(spark: SparkSession, root: str, paths: DataFrame, symbols: DataFrame,
     touched = sorted({*own, *theirs})
     stay = kept("edges", touched).join(users.withColumn("_user", F.lit(True)), "path", "left").join(names.select(F.col("name").alias("to_name"), F.lit(True).alias("_moved")), "to_name", "left")
     stay = stay.where("_user is null or _moved is null").drop("_user", "_moved")
-    writes = {
-        "edges": (stay, fresh, touched),
-        "definitions": (kept("definitions", moved), new, moved),
-        "uses": (kept("uses", used), new_uses, used),
-        "deps": (kept("deps", own), new_deps, own),
-        "symbols": (kept("symbols", own), new, own),
-    }
-    for name, (old, rows, some) in writes.items():
-        rows = rows.withColumn("bucket", bucket_of(KEYS[name], buckets)).where(F.col("bucket").isin(some))
-        _put(old.unionByName(rows), root, name, some)
-    return {name: len(some) for name, (*_, some) in writes.items()}
+    return _write(root, buckets, {
+        "edges": (stay.unionByName(resolved(again, known)), touched),
+        "definitions": (kept("definitions", moved).unionByName(new), moved),
+        "uses": (kept("uses", used).unionByName(new_uses), used),
+        "deps": (kept("deps", own).unionByName(new_deps), own),
+        "symbols": (kept("symbols", own).unionByName(new), own),
+    })
+
+
+def _write(root: str, buckets: int, tables: dict[str, tuple[DataFrame, list[int]]]) -> dict[str, int]:
+    """Replace partitions of each table, in this order, by the rows that fall in them; returns how many there are of each."""
+    for name, (rows, some) in tables.items():
+        _put(rows.withColumn("bucket", bucket_of(KEYS[name], buckets)).where(F.col("bucket").isin(some)), root, name, some)
+    return {name: len(some) for name, (_, some) in tables.items()}
+
+
+def _once(symbols: DataFrame) -> DataFrame:
+    """One row for each symbol_id. A pass over the ids alone tells whether any is there twice."""
+    twice = symbols.groupBy("symbol_id").count().where("count > 1")
+    return symbols if twice.isEmpty() else materialise(symbols.dropDuplicates(["symbol_id"]))
 
 
 def _differ(a: DataFrame, b: DataFrame) -> DataFrame:

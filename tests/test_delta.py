@@ -2,11 +2,12 @@ import random
 
 import pytest
 
-from tessera.operators.resolve import resolve
+from tessera.operators.resolve import resolve, resolved
 from tessera.sources import delta
 
 SYMBOLS = "name string, symbol_id long, path string, line int, col int, is_exported boolean"
 DEPS = "path string, to_name string, kind string, line int"
+NAMES = [f"n{i}" for i in range(25)] + ["hot"] * 10
 
 
 def repository(rng, paths):
@@ -82,3 +83,54 @@ def test_nothing_and_all_gone(spark, tmp_path):
     check(spark, root, files)
     apply(spark, root, files, {}, gone=["a", "b"])
     assert all(rows == [] for rows in state(spark, root).values())
+
+
+def brute(symbols, deps):
+    """Edges as the docstrings have them, one dependency at a time; a symbol of no file is none."""
+    edges, symbols = set(), [s for s in symbols if s[2] is not None]
+    for path, name, kind, line in deps:
+        own = [s for s in symbols if s[2] == path]
+        callers = [s for s in own if s[3] <= line]
+        if not callers or name is None:
+            continue
+        caller = min(callers, key=lambda s: (-s[3], s[4], s[1]))[1]
+        near = sorted((s[3], s[4], s[1]) for s in own if s[0] == name and s[1] != caller)
+        far = [s for s in symbols if s[2] != path and s[0] == name]
+        exported = [s for s in far if s[5]]
+        target = near[0][2] if near else exported[0][1] if len(exported) == 1 else far[0][1] if not exported and len(far) == 1 else caller
+        edges |= {(path, name, caller, target, kind)} - {(path, name, caller, caller, kind)}
+    return edges
+
+
+def test_edges_by_brute_force_in_few_shuffles(spark):
+    rng = random.Random(7)
+    symbols = [(rng.choice(NAMES), n + 2**40, rng.choice(["a", "b", "c", "d", "e", None]), rng.randint(1, 9), rng.randint(1, 2), rng.choice([True, False, False, None])) for n in range(60)]
+    deps = [(rng.choice(["a", "b", "c", "d", "e", "f", None]), rng.choice([*NAMES, None]), rng.choice(["import", "function_call"]), rng.randint(0, 12)) for _ in range(400)]
+    found = resolved(spark.createDataFrame(deps, DEPS), spark.createDataFrame(symbols, SYMBOLS))
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == brute(symbols, deps) and len(rows) == len(set(rows)) and len(rows) > 20
+    plain = resolve(spark.createDataFrame(deps, DEPS), spark.createDataFrame(symbols, SYMBOLS))
+    assert sorted(map(tuple, plain.collect())) == sorted({r[2:] for r in rows})
+    # Files together, totals of names, calls by name, and the edges twice: it was over twenty.
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 5
+
+
+def test_first_update_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    rng, root, files, written = random.Random(5), str(tmp_path / "index"), {}, []
+    write = delta.materialise
+    monkeypatch.setattr(delta, "materialise", lambda df: written.append(df.columns) or write(df))
+    paths = [f"d/{i}.py" for i in range(12)]
+    first = apply(spark, root, files, by_path(paths, *repository(rng, paths)))
+    assert len(written) == 3, written  # paths, symbols and dependencies; the tables themselves are written from these
+    check(spark, root, files)
+    # The same again, over tables that are there: the general way gives the same, and replaces the partitions that it reads.
+    assert apply(spark, root, files, dict(files)) == first | {"definitions": 0, "uses": 0}
+    check(spark, root, files)
+
+
+def test_repeated_symbols_are_one(spark, tmp_path):
+    symbols = spark.createDataFrame([("x", 1, "a", 1, 1, False), ("x", 1, "a", 1, 1, False), ("y", 2, "b", 1, 1, False)], SYMBOLS)
+    deps = spark.createDataFrame([("b", "x", "import", 3)], DEPS)
+    delta.update(spark, str(tmp_path), spark.createDataFrame([("a",), ("b",)], "path string"), symbols, deps, 4)
+    assert [tuple(e)[:5] for e in delta.table(spark, str(tmp_path), "edges").collect()] == [("b", "x", 2, 1, "import")]
