@@ -11,8 +11,9 @@ A document is what its doc_id names; the last row of the newest file that has it
 place in the file), whatever the order in which files are taken. Without doc_id it is named by its text. Null texts are
 empty. `terms` holds the words that ranking needs, so that a search reads this folder and no text again.
 
-The file stream's checkpoint remembers which files were taken. A batch rewrites only the buckets that it touches, each from
-its documents, terms first and documents last; so a run that is cut off or repeated leaves what one whole run would have.
+The file stream's checkpoint remembers which files were taken. A batch rewrites only the buckets that it touches, documents
+first and then terms, from the documents as they lie in their buckets; so a run that is cut off or repeated leaves what one
+whole run would have.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pathlib import Path
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions.text import count_tokens, counted, plain_tokens
-from tessera.scratch import discard, materialise
+from tessera.functions.text import count_tokens, plain_tokens, with_counts
+from tessera.scratch import discard, materialise, row_keys, without_rows
 from tessera.session import spread
 
 log = logging.getLogger("index_documents")
@@ -44,11 +45,11 @@ def forward(files: DataFrame, buckets: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     sha = F.sha2(text, 256)
     rows = files.select("doc_id", "lang", "source", "version", text.alias("text"), sha.alias("sha256"), F.sort_array(plain_tokens(text)).alias("words"))
-    return rows.select(
+    return with_counts(rows, "words").select(
         F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("sha256:"), "sha256")).alias("key"), "doc_id",
         F.concat_ws("/", "source", "lang", F.coalesce(F.col("doc_id").cast("string"), "sha256")).alias("path"), F.col("lang").alias("language"), "sha256",
-        F.octet_length("text").cast("long").alias("n_bytes"), count_tokens(F.col("text")).cast("long").alias("tokens"), F.size("words").alias("length"),
-        counted(F.col("words")).alias("terms"), "version", F.lit(buckets).alias("buckets"),
+        F.octet_length("text").cast("long").alias("n_bytes"), count_tokens(F.col("text")).cast("long").alias("tokens"), "length",
+        "terms", "version", F.lit(buckets).alias("buckets"),
         F.pmod(F.coalesce("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(buckets)).cast("int").alias("bucket"),
     )
 
@@ -58,20 +59,33 @@ def _put(df: DataFrame, folder: str) -> None:
     df.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
 
 
+def _newest(fresh: DataFrame, stored: DataFrame) -> DataFrame:
+    """The newest row of each document in either table; of several with its version, one.
+
+    Only names of rows are shuffled; the rows themselves, with their words, stay where they are unless very many are old.
+    """
+    (fresh, place), (stored, _) = row_keys(fresh), row_keys(stored.select(*fresh.columns))  # of the same columns, so of the same names
+    rows = fresh.unionByName(stored)
+    rank = F.struct("version", *place)
+    named = rows.select("bucket", "key", rank.alias("_rank"))
+    newest = named.groupBy("bucket", "key").agg(F.max("_rank").alias("_newest"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    old = named.join(newest, ["bucket", "key"]).where("_rank < _newest").select(*(F.col("_rank")[c].alias(c) for c in place))
+    return without_rows(rows, old, place)
+
+
 def _merge(batch: DataFrame, output: str, buckets: int) -> dict[str, int]:
     spark = batch.sparkSession
     fresh = materialise(forward(spread(batch), buckets))
     touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # `buckets` at most
-    stored = read(spark, output)[0].where(F.col("bucket").isin(touched))
-    rows = fresh.unionByName(stored)
-    newest = rows.groupBy("bucket", "key").agg(F.max("version").alias("version"))
-    merged = materialise(rows.join(newest, ["bucket", "key", "version"], "left_semi").dropDuplicates(["bucket", "key"]))
-    words = merged.select("bucket", F.inline("terms"))
+
+    def stored(table: int) -> DataFrame:
+        return read(spark, output)[table].where(F.col("bucket").isin(touched))
+
+    _put(_newest(fresh, stored(0)), f"{output}/documents")  # it reads what it replaces: that goes when all tasks are done
+    words = stored(0).select("bucket", F.inline("terms"))
     _put(words.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), f"{output}/terms")
-    _put(merged, f"{output}/documents")
-    counts = {"read": fresh.count(), "buckets": len(touched), "written": merged.count()}
+    counts = {"read": fresh.count(), "buckets": len(touched), "written": stored(0).count()}
     discard(fresh)
-    discard(merged)
     return counts
 
 

@@ -97,6 +97,44 @@ def test_index_after_a_run_that_was_cut_off(spark, tmp_path, monkeypatch):
     assert index_of(spark, output)[:2] == expected(FIRST + SECOND, 4)
 
 
+def test_newest_rows_are_found_by_name(spark, tmp_path):
+    """Of repeated names, within a batch and between it and the index, one row stays; rows with words are in no shuffle for it."""
+    row = "key string, terms array<string>, version struct<changed: timestamp, file: string, place: long>, bucket int"
+
+    def rows(*some):
+        return spark.createDataFrame([(k, [w], (at(1, minute), file, place), 0) for k, w, minute, file, place in some], row)
+
+    fresh = rows(("a", "old", 1, "f", 0), ("a", "new", 1, "f", 1), ("b", "late", 2, "f", 2), ("c", "only", 2, "f", 3), ("d", "tie", 2, "f", 4), ("d", "tie", 2, "f", 4), ("e", "early", 1, "f", 5))
+    stored = rows(("b", "was", 1, "e", 9), ("d", "tie", 2, "f", 4), ("e", "kept", 3, "e", 1), ("f", "only", 1, "e", 2))
+    found = index_documents._newest(fresh, stored)
+    expect = [("a", "new"), ("b", "late"), ("c", "only"), ("d", "tie"), ("e", "kept"), ("f", "only")]
+    assert sorted((r.key, r.terms[0]) for r in found.collect()) == expect and found.columns == fresh.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan, plan
+
+
+def test_index_cut_off_between_its_tables(spark, tmp_path, monkeypatch):
+    source, output, checkpoint, put = tmp_path / "in", tmp_path / "out", tmp_path / "state", index_documents._put
+    add(spark, FIRST, DOCS, source)
+    index_documents.run(spark, str(source), str(output), str(checkpoint), buckets=4)
+    add(spark, SECOND, DOCS, source)
+    done = []
+
+    def broken(df, folder):
+        if done:
+            raise OSError("the power went")
+        put(df, folder)
+        done.append(folder.rsplit("/", 1)[1])
+
+    monkeypatch.setattr(index_documents, "_put", broken)
+    with pytest.raises(Exception, match="the power went"):
+        index_documents.run(spark, str(source), str(output), str(checkpoint), buckets=4)
+    assert done == ["documents"]
+    monkeypatch.setattr(index_documents, "_put", put)
+    index_documents.run(spark, str(source), str(output), str(checkpoint), buckets=4)
+    assert index_of(spark, output)[:2] == expected(FIRST + SECOND, 4)
+
+
 def test_index_of_nothing(spark, tmp_path):
     add(spark, [], DOCS, tmp_path / "in")
     index_documents.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
