@@ -5,6 +5,7 @@ from tessera.operators.search import postings, tfidf_postings
 from tessera.plans import batch
 from tessera.plans.batch import name_grams, names_matching, ranked_contexts
 from tessera.plans.context import Index, run_pipeline
+from tessera.scratch import brief_shuffles, materialise
 
 FILES = "path string, language string, char_count long, text string, request string"
 SYMBOLS = "symbol_id long, path string, name string, kind string, line int, request string"
@@ -87,3 +88,27 @@ def test_bm25_of_texts_equals_stored_postings_whatever_terms_collide(spark, monk
     salted = lambda term, salt: F.xxhash64(F.lit(salt), term) if salt else F.length(term).cast("long")
     monkeypatch.setattr(batch, "_term_id", salted)
     assert {(r.request, r.path, r.score) for r in batch._bm25_texts(uses, docs).collect()} == want and len(want) > 25
+
+
+def test_words_that_no_request_asks_for_are_not_written(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "one two two Three"), ("b", "four five"), ("c", "")], "path string, text string")
+    uses = spark.createDataFrame([("r", "TWO", 1), ("r", "three", 1)], "request string, keyword string, uses long")
+    kept, write = [], batch.materialise
+    monkeypatch.setattr(batch, "materialise", lambda df: kept.append(write(df)) or kept[-1])
+    monkeypatch.setattr(batch, "discard", lambda df: None)
+    batch._bm25_texts(uses, docs)
+    rows = {r.path: (r.length, r.words) for df in kept if df.columns == ["path", "length", "words"] for r in df.collect()}
+    assert rows == {"a": (4, "three two two"), "b": (2, ""), "c": (0, "")}
+
+
+def test_requests_leave_no_shuffle_behind(spark):
+    def files():
+        made = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (made.apply(i).getName() for i in range(made.size())) if f.startswith("shuffle_")}
+
+    before = files()
+    with brief_shuffles(spark):
+        assert materialise(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert files() <= before
+    materialise(spark.range(1000).repartition(4))
+    assert not files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
